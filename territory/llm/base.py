@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker handles at once; arrays take about 40 times as much.
 CHUNK_BYTES = 2 << 20
@@ -40,6 +41,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+def widened(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of a frame with more columns."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in columns.items())])
+
+
 class Scratch:
     """Tables written to the shared folder, so that later stages don't depend on executors that may be lost."""
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territory.llm.base import raw_texts, read_table, slices
+from territory.llm.base import raw_texts, read_table, slices, widened
 
 #: Pieces of text that a worker remembers before it starts anew.
 CACHE_PIECES = 600_000
@@ -155,7 +155,6 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     n_tokens are replaced. `vocabulary` must be readable on every executor.
     """
     kept = df.drop("ids", "n_tokens")
-    schema = kept.schema.add("ids", "binary").add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
@@ -164,7 +163,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
             columns = [*batch.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "ids", "n_tokens"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, widened(kept, ids="binary", n_tokens="long"))
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -177,7 +176,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
             texts = [bpe.decode(x or b"") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, kept.schema.add("decoded", "string"))
+    return kept.mapInArrow(run, widened(kept, decoded="string"))
 
 
 def digest(documents: DataFrame, vocabulary: str) -> DataFrame:
