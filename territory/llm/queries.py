@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from territory.llm.bpe import op5_bpe
+from territory.llm.mtree import OP4_SQL, op4_mtree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe}
+    return {"op4_mtree": op4_mtree, "op5_bpe": op5_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mtree": OP4_SQL}
