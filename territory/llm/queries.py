@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from territory.llm.bpe import op5_bpe
 from territory.llm.minhash import OP1_SQL, op1_minhash
 from territory.llm.mtree import OP4_SQL, op4_mtree
+from territory.llm.substrings import OP9_SQL, op9_substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op4_mtree": op4_mtree, "op5_bpe": op5_bpe}
+    return {"op1_minhash": op1_minhash, "op4_mtree": op4_mtree, "op5_bpe": op5_bpe, "op9_substrings": op9_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op4_mtree": OP4_SQL}
+    return {"op1_minhash": OP1_SQL, "op4_mtree": OP4_SQL, "op9_substrings": OP9_SQL}
