@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from territory.llm.base import Scratch, read_table
 
 #: Entries in a page of a tree, routing objects, vectors in a group, queries that visit a group at once.
-PAGE, ROUTES, GROUP, QUERIES = 64, 512, 8192, 2048
+PAGE, ROUTES, GROUP, QUERIES = 1024, 512, 8192, 2048
 #: Relative slack of a bound, far above rounding errors: it only costs visits.
 SLACK = 1e-7
 
@@ -40,20 +40,21 @@ class MTree:
     def _page(self, rows: np.ndarray, parent: np.ndarray) -> dict:
         """A page: its entries, their distance to the parent, and of inner pages the radii and children."""
         if len(rows) <= PAGE:
-            return {"rows": rows, "at": self.points[rows], "up": distances(self.points[rows], parent), "down": None}
+            return {"rows": rows, "up": distances(self.points[rows], parent), "down": None}
         from_parent = distances(self.points[rows], parent)
         order = np.argsort(from_parent, kind="stable")
-        picks = rows[order[np.linspace(0, len(rows) - 1, 16).astype(int)]]
+        fan = min(16, 2 * -(-len(rows) // PAGE))
+        picks = rows[order[np.linspace(0, len(rows) - 1, fan).astype(int)]]
         own = np.stack([distances(self.points[rows], self.points[p]) for p in picks]).argmin(axis=0)
         if np.bincount(own).max() == len(rows):  # equal points, or as good as: cut them anywhere
-            own = np.arange(len(rows)) * 16 // len(rows)
+            own = np.arange(len(rows)) * fan // len(rows)
         groups = [(picks[i], rows[own == i]) for i in np.unique(own)]
         at = self.points[[p for p, _ in groups]]
         radii = np.array([distances(self.points[g], self.points[p]).max() for p, g in groups])
         return {"at": at, "up": distances(at, parent), "radii": radii, "down": [self._page(g, self.points[p]) for p, g in groups]}
 
     def search(self, query: np.ndarray, reach, offer) -> None:
-        """Best first. reach(): the largest distance that still matters; offer(rows): rows to look at."""
+        """Best first. reach(): the largest distance that still matters; offer(page, near): a leaf and its entries to look at."""
         if self.root is None:
             return
         heap, n = [(0.0, 0, self.root, float(distances(query, self.points[0])))], 0
@@ -61,18 +62,18 @@ class MTree:
             low, _, page, to_parent = heapq.heappop(heap)
             if low > reach():
                 return
-            slack = SLACK * (1 + to_parent)
+            most = reach() + SLACK * (1 + to_parent)
             radii = 0 if page["down"] is None else page["radii"]
-            near = np.flatnonzero(np.abs(to_parent - page["up"]) - radii <= reach() + slack)  # without a distance computed
+            near = np.flatnonzero(np.abs(to_parent - page["up"]) - radii <= most)  # without a distance computed
             if not len(near):
                 continue
             if page["down"] is None:
-                offer(page["rows"][near])
+                offer(page, near)
                 continue
             own = distances(page["at"][near], query)
             for i, d in zip(near.tolist(), own.tolist(), strict=True):
                 bound = max(0.0, d - page["radii"][i] - SLACK * (1 + d))
-                if bound <= reach():
+                if bound <= most:
                     n += 1
                     heapq.heappush(heap, (bound, n, page["down"][i], d))
 
@@ -90,23 +91,47 @@ def _searcher(k: int, width: int, radius2: float):
     def run(queries: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         points, ids = _matrix(group["vector"], width), group["id"].to_numpy()
         tree = MTree(_lifted(points, radius2)) if len(queries) else None
+        pages = [tree.root] if tree else []
+        # products below 2^53 are exact as doubles, and much faster
+        exact = points.astype(np.float64) if len(points) and float(np.abs(points).max()) ** 2 * width < 2**52 else None
+        for page in pages:
+            pages += page["down"] or []
+            if page["down"] is None:
+                page["ids"], page["exact"] = ids[page["rows"]], None if exact is None else exact[page["rows"]]
         out = []
         for row in queries.itertuples(index=False):
             q = np.frombuffer(row.vector, np.int64)
-            lifted, square, best = np.append(q.astype(np.float64), 0.0), float((q.astype(np.float64) ** 2).sum()), []
-
-            def reach() -> float:
-                least = best[-1][0] if len(best) == k else None
-                least = row.least if least is None or (row.least is not None and row.least > -least) else -least
-                return np.inf if least is None or least != least else np.sqrt(max(square + radius2 - 2 * least, 0)) * (1 + SLACK) + SLACK
+            real = q.astype(np.float64)
+            square = float((real * real).sum())
+            known = float(row.least) if row.least is not None and row.least == row.least else -np.inf
+            best_scores, best_ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-            def offer(rows: np.ndarray) -> None:
-                rows = rows[ids[rows] != row.query_id]
-                found = zip((-(points[rows] @ q)).tolist(), ids[rows].tolist(), strict=True)
-                best[:] = heapq.nsmallest(k, [*best, *found])
+            def least() -> float:
+                return max(known, float(best_scores[-1]) if len(best_scores) == k else -np.inf)
 
-            tree.search(lifted, reach, offer)
-            out += [(row.query_id, i, -s) for s, i in best]
+            def reach() -> float:
+                low = least()
+                return np.inf if low == -np.inf else np.sqrt(max(square + radius2 - 2 * low, 0)) * (1 + SLACK) + SLACK
+
+            small = exact is not None and float(np.abs(real).max(initial=0)) ** 2 * width < 2**52
+
+            def offer(page: dict, near: np.ndarray) -> None:
+                nonlocal best_scores, best_ids
+                few = 4 * len(near) < len(page["rows"])  # else all products of the page cost less than a copy of some rows
+                rows, own = (page["rows"][near], page["ids"][near]) if few else (page["rows"], page["ids"])
+                if not small:
+                    scores = points[rows] @ q
+                else:
+                    scores = (page["exact"][near] if few else page["exact"]) @ real
+                good = np.flatnonzero((scores >= least()) & (own != row.query_id))
+                scores = scores.astype(np.int64)
+                if len(good):
+                    scores, own = np.concatenate((best_scores, scores[good])), np.concatenate((best_ids, own[good]))
+                    order = np.lexsort((own, -scores))[:k]
+                    best_scores, best_ids = scores[order], own[order]
+
+            tree.search(np.append(real, 0.0), reach, offer)
+            out += [(row.query_id, i, s) for i, s in zip(best_ids.tolist(), best_scores.tolist(), strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return run
