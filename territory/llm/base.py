@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 CHUNK_BYTES = 2 << 20
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: A-Z lower-cased, other ASCII characters that aren't letters or digits as spaces.
+TERMS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in _LOWER)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _BYTE_VALUE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -108,10 +110,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words [^\\x20\\x09-\\x0D]+ of many texts: byte spans in one buffer and the first word of each text."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False) -> None:
+    def __init__(self, texts: list[bytes], lower: bool = False, table: bytes | None = None) -> None:
         self.raw = b"\n".join(texts) + b"\n"
-        if lower:
-            self.raw = self.raw.translate(_LOWER)
+        if lower or table:
+            self.raw = self.raw.translate(table or _LOWER)
         self.bytes = np.frombuffer(self.raw, np.uint8)
         gap = _SEPARATOR[self.bytes]
         edges = np.flatnonzero(np.diff(gap)) + 1

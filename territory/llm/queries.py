@@ -9,11 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from territory.llm.bpe import op5_bpe
 from territory.llm.minhash import OP1_SQL, op1_minhash
 from territory.llm.mtree import OP4_SQL, op4_mtree
+from territory.llm.quality import op7_quality
 from territory.llm.substrings import OP9_SQL, op9_substrings
+from territory.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op4_mtree": op4_mtree, "op5_bpe": op5_bpe, "op9_substrings": op9_substrings}
+    return {
+        "op1_minhash": op1_minhash,
+        "op3_toxicity": op3_toxicity,
+        "op4_mtree": op4_mtree,
+        "op5_bpe": op5_bpe,
+        "op7_quality": op7_quality,
+        "op9_substrings": op9_substrings,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
