@@ -2,8 +2,8 @@
 
 Documents with equal shingle sets are one class. Class representatives get universal hash minima, cut into
 bands; who shares a band's bucket is compared, first by signature, then by full sets. A bucket
-first compares its members with its least one only, and joins what is confirmed; after that it compares
-members of different components, in blocks of bounded size. Components come from alternating stars.
+first compares its members with its least one only, then with another, and joins what is confirmed; after that
+it compares members of different components, in blocks of bounded size. Components come from alternating stars.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ BANDS, ROWS = 40, 4
 #: Share of equal minima under which a pair isn't compared in full: 5 standard deviations below 0.75.
 LEAST_EQUAL = 0.58
 #: Members of a bucket that are compared with each other in one task.
-BLOCK = 512
+BLOCK = 2048
 
 _rng = np.random.default_rng(75)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,19 +192,30 @@ def _links_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
 
-def _hub_links(keys: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links of bucket members with the bucket's least member."""
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
-    pairs = keys.join(hubs, "key").where("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those that are near, by signature and then by full sets."""
     sides = [reps.select(F.col("id").alias(c), F.col("minima").alias(f"minima_{c}")) for c in "ab"]
     alike = pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_alike, "a long, b long")
     sides = [docs.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
     return alike.join(sides[0], "a").join(sides[1], "b").mapInArrow(_confirm, "a long, b long")
 
 
-def _bucket_links(keys: DataFrame, reps: DataFrame, docs: DataFrame, component: DataFrame) -> DataFrame:
-    """Confirmed links between components that share a bucket."""
-    placed = keys.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _least_links(keys: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links of bucket members with the bucket's least member."""
+    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
+    return _confirmed(keys.join(hubs, "key").where("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), reps, docs)
+
+
+def _other_links(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links of members with any one member, where a bucket still has several components."""
+    hub = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "component")).alias("hub")
+    hubs = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub).where("low < high").select("key", "hub")
+    apart = placed.join(hubs, "key").where("component <> hub.component")
+    return _confirmed(apart.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct(), reps, docs)
+
+
+def _bucket_links(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links between components that share a bucket, whoever shows them."""
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     member = placed.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
@@ -217,6 +228,14 @@ def _bucket_links(keys: DataFrame, reps: DataFrame, docs: DataFrame, component:
     return met.mapInArrow(_links_in_bucket, "a long, b long")
 
 
+def _joined(whole: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(id, component) of each representative after more links."""
+    a, b = (whole.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    edges = links.join(a, "a").join(b, "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    found = connected_components(edges, scratch).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return scratch.write(whole.join(found, "component", "left").select("id", F.coalesce("least", "component").alias("component")), name)
+
+
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id (least id reachable over links) and kept of each row.
 
@@ -233,17 +252,13 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     group = scratch.write(known.groupBy(*same).agg(F.min("id").alias("rep")), "group")
     reps = scratch.write(known.join(group, same).where("id = rep").select("id", "keys", "minima").dropDuplicates(["id", "keys"]), "reps")
     keys = scratch.write(reps.mapInArrow(_explode_keys, "key long, id long"), "keys")
-    near = scratch.write(_hub_links(keys, reps, docs), "links")
-    first = scratch.write(connected_components(near, scratch), "first")
-    more = scratch.write(_bucket_links(keys, reps, docs, first), "more")
-    of = first.select(F.col("node"), F.col("component").alias("c"))
-    ends = more.join(of.withColumnsRenamed({"node": "a", "c": "ca"}), "a", "left").join(of.withColumnsRenamed({"node": "b", "c": "cb"}), "b", "left")
-    second = scratch.write(connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch), "second")
+    whole = reps.select("id", F.col("id").alias("component")).distinct()
+    whole = _joined(whole, scratch.write(_least_links(keys, reps, docs), "links"), scratch, "whole1")
+    whole = _joined(whole, scratch.write(_other_links(keys.join(whole, "id"), reps, docs), "others"), scratch, "whole2")
+    whole = _joined(whole, scratch.write(_bucket_links(keys.join(whole, "id"), reps, docs), "rest"), scratch, "whole3")
     for name in ("keys", "reps"):
         scratch.drop(name)
-    # a repeated id may lead several classes: these are one document
-    joined = group.join(of, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("c", "rep")).drop("node")
-    joined = joined.join(second.withColumnRenamed("component", "last"), F.col("c") == F.col("node"), "left").select(*same, F.coalesce("last", "c").alias("component_id"))
+    joined = group.join(whole.withColumnRenamed("id", "rep"), "rep").select(*same, F.col("component").alias("component_id"))
     rows = sketch.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("print1")).alias("print1"), "print2").join(joined, same, "left")
     component = F.coalesce("component_id", "id")
     return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
