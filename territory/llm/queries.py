@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from territory.llm.bpe import op5_bpe
+from territory.llm.language import op8_language
 from territory.llm.minhash import OP1_SQL, op1_minhash
 from territory.llm.mtree import OP4_SQL, op4_mtree
 from territory.llm.quality import op7_quality
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mtree": op4_mtree,
         "op5_bpe": op5_bpe,
         "op7_quality": op7_quality,
+        "op8_language": op8_language,
         "op9_substrings": op9_substrings,
     }
 
