@@ -12,6 +12,7 @@ from territory.llm.minhash import OP1_SQL, op1_minhash
 from territory.llm.mtree import OP4_SQL, op4_mtree
 from territory.llm.quality import op7_quality
 from territory.llm.substrings import OP9_SQL, op9_substrings
+from territory.llm.suffixlm import op10_suffixlm
 from territory.llm.toxicity import op3_toxicity
 
 
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op8_language": op8_language,
         "op9_substrings": op9_substrings,
+        "op10_suffixlm": op10_suffixlm,
     }
 
 
