@@ -13,6 +13,7 @@ from territory.llm.mtree import OP4_SQL, op4_mtree
 from territory.llm.quality import op7_quality
 from territory.llm.substrings import OP9_SQL, op9_substrings
 from territory.llm.suffixlm import op10_suffixlm
+from territory.llm.tiling import op6_decontaminate
 from territory.llm.toxicity import op3_toxicity
 
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_mtree": op4_mtree,
         "op5_bpe": op5_bpe,
+        "op6_decontaminate": op6_decontaminate,
         "op7_quality": op7_quality,
         "op8_language": op8_language,
         "op9_substrings": op9_substrings,
