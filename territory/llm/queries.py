@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from territory.llm.bpe import op5_bpe
+from territory.llm.html import op2_html
 from territory.llm.language import op8_language
 from territory.llm.minhash import OP1_SQL, op1_minhash
 from territory.llm.mtree import OP4_SQL, op4_mtree
@@ -20,6 +21,7 @@ from territory.llm.toxicity import op3_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
+        "op2_html": op2_html,
         "op3_toxicity": op3_toxicity,
         "op4_mtree": op4_mtree,
         "op5_bpe": op5_bpe,
