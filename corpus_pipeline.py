@@ -1,21 +1,61 @@
-"""Corpus cleaning: the stages, each a function of (spark, docs, sf_dir), and their run over `documents`."""
+"""Corpus cleaning: the stages, each a function of (spark, docs, sf_dir), and their run over `documents`.
+
+Each stage works on all that the one before it kept. All but the last return the columns of documents;
+repeated ids and rows with nulls pass as the operators define.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from territory.llm import bpe, language, minhash, substrings, tiling
 from territory.llm.base import Scratch, read_table
-from territory.llm.bpe import digest, vocabulary_path
+
+#: Under this share of the evidence, a document's language counts as unknown.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID (8): documents whose language is `und` or uncertain go."""
+    found = language.predict(docs.select(*docs.columns), language.fit(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup (1): of each component the document with the least id stays."""
+    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Substring dedup (9): words under passages that an earlier document holds go; untouched texts stay as they are."""
+    kept = substrings.drop_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination (6): documents that hold a benchmark item go."""
+    held = tiling.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE: the number of tokens and the digests of ids and decoded text of each document."""
-    return digest(docs, vocabulary_path())
+    """BPE (5): the number of tokens and the digests of ids and decoded text of each document."""
+    return bpe.digest(docs, bpe.vocabulary_path())
 
 
-STAGES = [("bpe", encoded)]
+STAGES = [
+    ("language", known_language),
+    ("near_duplicates", one_of_each),
+    ("substrings", no_repeats),
+    ("decontamination", no_benchmark),
+    ("bpe", encoded),
+]
 
-#: The stages hold a boosted language model and near-duplicate search, which SQL can't express.
+#: Language ID learns a model and BPE follows a vocabulary, which SQL can't express.
 ORACLE_SQL = None
 
 
