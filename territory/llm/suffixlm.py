@@ -120,32 +120,28 @@ class SuffixTree:
         rare = byte_counts[order[SYMBOLS - 1 :]].astype(np.float64)
         self.within = np.zeros(256)  # of a byte among the bytes that share the last symbol
         self.within[order[SYMBOLS - 1 :]] = np.log10((rare + 1) / (rare.sum() + len(rare)))
-        stats = []
-        for codes, counts in grams:
+        smooth = np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
+        states, shape, keep = [], [], []
+        for k, (codes, counts) in enumerate(grams):
             contexts, at = np.unique(codes // SYMBOLS, return_inverse=True)
-            table = np.zeros((len(contexts), SYMBOLS))
-            np.add.at(table, (at, codes % SYMBOLS), counts)
-            stats.append((contexts, table))
-        root = stats[0][1][0] if len(stats[0][0]) else np.zeros(SYMBOLS)
-        shape = [((root + 1) / (root.sum() + SYMBOLS))[None, :]]
-        states, keep = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
-        smooth = shape[0]
-        for k in range(1, DEPTH + 1):
-            contexts, table = stats[k]
-            parent = self._find(states_all := stats[k - 1][0] if k > 1 else np.zeros(1, np.int64), contexts % SYMBOLS ** (k - 1))
-            fits = parent >= 0
-            contexts, table, parent = contexts[fits], table[fits], parent[fits]
-            stats[k] = (contexts, table)
+            if k == 0:
+                contexts = np.zeros(1, np.int64)
+            table = np.zeros((len(contexts), SYMBOLS), np.float32)
+            table[at, codes % SYMBOLS] = counts
+            parent = self._find(states[k - 1], contexts % SYMBOLS ** (k - 1)) if k else np.zeros(1, np.int64)
+            contexts, table, below = contexts[parent >= 0], table[parent >= 0], smooth[parent[parent >= 0]]
             total, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
-            own = (table + kinds * smooth[parent]) / (total + kinds) if len(contexts) else np.zeros((0, SYMBOLS))
-            divergence = (own * np.log(own / smooth[parent])).sum(axis=1) if len(contexts) else np.zeros(0)
+            table += np.maximum(kinds, 1) * below
+            table /= total + np.maximum(kinds, 1)
+            divergence = (table * np.log(table / below)).sum(axis=1)
             good = (divergence >= LEAST_DIVERGENCE) & (divergence * total[:, 0] >= LEAST_GAIN)
-            # a context that isn't kept has its suffix's distribution
-            smooth = np.where(good[:, None], own, smooth[parent]) if len(contexts) else own
-            shape.append(smooth)
-            keep.append(contexts[good])
+            if k:
+                table[~good] = below[~good]  # a context that isn't kept has its suffix's distribution
+            smooth = table
             states.append(contexts)
-            del states_all
+            shape.append(table)
+            keep.append(contexts[good])
+        keep[0] = keep[0][:0]
         # states: kept contexts, with all their prefixes and suffixes, so that one step leads to the longest suffix
         closed = [set() for _ in range(DEPTH + 1)]
         closed[0] = {0}
@@ -161,11 +157,12 @@ class SuffixTree:
             at = self._find(states[k], nodes[k])
             below = rows[k - 1][self._find(nodes[k - 1], nodes[k] % SYMBOLS ** (k - 1))]
             rows.append(np.where((at >= 0)[:, None], shape[k][np.maximum(at, 0)], below) if len(shape[k]) else below)
-        self.log = np.log10(np.vstack(rows)).astype(np.float32)
+        self.log = np.log10(np.vstack(rows))
+        del rows, shape
         self.next = np.zeros((base[-1], SYMBOLS), np.int32)
         for k in range(DEPTH + 1):
             moved = nodes[k][:, None] * SYMBOLS + np.arange(SYMBOLS)
-            target = np.full(moved.shape, -1, np.int64)
+            target = np.full(moved.shape, -1, np.int32)
             for j in range(min(k + 1, DEPTH), -1, -1):
                 open_ = target < 0
                 at = self._find(nodes[j], moved[open_] % SYMBOLS**j)
