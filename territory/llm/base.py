@@ -127,12 +127,26 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of each word: a polynomial over its bytes, taken from prefix sums."""
-        up, down = _power_tables(len(self.bytes) + 1)
+    def _sums(self) -> np.ndarray:
         sums = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[self.bytes] * up[: len(self.bytes)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        np.cumsum(_BYTE_VALUE[self.bytes] * _power_tables(len(self.bytes) + 1)[0][: len(self.bytes)], out=sums[1:])
+        return sums
+
+    def hashes(self, sums: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """64-bit hash of each word, or of its bytes up to `end`: a polynomial over the bytes, taken from prefix sums."""
+        sums, end = self._sums() if sums is None else sums, self.end if end is None else end
+        return mix((sums[end] - sums[self.start]) * _power_tables(len(self.bytes) + 1)[1][self.start] + (end - self.start).astype(np.uint64))
+
+    def hashes_and_stems(self, widths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words and of their first few bytes, where they are longer, each with its text."""
+        sums, of = self._sums(), self.text_of_word()
+        hashes, texts = [self.hashes(sums)], [of]
+        for width in widths:
+            longer = self.end - self.start > width
+            stems = self.hashes(sums, np.minimum(self.end, self.start + width))
+            hashes.append(mix(stems[longer] + np.uint64(width)))
+            texts.append(of[longer])
+        return np.concatenate(hashes), np.concatenate(texts)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)

@@ -167,7 +167,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch], id: str, text: str) -> Iterator[
     for batch in slices(batches, text):
         words = Words(raw_texts(batch.column(text)))
         removed, kept = [], []
-        for i, (from_, to) in enumerate(zip(batch.column("from").to_pylist(), batch.column("to").to_pylist(), strict=True)):
+        for i, (from_, to) in enumerate(zip(batch.column("__from").to_pylist(), batch.column("__to").to_pylist(), strict=True)):
             base, n = int(words.first[i]), int(words.counts[i])
             gone = np.zeros(n + 1, np.int32)
             if from_:
@@ -176,7 +176,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch], id: str, text: str) -> Iterator[
             stay = base + np.flatnonzero(np.cumsum(gone)[:n] == 0)
             removed.append(n - len(stay))
             kept.append(b" ".join([words.raw[a:b] for a, b in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)]))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in ("from", "to")), pa.array(words.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*(c for c in batch.schema.names if c not in ("from", "to")), "n_words", "n_removed", "kept_text"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in ("__from", "__to")), pa.array(words.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*(c for c in batch.schema.names if c not in ("__from", "__to")), "n_words", "n_removed", "kept_text"])
 
 
 def drop_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,11 +204,11 @@ def drop_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     many = each.join(least, ["prefix", "window"]).groupBy("prefix", "context").agg(F.sort_array(F.collect_set(F.struct("place", "least"))).alias("x")).select("prefix", "context", F.col("x.least").alias("firsts"))
     known = contexts.select("prefix", "context", F.col("first.id").alias("first")).join(few.unionByName(many), ["prefix", "context"], "left")
     ranges = seen.join(known, ["prefix", "context"]).select("id", "print", "at", "span", "first", "firsts").mapInArrow(_covered, "id long, print long, from int, to int")
-    ranges = scratch.write(ranges.groupBy("id", "print").agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to")), "ranges")
+    ranges = scratch.write(ranges.groupBy("id", "print").agg(F.collect_list("from").alias("__from"), F.collect_list("to").alias("__to")), "ranges")
     for name in ("seen", "contexts", "cut"):
         scratch.drop(name)
-    rest = df.drop("n_words", "n_removed", "kept_text", "from", "to", "__id", "__print")
-    keyed = rest.withColumns({"__id": F.col(id).cast("long"), "__print": F.xxhash64(text)}).join(ranges.withColumnsRenamed({"id": "__id", "print": "__print"}), ["__id", "__print"], "left").select(*rest.columns, "from", "to")
+    rest = df.drop("n_words", "n_removed", "kept_text")
+    keyed = rest.withColumns({"__id": F.col(id).cast("long"), "__print": F.xxhash64(text)}).join(ranges.withColumnsRenamed({"id": "__id", "print": "__print"}), ["__id", "__print"], "left").select(*rest.columns, "__from", "__to")
     return keyed.mapInArrow(lambda batches: _cut_out(batches, id, text), widened(rest, n_words="long", n_removed="long", kept_text="string"))
 
 

@@ -24,6 +24,10 @@ from territory.llm.labelled import FIT_ROWS, labelled_sample
 TERMS, EXAMPLES, NEAREST, BLOCK = 300, 4000, 15, 64
 #: A term must be in so many documents of label 1 and so many times likelier there.
 LEAST_DOCUMENTS, LEAST_RATIO = 3, 3.0
+#: Twice the log likelihood that a term must gain: chance gives about one of 50,000 terms as much.
+LEAST_GAIN = 18.0
+#: Terms are words, and the first so many bytes of longer words.
+STEMS = (4, 5)
 
 
 def _found(texts: list[bytes], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,11 +36,10 @@ def _found(texts: list[bytes], vocabulary: np.ndarray) -> tuple[np.ndarray, np.n
     none = np.zeros(0, np.int64)
     if not len(vocabulary) or not len(words):
         return none, none, none
-    hashes = words.hashes()
+    hashes, text = words.hashes_and_stems(STEMS)
     at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
     hit = np.flatnonzero(vocabulary[at] == hashes)
-    text = np.searchsorted(words.first[1:], hit, side="right")
-    cell, count = np.unique(text * len(vocabulary) + at[hit], return_counts=True)
+    cell, count = np.unique(text[hit] * len(vocabulary) + at[hit], return_counts=True)
     return cell // len(vocabulary), cell % len(vocabulary), count
 
 
@@ -44,7 +47,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     for batch in slices(batches, "text"):
         words = Words(raw_texts(batch.column("text")), table=SEPARATE)
         y = batch.column("y").to_numpy()
-        pairs = np.unique(np.rec.fromarrays((words.hashes(), words.text_of_word()), names="term,text"))
+        pairs = np.unique(np.rec.fromarrays(words.hashes_and_stems(STEMS), names="term,text"))
         terms, at = np.unique(pairs["term"], return_inverse=True)
         toxic = np.bincount(at, y[pairs["text"]], len(terms)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(toxic), pa.array(np.bincount(at, minlength=len(terms)).astype(np.int64))], names=["term", "toxic", "documents"])
@@ -61,7 +64,7 @@ def vocabulary(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     a, b = F.col("a"), F.col("d") - F.col("a")
     gain = 2 * (a * F.log(a / (F.col("d") * share)) + F.when(b > 0, b * F.log(b / (F.col("d") * (1 - share)))).otherwise(0.0))
     likelier = ((a + 0.5) / positive) / ((b + 0.5) / (n - positive)) >= LEAST_RATIO
-    best = counts.where(likelier).orderBy(F.desc(gain), "term").limit(TERMS).select("term", "d").toPandas().sort_values("term", key=lambda s: s.to_numpy(np.int64).view(np.uint64) if len(s) else s)
+    best = counts.where(likelier & (gain >= LEAST_GAIN)).orderBy(F.desc(gain), "term").limit(TERMS).select("term", "d").toPandas().sort_values("term", key=lambda s: s.to_numpy(np.int64).view(np.uint64) if len(s) else s)
     return best["term"].to_numpy(np.int64).view(np.uint64), np.log(1 + n / best["d"].to_numpy(np.float64)), share
 
 
