@@ -97,7 +97,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of polynomial hashes and of its inverse, n at least."""
     if not _powers or len(_powers["up"]) < n:
         size = max(n, CHUNK_BYTES + (1 << 16))
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
@@ -129,13 +130,13 @@ class Words:
 
     def _sums(self) -> np.ndarray:
         sums = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[self.bytes] * _power_tables(len(self.bytes) + 1)[0][: len(self.bytes)], out=sums[1:])
+        np.cumsum(_BYTE_VALUE[self.bytes] * power_tables(len(self.bytes) + 1)[0][: len(self.bytes)], out=sums[1:])
         return sums
 
     def hashes(self, sums: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """64-bit hash of each word, or of its bytes up to `end`: a polynomial over the bytes, taken from prefix sums."""
         sums, end = self._sums() if sums is None else sums, self.end if end is None else end
-        return mix((sums[end] - sums[self.start]) * _power_tables(len(self.bytes) + 1)[1][self.start] + (end - self.start).astype(np.uint64))
+        return mix((sums[end] - sums[self.start]) * power_tables(len(self.bytes) + 1)[1][self.start] + (end - self.start).astype(np.uint64))
 
     def hashes_and_stems(self, widths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words and of their first few bytes, where they are longer, each with its text."""
@@ -157,7 +158,7 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(hashes) + 1)
+    up, down = power_tables(len(hashes) + 1)
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
     return mix((sums[width:] - sums[:n]) * down[:n])

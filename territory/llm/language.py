@@ -2,13 +2,12 @@
 
 A word that the table knows adds its log frequency in each language. An unseen word falls back to its character
 4-grams, then 3-, 2- and 1-grams: the longest length of which the table knows any. The tables are
-counted on a bounded sample of each language and hold its commonest words and n-grams.
+counted on a bounded sample of each language and hold its commonest words and n-grams, by their hashes.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,90 +15,126 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from territory.llm.base import Scratch, crc_remainder, raw_texts, read_table, slices, widened
+from territory.llm.base import Scratch, crc_remainder, mix, power_tables, raw_texts, read_table, slices, widened
 
 #: Documents that a language is fitted on, about; entries of each length in its table (words count as length 0).
 DOCUMENTS, ENTRIES, LONGEST = 2000, 5000, 4
 #: Evidence of more words than this many doesn't make the score any surer.
 SURE = 50
-#: Unseen words that a worker remembers before it starts anew.
-CACHE_WORDS = 500_000
+#: Bytes of text that are looked at together.
+TOGETHER = 1 << 20
 
-_LETTERS = re.compile(r"[^\W\d_]+")
 
+@functools.cache
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
-def letter_words(text: bytes) -> list[str]:
-    """Lower-cased runs of letters."""
-    return _LETTERS.findall(text.decode("utf-8", "replace").lower())
 
+class LetterWords:
+    """Lower-cased runs of letters of many texts, and hashes of them and of the n-grams in them."""
 
-def grams(word: str, length: int) -> list[str]:
-    """Character n-grams; those longer than one letter see the word's ends."""
-    marked = word if length == 1 else f"^{word}$"
-    return [marked[i : i + length] for i in range(len(marked) - length + 1)]
+    def __init__(self, texts: list[bytes]) -> None:
+        lowered = [t.decode("utf-8", "replace").lower() for t in texts]
+        codes = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "replace"), np.uint32)
+        letter = _letters()[codes]
+        edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        self.start, self.end = edges[0::2], edges[1::2]
+        begin = np.cumsum([1, *(len(t) + 1 for t in lowered)])
+        self.first = np.searchsorted(self.start, begin)
+        self.counts = np.diff(self.first)
+        self.of = np.repeat(np.arange(len(texts)), self.counts)
+        self.up, self.down = power_tables(len(codes) + 1)
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        # what isn't a letter is the same everywhere: a word's end
+        np.cumsum((np.where(letter, codes, 0).astype(np.uint64) + np.uint64(1)) * self.up[: len(codes)], out=self.sums[1:])
+
+    def words(self) -> np.ndarray:
+        return self._hash(self.start, self.end)
+
+    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+    def grams(self, words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the n-grams of some words, and which of these has each; those of two or more see the word's ends."""
+        edge = int(length > 1)
+        begin, n = self.start[words] - edge, np.maximum(self.end[words] - self.start[words] + 2 * edge - length + 1, 0)
+        owner = np.repeat(np.arange(len(words)), n)
+        at = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        return self._hash(at, at + length), owner
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        words: dict[str, Counter] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), raw_texts(batch.column("text")), strict=True):
-            words.setdefault(lang, Counter()).update(letter_words(text))
-        out: Counter = Counter()
-        for lang, counts in words.items():
-            for word, n in counts.items():
-                out[lang, 0, word] += n
-                for length in range(1, LONGEST + 1):
-                    for gram in grams(word, length):
-                        out[lang, length, gram] += n
-        if out:
-            lang, length, entry = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(length, pa.int32()), pa.array(entry, pa.string()), pa.array(list(out.values()), pa.int64())], names=["lang", "length", "entry", "n"])
+    for batch in slices(batches, "text", TOGETHER):
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        texts = raw_texts(batch.column("text"))
+        for lang in sorted(set(langs)):
+            found = LetterWords([t for t, x in zip(texts, langs, strict=True) if x == lang])
+            words, at, n = np.unique(found.words(), return_index=True, return_counts=True)
+            for length in range(LONGEST + 1):
+                keys, counts = words, n
+                if length:
+                    grams, owner = found.grams(at, length)
+                    keys, where = np.unique(grams, return_inverse=True)
+                    counts = np.bincount(where, n[owner], len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), length, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["lang", "length", "entry", "n"])
 
 
 class Model:
-    """Log frequencies of words and n-grams for each language."""
+    """Log frequencies of words and n-grams for each language: sorted hashes, and a row for each."""
 
     def __init__(self, rows: list) -> None:
         self.languages = sorted({r["lang"] for r in rows})
         place = {lang: i for i, lang in enumerate(self.languages)}
-        total = np.zeros((LONGEST + 1, len(place)))
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for r in rows:
-            counts[r["length"]].setdefault(r["entry"], np.zeros(len(place)))[place[r["lang"]]] = r["n"]
-            total[r["length"], place[r["lang"]]] = r["total"]
-        self.tables = [{e: np.log((c + 0.5) / (total[k] + 1)) for e, c in t.items()} for k, t in enumerate(counts)]
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, len(place)))
-
-    def word(self, word: str) -> np.ndarray:
-        if word in self.tables[0]:
-            return self.tables[0][word]
+        self.tables = []
+        for length in range(LONGEST + 1):
+            own = [r for r in rows if r["length"] == length]
+            keys, at = np.unique(np.array([r["entry"] for r in own], np.int64).view(np.uint64), return_inverse=True)
+            counts, total = np.zeros((len(keys), len(place))), np.zeros(len(place))
+            for r, i in zip(own, at.tolist(), strict=True):
+                counts[i, place[r["lang"]]] = r["n"]
+                total[place[r["lang"]]] = r["total"]
+            self.tables.append((keys, np.log((counts + 0.5) / (total + 1))))
+
+    def _look(self, length: int, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash in the table of a length, or -1."""
+        keys = self.tables[length][0]
+        if not len(keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return np.where(keys[at] == hashes, at, -1)
+
+    def evidence(self, found: LetterWords) -> np.ndarray:
+        """The sum over each text's words: a row for each text, a column for each language."""
+        hashes, n = found.words(), len(found.counts)
+        rows = self._look(0, hashes)
+        seen = rows >= 0
+        _, at, which = np.unique(hashes[~seen], return_index=True, return_inverse=True)
+        unseen = np.zeros((len(at), len(self.languages)))
+        words, left = np.flatnonzero(~seen)[at], np.arange(len(at))
         for length in range(LONGEST, 0, -1):
-            if found := [self.tables[length][g] for g in grams(word, length) if g in self.tables[length]]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
-
-    def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
-        cut = [letter_words(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.rows = {}, self.rows[:0]
-        if new := list({w for words in cut for w in words if w not in self.known}):
-            added = np.array([self.word(w) for w in new]).reshape(len(new), -1)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.rows = np.vstack((self.rows, added))
-        labels, scores = [], []
-        for words in cut:
-            if not words or not self.languages:
-                labels.append("und")
-                scores.append(0.0)
-                continue
-            log = self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)
-            log *= min(1.0, SURE / len(words))
-            share = np.exp(log - log.max())
-            best = int(log.argmax())
-            labels.append(self.languages[best])
-            scores.append(float(share[best] / share.sum()))
-        return labels, scores
+            grams, owner = found.grams(words[left], length)
+            row = self._look(length, grams)
+            owner, row = owner[row >= 0], row[row >= 0]
+            known = np.bincount(owner, minlength=len(left))
+            for i in range(len(self.languages)):
+                unseen[left, i] = np.bincount(owner, self.tables[length][1][row, i], len(left)) / np.maximum(known, 1)
+            left = left[known == 0]
+        columns = []
+        for i in range(len(self.languages)):
+            each = np.empty(len(hashes))
+            each[seen], each[~seen] = self.tables[0][1][rows[seen], i], unseen[which, i]
+            columns.append(np.bincount(found.of, each, n))
+        return np.column_stack(columns)
+
+    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+        found = LetterWords(texts)
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        log = self.evidence(found) * np.minimum(1.0, SURE / np.maximum(found.counts, 1))[:, None]
+        share = np.exp(log - log.max(axis=1, keepdims=True))
+        best, empty = log.argmax(axis=1), found.counts == 0
+        labels = ["und" if e else self.languages[b] for b, e in zip(best.tolist(), empty.tolist(), strict=True)]
+        return labels, np.where(empty, 0.0, share.max(axis=1) / share.sum(axis=1))
 
 
 def fit(documents: DataFrame, modulus: int = 5, held: int = 0) -> Model:
@@ -109,7 +144,7 @@ def fit(documents: DataFrame, modulus: int = 5, held: int = 0) -> Model:
     shares = rows.groupBy("lang").agg((DOCUMENTS / F.count("*")).alias("share"))
     unit = (F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / (1 << 30))
     sample = rows.join(F.broadcast(shares), "lang").where(unit < F.col("share")).select("lang", "text")  # one row for each language
-    counts = sample.mapInArrow(_count, "lang string, length int, entry string, n long").groupBy("lang", "length", "entry").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(_count, "lang string, length int, entry long, n long").groupBy("lang", "length", "entry").agg(F.sum("n").alias("n"))
     counts = scratch.write(counts, "counts")
     best = Window.partitionBy("lang", "length").orderBy(F.desc("n"), "entry")
     table = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= ENTRIES).drop("place")
@@ -125,7 +160,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = df.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, TOGETHER):
             labels, scores = model.predict(raw_texts(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
