@@ -139,7 +139,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(sample: DataFrame) -> Trees:
     """Trees from (text, y); the sample's statistics, not its texts, come to the driver."""
-    rows = sample.select("text", "y").mapInArrow(_measure, "x array<double>, y int").toPandas()
+    rows = sample.select("text", "y").mapInArrow(_measure, "x array<double>, y int").toArrow().to_pandas()
     return Trees.fit(np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(STATISTICS)), rows["y"].to_numpy(np.float64))
 
 

@@ -273,9 +273,9 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     scratch = Scratch(spark)
     docs = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     train = docs.where(crc_remainder(F.col("id"), modulus) != held)
-    found = train.select("text").mapInArrow(_byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).toPandas()
+    found = train.select("text").mapInArrow(_byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).toArrow()
     byte_counts = np.zeros(256, np.int64)
-    byte_counts[found["byte"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    byte_counts[found["byte"].to_numpy()] = found["n"].to_numpy()
     counted = train.select("text").mapInArrow(_counter(symbol_classes(byte_counts)), "kind int, key long, n long")
     counted = scratch.write(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counted")
     words, grams = counted.where("kind = 0").select("key", "n"), counted.where("kind = 1").select("key", "n")
@@ -288,12 +288,13 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     for k in range(DEPTH + 1):
         whole = grams.groupBy((F.col("key") % SYMBOLS ** (k + 1)).alias("key")).agg(F.sum("n").alias("n"))
         often = whole.groupBy(F.floor(F.col("key") / SYMBOLS).alias("context")).agg(F.sum("n").alias("of")).where(F.col("of") >= max(2, LEAST_SHARE * symbols)).select("context")
-        level = whole.withColumn("context", F.floor(F.col("key") / SYMBOLS)).join(often, "context", "left_semi").orderBy("key").select("key", "n").toPandas()
-        levels.append((level["key"].to_numpy(np.int64), level["n"].to_numpy(np.int64)))
+        level = whole.withColumn("context", F.floor(F.col("key") / SYMBOLS)).join(often, "context", "left_semi").select("key", "n").toArrow().sort_by("key")
+        levels.append((level["key"].to_numpy(), level["n"].to_numpy()))
     tree = spark.sparkContext.broadcast(SuffixTree(byte_counts, levels))
-    top = words.orderBy(F.desc("n"), "key").limit(COMMON).toPandas().sort_values("key")
+    del levels, level
+    top = words.orderBy(F.desc("n"), "key").limit(COMMON).toArrow().sort_by("key")
     groups = max(1, -(-tokens // GROUP_ENTRIES))
-    looked = scratch.write(docs.mapInArrow(_pass(tree, top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64), size, int(texts), groups), "row long, id long, `group` int, n_tokens long, n_known long, base double, score double, keys binary, rows binary, counts binary"), "looked")
+    looked = scratch.write(docs.mapInArrow(_pass(tree, top["key"].to_numpy(), top["n"].to_numpy(), size, int(texts), groups), "row long, id long, `group` int, n_tokens long, n_known long, base double, score double, keys binary, rows binary, counts binary"), "looked")
     entries = looked.where("`group` >= 0").select("group", "keys", "rows", "counts")
     dealt = words.withColumn("group", (F.shiftrightunsigned("key", 33) % groups).cast("int"))
     more = entries.groupBy("group").cogroup(dealt.groupBy("group")).applyInArrow(_looker(size), "row long, more_base double, more_known long")

@@ -77,7 +77,7 @@ class Examples:
         padded = np.zeros((-(-len(ids) // BLOCK) * BLOCK, vectors.shape[1]))
         padded[: len(ids)] = vectors[order]
         #: postings[t][b]: weights of term t in block b, for the blocks that have it
-        self.postings = padded.T.reshape(vectors.shape[1], -1, BLOCK)
+        self.postings = padded.T.reshape(vectors.shape[1], len(padded) // BLOCK, BLOCK)
         self.block_max = self.postings.max(axis=2) if len(ids) else np.zeros((vectors.shape[1], 0))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +151,7 @@ def fit(sample: DataFrame) -> Model:
             columns = [pa.array(list(np.split(c, cut)), pa.list_(pa.int64())) for c in (term, count)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *columns], names=["id", "y", "terms", "counts"])
 
-    rows = sample.mapInArrow(run, "id long, y int, terms array<long>, counts array<long>").toPandas().sort_values("id", kind="stable")
+    rows = sample.mapInArrow(run, "id long, y int, terms array<long>, counts array<long>").toArrow().to_pandas().sort_values("id", kind="stable")
     rows = rows.iloc[np.random.default_rng(3).permutation(len(rows))]
     dense, y, ids = np.zeros((len(rows), len(terms))), rows["y"].to_numpy(np.float64), rows["id"].to_numpy(np.int64)
     for i, (t, c) in enumerate(zip(rows["terms"], rows["counts"], strict=True)):
