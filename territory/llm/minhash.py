@@ -200,17 +200,22 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return alike.join(sides[0], "a").join(sides[1], "b").mapInArrow(_confirm, "a long, b long")
 
 
-def _least_links(keys: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links of bucket members with the bucket's least member."""
+def _shared(keys: DataFrame) -> DataFrame:
+    """(key, id, hub) of buckets with several members; the hub is the least."""
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
-    return _confirmed(keys.join(hubs, "key").where("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), reps, docs)
+    return keys.join(hubs, "key")
+
+
+def _least_links(shared: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links of bucket members with the bucket's least member."""
+    return _confirmed(shared.where("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), reps, docs)
 
 
 def _other_links(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links of members with any one member, where a bucket still has several components."""
     hub = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "component")).alias("hub")
-    hubs = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub).where("low < high").select("key", "hub")
-    apart = placed.join(hubs, "key").where("component <> hub.component")
+    hubs = placed.drop("hub").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub).where("low < high").select("key", "hub")
+    apart = placed.select("key", "id", "component").join(hubs, "key").where("component <> hub.component")
     return _confirmed(apart.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct(), reps, docs)
 
 
@@ -250,15 +255,22 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     same = ["print1", "print2"]
     known = sketch.where("n > 0 and id is not null")
     group = scratch.write(known.groupBy(*same).agg(F.min("id").alias("rep")), "group")
-    reps = scratch.write(known.join(group, same).where("id = rep").select("id", "keys", "minima").dropDuplicates(["id", "keys"]), "reps")
+    reps = scratch.write(known.join(group.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "keys", "minima").dropDuplicates(["id", "keys"]), "reps")
     keys = scratch.write(reps.mapInArrow(_explode_keys, "key long, id long"), "keys")
-    whole = reps.select("id", F.col("id").alias("component")).distinct()
-    whole = _joined(whole, scratch.write(_least_links(keys, reps, docs), "links"), scratch, "whole1")
-    whole = _joined(whole, scratch.write(_other_links(keys.join(whole, "id"), reps, docs), "others"), scratch, "whole2")
-    whole = _joined(whole, scratch.write(_bucket_links(keys.join(whole, "id"), reps, docs), "rest"), scratch, "whole3")
-    for name in ("keys", "reps"):
+    shared = scratch.write(_shared(keys), "shared")
+    scratch.drop("keys")
+    # what is compared from here on is the part of all documents that meets another
+    met = scratch.write(shared.select("id").distinct(), "met")
+    near = scratch.write(reps.join(met, "id"), "near")
+    texts = scratch.write(docs.join(met, "id"), "texts")
+    scratch.drop("reps")
+    whole = near.select("id", F.col("id").alias("component")).distinct()
+    whole = _joined(whole, scratch.write(_least_links(shared, near, texts), "links"), scratch, "whole1")
+    whole = _joined(whole, scratch.write(_other_links(shared.join(whole, "id"), near, texts), "others"), scratch, "whole2")
+    whole = _joined(whole, scratch.write(_bucket_links(shared.select("key", "id").join(whole, "id"), near, texts), "rest"), scratch, "whole3")
+    for name in ("shared", "near", "texts"):
         scratch.drop(name)
-    joined = group.join(whole.withColumnRenamed("id", "rep"), "rep").select(*same, F.col("component").alias("component_id"))
+    joined = group.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     rows = sketch.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("print1")).alias("print1"), "print2").join(joined, same, "left")
     component = F.coalesce("component_id", "id")
     return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
