@@ -225,7 +225,7 @@ def _pass(tree, common_keys: np.ndarray, common_counts: np.ndarray, size: float,
             row += n
             none = pa.nulls(n, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("id").cast(pa.int64()), pa.array(np.full(n, -1, np.int32)), pa.array(words.counts.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(tree.value.scores(raw)), none, none, none], names=names)
-            # entries (word, text, count) of the other words, a row for each group
+            # entries (word, text, count) of the other words, a row for each group; `row` is the first text's
             order = np.lexsort((of[~hit], hashes[~hit]))
             keys, rows = hashes[~hit][order], ids[of[~hit][order]]
             if len(keys):
@@ -237,28 +237,38 @@ def _pass(tree, common_keys: np.ndarray, common_counts: np.ndarray, size: float,
                 cut = np.searchsorted(group[order], np.arange(groups + 1))
                 out = [(g, *(x[order[a:b]].tobytes() for x in (keys, rows, counts))) for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
                 g, k, r, c = zip(*out, strict=True)
-                columns = [None, None, list(g), None, None, None, None, list(k), list(r), list(c)]
+                columns = [[int(ids[0])] * len(out), None, list(g), None, None, None, None, list(k), list(r), list(c)]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(out), t) if x is None else pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
 
+def _summed(rows: np.ndarray, base: np.ndarray, known: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    texts, of = np.unique(rows, return_inverse=True)
+    return texts.tobytes(), np.bincount(of, base, len(texts)).tobytes(), np.bincount(of, known, len(texts)).astype(np.int64).tobytes()
+
+
+def _gathered(parts: pa.Table) -> pa.Table:
+    """The sums of all groups for the texts that were looked at together."""
+    packed = (np.frombuffer(b"".join(parts.column(c).to_pylist()), k) for c, k in (("rows", np.int64), ("base", np.float64), ("known", np.int64)))
+    rows, base, known = (np.frombuffer(x, k) for x, k in zip(_summed(*packed), (np.int64, np.float64, np.int64), strict=True))
+    return pa.table({"row": rows, "more_base": base, "more_known": known})
+
+
 def _looker(size: float):
     def run(entries: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        """Sums over one group's words, for each text that has some."""
+        """Sums over one group's words for each text that has some, packed for the texts that were looked at together."""
         keys, n = vocabulary.column("key").to_numpy(), vocabulary.column("n").to_numpy()
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
-        out = []
-        for batch in entries.to_batches():
-            wanted, rows, counts = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("keys", np.int64), ("rows", np.int64), ("counts", np.int32)))
+        sums = []
+        for first, *packed in zip(*(entries.column(c).to_pylist() for c in ("row", "keys", "rows", "counts")), strict=True):
+            wanted, rows, counts = (np.frombuffer(x, kind) for x, kind in zip(packed, (np.int64, np.int64, np.int32), strict=True))
             at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
             found = np.where(keys[at] == wanted, n[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
-            texts, of = np.unique(rows, return_inverse=True)
-            base = np.bincount(of, counts * np.log10((found + 1) / size), len(texts))
-            known = np.bincount(of, counts * (found > 0), len(texts)).astype(np.int64)
-            out.append(pa.table({"row": texts, "more_base": base, "more_known": known}))
-        return pa.concat_tables(out) if out else pa.table({"row": pa.array([], pa.int64()), "more_base": pa.array([], pa.float64()), "more_known": pa.array([], pa.int64())})
+            sums.append((first, *_summed(rows, counts * np.log10((found + 1) / size), counts * (found > 0))))
+        columns = zip(*sums, strict=True) if sums else [[]] * 4
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["row", "rows", "base", "known"])
 
     return run
 
@@ -295,10 +305,10 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     top = words.orderBy(F.desc("n"), "key").limit(COMMON).toArrow().sort_by("key")
     groups = max(1, -(-tokens // GROUP_ENTRIES))
     looked = scratch.write(docs.mapInArrow(_pass(tree, top["key"].to_numpy(), top["n"].to_numpy(), size, int(texts), groups), "row long, id long, `group` int, n_tokens long, n_known long, base double, score double, keys binary, rows binary, counts binary"), "looked")
-    entries = looked.where("`group` >= 0").select("group", "keys", "rows", "counts")
+    entries = looked.where("`group` >= 0").select("group", "row", "keys", "rows", "counts")
     dealt = words.withColumn("group", (F.shiftrightunsigned("key", 33) % groups).cast("int"))
-    more = entries.groupBy("group").cogroup(dealt.groupBy("group")).applyInArrow(_looker(size), "row long, more_base double, more_known long")
-    more = more.groupBy("row").agg(F.sum("more_base").alias("more_base"), F.sum("more_known").alias("more_known"))
+    more = entries.groupBy("group").cogroup(dealt.groupBy("group")).applyInArrow(_looker(size), "row long, rows binary, base binary, known binary")
+    more = more.groupBy("row").applyInArrow(_gathered, "row long, more_base double, more_known long")
     rows = looked.where("`group` < 0").join(more, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return rows.select(
