@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker handles at once; arrays take about 40 times as much.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: A-Z lower-cased, other ASCII characters that aren't letters or digits as spaces.
@@ -25,6 +26,7 @@ _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _BYTE_VALUE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +74,13 @@ def crc_remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on while its executor does other work."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each slice has about `limit` bytes of text, one row at least."""
     for batch in batches:
@@ -83,6 +92,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             to = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
             yield batch.slice(at, to - at)
             done, at = int(size[to - 1]), to
+        del batch, size
+        give_back()
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

@@ -22,7 +22,7 @@ DOCUMENTS, ENTRIES, LONGEST = 2000, 5000, 4
 #: Evidence of more words than this many doesn't make the score any surer.
 SURE = 50
 #: Bytes of text that are looked at together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 
 
 @functools.cache
