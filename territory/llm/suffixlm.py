@@ -25,7 +25,7 @@ LEAST_SHARE = 1e-6
 #: Retained contexts gain this many nats over their suffix in training, and diverge by this many.
 LEAST_GAIN, LEAST_DIVERGENCE = 6.0, 0.001
 #: Words sent to all tasks; entries of rarer words in a group; keys that a task counts before it passes them on.
-COMMON, GROUP_ENTRIES, HELD_KEYS = 50_000, 2_000_000, 3_000_000
+COMMON, GROUP_ENTRIES, HELD_KEYS = 50_000, 500_000, 1_000_000
 STRETCH = 512
 
 
