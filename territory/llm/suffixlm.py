@@ -1,10 +1,11 @@
 """A probabilistic suffix tree that scores texts, beside a smoothed unigram base (operator 10).
 
 Symbols are bytes of the lower-cased words joined by a space and closed by a line feed; the commonest 63 bytes
-are symbols of their own. A context of up to five symbols is a state if it is frequent enough and its
-next-symbol distribution diverges from its suffix's. Distributions are smoothed by their suffix's. The tree
-becomes an automaton that moves to the longest suffix that is a state; many pieces of text walk at once.
-Word counts never meet in one place: the commonest are sent to all tasks, the others stay dealt by hash.
+are symbols of their own. A context of up to DEPTH symbols is a state if it occurs more than once and its
+next-symbol distribution diverges from its suffix's. Distributions are smoothed by their suffix's.
+Neither runs of symbols nor words ever meet in one place. The levels of the tree are joins of a run with its
+suffix, so that the states grow with the corpus; texts ask for the probabilities of their distinct runs, dealt
+by hash. Of the words, the commonest are sent to all tasks and the others stay dealt by hash.
 """
 
 from __future__ import annotations
@@ -14,19 +15,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from territory.llm.base import Scratch, Words, crc_remainder, raw_texts, read_table, slices
+from territory.llm.base import CHUNK_BYTES, Scratch, Words, crc_remainder, give_back, raw_texts, read_table, slices
 
 DEPTH, SYMBOLS, END = 5, 64, 10
-#: A context must be this share of all symbols, so that the number of states doesn't grow with the corpus.
-LEAST_SHARE = 1e-6
+#: A context must occur so often, however large the corpus is.
+LEAST_COUNT = 2
 #: Retained contexts gain this many nats over their suffix in training, and diverge by this many.
 LEAST_GAIN, LEAST_DIVERGENCE = 6.0, 0.001
 #: Words sent to all tasks; entries of rarer words in a group; keys that a task counts before it passes them on.
 COMMON, GROUP_ENTRIES, HELD_KEYS = 50_000, 500_000, 1_000_000
 STRETCH = 512
+#: Bytes of text that ask for probabilities together; symbols of text for each group of runs.
+ASK_BYTES, GROUP_SYMBOLS, PRIME = 16 << 20, 20_000_000, 1_000_003
 
 
 def normalised(texts: list[bytes]) -> list[bytes]:
@@ -111,15 +114,15 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class SuffixTree:
-    """The tree as an automaton: the next state and the log10 probability for each state and symbol."""
+    """A small corpus's tree in memory, as an automaton: the next state and the log10 probability for each state and symbol.
+
+    `score` gives the same scores without it.
+    """
 
     def __init__(self, byte_counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """grams[k]: codes and counts of contexts of length k with a next symbol, as frequent as a state must be."""
-        order = np.argsort(-byte_counts, kind="stable")
         self.classes = symbol_classes(byte_counts)
-        rare = byte_counts[order[SYMBOLS - 1 :]].astype(np.float64)
-        self.within = np.zeros(256)  # of a byte among the bytes that share the last symbol
-        self.within[order[SYMBOLS - 1 :]] = np.log10((rare + 1) / (rare.sum() + len(rare)))
+        self.within = within_last(byte_counts)
         smooth = np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
         states, shape, keep = [], [], []
         for k, (codes, counts) in enumerate(grams):
@@ -204,13 +207,130 @@ def symbol_classes(byte_counts: np.ndarray) -> np.ndarray:
     return classes
 
 
-def _pass(tree, common_keys: np.ndarray, common_counts: np.ndarray, size: float, end_count: int, groups: int):
-    """First look at each text: its model score, its common words, and the entries of its rarer words by group."""
+def within_last(byte_counts: np.ndarray) -> np.ndarray:
+    """log10 probability of a byte among the bytes that share the last symbol; 0 for the others."""
+    order = np.argsort(-byte_counts, kind="stable")
+    rare = byte_counts[order[SYMBOLS - 1 :]].astype(np.float64)
+    within = np.zeros(256)
+    within[order[SYMBOLS - 1 :]] = np.log10((rare + 1) / (rare.sum() + len(rare)))
+    return within
+
+
+def probabilities(grams: DataFrame) -> DataFrame:
+    """(key, p) of (key, n): the probability of the last symbol of each run after the others.
+
+    Runs with n = 0 aren't in training, but need a probability. A context has at most SYMBOLS runs, and so has a suffix.
+    """
+    level = None
+    for k in range(DEPTH + 1):
+        rows = grams if k == DEPTH else grams.groupBy(F.col("key").bitwiseAND(SYMBOLS ** (k + 1) - 1).alias("key")).agg(F.sum("n").alias("n"))
+        if level is None:
+            rows = rows.withColumn("below", F.lit(1 / SYMBOLS))
+        else:
+            rows = rows.withColumn("suffix", F.col("key").bitwiseAND(SYMBOLS**k - 1)).join(level.select(F.col("key").alias("suffix"), F.col("p").alias("below")), "suffix").drop("suffix")
+        context, seen = Window.partitionBy("context"), F.col("n") > 0
+        rows = rows.withColumn("context", F.floor(F.col("key") / SYMBOLS) if k else F.lit(0))
+        rows = rows.withColumns({"total": F.sum("n").over(context), "kinds": F.greatest(F.count_if(seen).over(context), F.lit(1)), "covered": F.sum(F.when(seen, F.col("below")).otherwise(0.0)).over(context)})
+        rows = rows.withColumns({"smooth": (F.col("n") + F.col("kinds") * F.col("below")) / (F.col("total") + F.col("kinds")), "rest": F.col("kinds") / (F.col("total") + F.col("kinds"))})
+        gain = F.sum(F.when(seen, F.col("smooth") * F.log(F.col("smooth") / F.col("below"))).otherwise(0.0)).over(context)
+        rows = rows.withColumn("divergence", gain + F.col("rest") * F.log("rest") * F.greatest(1 - F.col("covered"), F.lit(0.0)))
+        good = (F.col("total") >= LEAST_COUNT) & (F.col("divergence") >= LEAST_DIVERGENCE) & (F.col("divergence") * F.col("total") >= LEAST_GAIN)
+        level = rows.select("key", (F.when(good, F.col("smooth")).otherwise(F.col("below")) if k else F.col("smooth")).alias("p"))
+    return level
+
+
+def _runs(data: bytes, lengths: np.ndarray, classes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The run that ends at each place in a line and that place in the data, for about CHUNK_BYTES of lines at once."""
+    ends = np.cumsum(lengths)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(CHUNK_BYTES, len(data), CHUNK_BYTES)), len(ends) - 1))
+    begin = 0
+    for cut in cuts:
+        end = int(ends[cut])
+        if end == begin:
+            continue
+        inside = np.ones(end - begin, bool)
+        starts = (ends - lengths)[(ends > begin) & (ends <= end)] - begin
+        inside[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
+        yield gram_codes(classes[np.frombuffer(data, np.uint8, end - begin, begin)])[inside[DEPTH:]], begin + np.flatnonzero(inside)
+        begin = end
+
+
+def _asked(data: bytes, lengths: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The distinct runs of lines, sorted."""
+    return np.unique(np.concatenate([np.unique(codes) for codes, _ in _runs(data, lengths, classes)]))
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Steps between sorted keys, first bytes first, which compress well."""
+    return np.diff(keys, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
+
+
+def _dealt(found: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of runs ordered by their group, and where each group begins."""
+    group = found % PRIME % groups
+    order = np.argsort(group, kind="stable")
+    return order, np.searchsorted(group[order], np.arange(groups + 1))
+
+
+def _answer(asks: pa.Table, known: pa.Table) -> pa.Table:
+    """log10 probabilities of one group's runs, packed as they were asked."""
+    keys, logs = known.column("key").to_numpy(), known.column("log").to_numpy()
+    order = np.argsort(keys)
+    keys, logs = keys[order], logs[order].astype(np.float32)
+    out = [logs[np.searchsorted(keys, _unpacked(x))].tobytes() for x in asks.column("keys").to_pylist()]
+    return pa.table([asks.column("row").combine_chunks(), asks.column("group").combine_chunks(), pa.array(out, pa.binary())], names=["row", "group", "logs"])
+
+
+def _scorer(classes: np.ndarray, within: np.ndarray, groups: int):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        """Scores of the texts that asked together."""
+        rows, scores = [], []
+        by = dict(zip(answers.column("group").to_pylist(), answers.column("logs").to_pylist(), strict=True))
+        for data, ids, lengths in zip(*(texts.column(c).to_pylist() for c in ("keys", "rows", "counts")), strict=True):
+            lengths = np.frombuffer(lengths, np.int64)
+            found = _asked(data, lengths, classes)
+            logs = np.zeros(len(found), np.float64)
+            logs[_dealt(found, groups)[0]] = np.frombuffer(b"".join(by[g] for g in sorted(by, reverse=True)), np.float32)
+            each = np.zeros(len(data) + 1)
+            for codes, at in _runs(data, lengths, classes):
+                each[at + 1] = logs[np.searchsorted(found, codes)] + within[np.frombuffer(data, np.uint8)[at]]
+            total, ends = np.cumsum(each), np.cumsum(lengths)
+            rows.append(np.frombuffer(ids, np.int64))
+            scores.append(total[ends] - total[ends - lengths])
+        give_back()
+        return pa.table({"row": np.concatenate(rows), "score": np.concatenate(scores)} if rows else {"row": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    return run
+
+
+def _pass(classes: np.ndarray, common_keys: np.ndarray, common_counts: np.ndarray, size: float, end_count: int, groups: int, run_groups: int):
+    """First look at each text: its common words (group -1), the entries of its rarer words by group (0 and more), the
+    texts that ask together (-2; their bytes, rows and lengths), and their distinct runs by group (-3 and less)."""
+
+    def asking(lines: list[bytes], ids: list[np.ndarray]) -> Iterator[tuple]:
+        data, lengths, first = b"".join(lines), np.array([len(x) for x in lines]), int(ids[0][0])
+        yield first, -2, data, np.concatenate(ids).tobytes(), lengths.tobytes()
+        found = _asked(data, lengths, classes)
+        order, cut = _dealt(found, run_groups)
+        for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if b > a:
+                yield first, -3 - g, _packed(found[order[a:b]]), None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
-        names = ["row", "id", "group", "n_tokens", "n_known", "base", "score", "keys", "rows", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["row", "id", "group", "n_tokens", "n_known", "base", "keys", "rows", "counts"]
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            r, g, *three = zip(*out, strict=True)
+            columns = [list(r), None, list(g), None, None, None, *(list(x) for x in three)]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(out), t) if x is None else pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+
+        lines, asking_ids, held = [], [], 0
         for batch in slices(batches, "text"):
             raw = raw_texts(batch.column("text"))
             n = len(raw)
@@ -224,7 +344,13 @@ def _pass(tree, common_keys: np.ndarray, common_counts: np.ndarray, size: float,
             ids = row + np.arange(n)
             row += n
             none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("id").cast(pa.int64()), pa.array(np.full(n, -1, np.int32)), pa.array(words.counts.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(tree.value.scores(raw)), none, none, none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("id").cast(pa.int64()), pa.array(np.full(n, -1, np.int32)), pa.array(words.counts.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base), none, none, none], names=names)
+            lines += normalised(raw)
+            asking_ids.append(ids)
+            held += sum(map(len, raw))
+            if held >= ASK_BYTES:
+                yield packed(list(asking(lines, asking_ids)))
+                lines, asking_ids, held = [], [], 0
             # entries (word, text, count) of the other words, a row for each group; `row` is the first text's
             order = np.lexsort((of[~hit], hashes[~hit]))
             keys, rows = hashes[~hit][order], ids[of[~hit][order]]
@@ -235,10 +361,9 @@ def _pass(tree, common_keys: np.ndarray, common_counts: np.ndarray, size: float,
                 group = (keys.view(np.uint64) >> np.uint64(33)).astype(np.int64) % groups
                 order = np.argsort(group, kind="stable")
                 cut = np.searchsorted(group[order], np.arange(groups + 1))
-                out = [(g, *(x[order[a:b]].tobytes() for x in (keys, rows, counts))) for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-                g, k, r, c = zip(*out, strict=True)
-                columns = [[int(ids[0])] * len(out), None, list(g), None, None, None, None, list(k), list(r), list(c)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(out), t) if x is None else pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+                yield packed([(int(ids[0]), g, *(x[order[a:b]].tobytes() for x in (keys, rows, counts))) for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
+        if lines:
+            yield packed(list(asking(lines, asking_ids)))
 
     return run
 
@@ -286,30 +411,31 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     found = train.select("text").mapInArrow(_byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).toArrow()
     byte_counts = np.zeros(256, np.int64)
     byte_counts[found["byte"].to_numpy()] = found["n"].to_numpy()
-    counted = train.select("text").mapInArrow(_counter(symbol_classes(byte_counts)), "kind int, key long, n long")
+    classes = symbol_classes(byte_counts)
+    counting = lambda rows: rows.select("text").mapInArrow(_counter(classes), "kind int, key long, n long")
+    unseen = counting(docs.where(crc_remainder(F.col("id"), modulus) == held)).where("kind = 1").withColumn("n", F.lit(0).cast("long"))
+    counted = counting(train).unionByName(unseen)
     counted = scratch.write(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counted")
     words, grams = counted.where("kind = 0").select("key", "n"), counted.where("kind = 1").select("key", "n")
     distinct, tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     texts = counted.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, different = tokens + texts, distinct + (texts > 0)
     size = float(max(total + different + 1, 1))
-    symbols = int(byte_counts.sum())
-    levels = []
-    for k in range(DEPTH + 1):
-        whole = grams.groupBy((F.col("key") % SYMBOLS ** (k + 1)).alias("key")).agg(F.sum("n").alias("n"))
-        often = whole.groupBy(F.floor(F.col("key") / SYMBOLS).alias("context")).agg(F.sum("n").alias("of")).where(F.col("of") >= max(2, LEAST_SHARE * symbols)).select("context")
-        level = whole.withColumn("context", F.floor(F.col("key") / SYMBOLS)).join(often, "context", "left_semi").select("key", "n").toArrow().sort_by("key")
-        levels.append((level["key"].to_numpy(), level["n"].to_numpy()))
-    tree = spark.sparkContext.broadcast(SuffixTree(byte_counts, levels))
-    del levels, level
+    run_groups = 1 + int(byte_counts.sum()) // GROUP_SYMBOLS
+    group = (-3 - F.col("key") % PRIME % run_groups).cast("int").alias("group")
+    known = probabilities(grams).select("key", group, F.log10("p").cast("float").alias("log"))
     top = words.orderBy(F.desc("n"), "key").limit(COMMON).toArrow().sort_by("key")
     groups = max(1, -(-tokens // GROUP_ENTRIES))
-    looked = scratch.write(docs.mapInArrow(_pass(tree, top["key"].to_numpy(), top["n"].to_numpy(), size, int(texts), groups), "row long, id long, `group` int, n_tokens long, n_known long, base double, score double, keys binary, rows binary, counts binary"), "looked")
+    looked = scratch.write(docs.mapInArrow(_pass(classes, top["key"].to_numpy(), top["n"].to_numpy(), size, int(texts), groups, run_groups), "row long, id long, `group` int, n_tokens long, n_known long, base double, keys binary, rows binary, counts binary"), "looked")
     entries = looked.where("`group` >= 0").select("group", "row", "keys", "rows", "counts")
     dealt = words.withColumn("group", (F.shiftrightunsigned("key", 33) % groups).cast("int"))
     more = entries.groupBy("group").cogroup(dealt.groupBy("group")).applyInArrow(_looker(size), "row long, rows binary, base binary, known binary")
     more = more.groupBy("row").applyInArrow(_gathered, "row long, more_base double, more_known long")
-    rows = looked.where("`group` < 0").join(more, "row", "left")
+    asks = looked.where("`group` <= -3").select("group", "row", "keys")
+    answers = asks.groupBy("group").cogroup(known.groupBy("group")).applyInArrow(_answer, "row long, `group` int, logs binary")
+    together = looked.where("`group` = -2").select("row", "keys", "rows", "counts")
+    scores = together.groupBy("row").cogroup(answers.groupBy("row")).applyInArrow(_scorer(classes, within_last(byte_counts), run_groups), "row long, score double")
+    rows = looked.where("`group` = -1").select("row", "id", "n_tokens", "n_known", "base").join(scores, "row").join(more, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return rows.select(
         F.col("id").alias("doc_id"), (crc_remainder(F.col("id"), modulus) == held).alias("held_out"), "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"),

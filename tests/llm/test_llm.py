@@ -378,6 +378,31 @@ def test_automaton_is_the_longest_suffix():
     assert tree.scores([b"abra"])[0] > tree.scores([b"qxzw"])[0]
 
 
+def test_rare_contexts_stay_states_in_a_large_corpus(spark):
+    rng = random.Random(4)
+    rare = ["".join(rng.choice("abcdefghijklmnop") for _ in range(60)) for _ in range(3)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    rows = [(i, "xy " * 4000) for i in range(400)] + [(1000 + i, rare[i % 3] + " é") for i in range(12)] + [(2000 + i, "fresh " + rare[0][i:40]) for i in range(20)]
+    lines = suffixlm.normalised([t.encode() for i, t in rows if not held(i)])
+    counts = sum(np.bincount(np.frombuffer(x[suffixlm.DEPTH :], np.uint8), minlength=256) for x in lines)
+    assert counts.sum() > 4_000_000  # a share of 1e-6 would be more than the passages have
+    classes = suffixlm.symbol_classes(counts)
+    codes, n = np.unique(np.concatenate([suffixlm.gram_codes(classes[np.frombuffer(x, np.uint8)]) for x in lines]), return_counts=True)
+    levels = []
+    for k in range(suffixlm.DEPTH + 1):
+        c, at = np.unique(codes % suffixlm.SYMBOLS ** (k + 1), return_inverse=True)
+        n_k = np.bincount(at, n).astype(np.int64)
+        _, of = np.unique(c // suffixlm.SYMBOLS, return_inverse=True)
+        often = np.bincount(of, n_k)[of] >= 2
+        levels.append((c[often], n_k[often]))
+    want = dict(zip([i for i, _ in rows], suffixlm.SuffixTree(counts, levels).scores([t.encode() for _, t in rows]), strict=True))
+    suffixlm.GROUP_SYMBOLS, suffixlm.ASK_BYTES = 1_000_000, 2_500_000  # several groups of runs and of texts
+    got = {r.doc_id: r.score for r in suffixlm.score(frame(spark, rows)).collect()}
+    suffixlm.GROUP_SYMBOLS, suffixlm.ASK_BYTES = 20_000_000, 16 << 20
+    assert got.keys() == want.keys() and any(held(i) for i in got if i >= 1000)
+    assert all(abs(got[i] - want[i]) <= 1e-3 + 1e-4 * abs(want[i]) for i in got), [(i, got[i], want[i]) for i in got if i >= 1000]
+
+
 # words, and the pipeline
 
 
