@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import sys
+import unicodedata
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -236,6 +238,23 @@ def test_bpe_is_the_library(text):
     assert np.frombuffer(ids, "<u4").tolist() == want and own.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_is_the_library_on_all_characters():
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    library, own = Tokenizer.from_file(path), bpe.Bpe(path)
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in points if unicodedata.category(chr(c))[0] == "M" or c < 0x20000 and unicodedata.category(chr(c)) == "Cn"]
+    texts = [" ".join(f"a{chr(c)}b1{chr(c)}{chr(c)}!" for c in points[at : at + 2000]) for at in range(0, len(points), 2000)]
+    texts += [" ".join(x for c in marks[at : at + 5000] for x in (f"a{chr(c)}\u0323", f"a\u0345{chr(c)}", f"a\u0315{chr(c)}\u0323\u0301")) for at in range(0, len(marks), 5000)]
+    composed = [chr(c) for c in points if unicodedata.decomposition(chr(c))]
+    texts.append(" ".join(unicodedata.normalize("NFD", c) for c in composed))
+    for text, ids in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.encode([text.encode()])[0], "<u4").tolist() == ids.ids
+    long = "".join(f"word{i} <|endoftext|>é\n" for i in range(90_000))
+    assert len(long.encode()) > 1 << 20 and np.frombuffer(own.encode([b"", long.encode()])[1], "<u4").tolist() == library.encode(long, add_special_tokens=False).ids
+
+
 def test_bpe_on_odd_rows(spark):
     rows = bpe.decode(bpe.encode(frame(spark, ODD), bpe.vocabulary_path()), bpe.vocabulary_path()).collect()
     assert [r.n_tokens for r in rows if r.doc_id in (7, 8, 9)] == [0, 0, 0] and rows[0]["from"] == "f" and len(rows) == len(ODD)
@@ -314,10 +333,10 @@ def test_substrings_are_brute_force(spark):
         kept = [x for k, x in enumerate(w) if k not in gone]
         want[i] = (len(w), len(gone), " ".join(kept))
     assert sum(x[1] for x in want.values()) > 0
-    for beyond in (10_000, 0):  # with trees, and with prefixes as long as the window
-        substrings.LONGER_BEYOND = beyond
+    for group in (4_000, 2, 0):  # with prefixes of 25 words, with longer ones where several contexts meet, with the longest
+        substrings.GROUP = group
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substrings.drop_repeats(frame(spark, rows)).collect()} == want
-    substrings.LONGER_BEYOND = 10_000
+    substrings.GROUP = 4_000
 
 
 def test_substrings_on_odd_rows(spark):
@@ -328,13 +347,41 @@ def test_substrings_on_odd_rows(spark):
     assert substrings.drop_repeats(frame(spark, [])).count() == 0
 
 
-def test_suffix_ranks_sort_suffixes():
-    rng = np.random.default_rng(6)
-    tokens = rng.integers(0, 3, 400)
-    rank = substrings.suffix_ranks(tokens, 50)
-    want = [tuple(tokens[i : i + 50].tolist()) for i in range(400)]
-    order = sorted(set(want))
-    assert [order.index(x) + 1 for x in want] == rank.tolist()
+SEQUENCES = st.lists(st.lists(st.integers(0, 2), min_size=3, max_size=14), min_size=1, max_size=6)
+
+
+@settings(max_examples=150, deadline=None)
+@given(SEQUENCES, st.integers(2, 3))
+def test_tree_nodes_are_the_branching_repeats(rows, least):
+    places = defaultdict(set)
+    for q, x in enumerate(rows):
+        for i in range(len(x)):
+            for d in range(least, len(x) - i + 1):
+                places[tuple(x[i : i + d])].add((q, i))
+    want = set()
+    for text, found in places.items():
+        after = {rows[q][i + len(text)] if i + len(text) < len(rows[q]) else ("end", q) for q, i in found}
+        if len(after) > 1:
+            want.add((len(text), frozenset(found)))
+    tree = substrings.SuffixTree([np.array(x, np.uint64) for x in rows], least)
+    spans = list(zip(tree.depth.tolist(), tree.left.tolist(), tree.right.tolist(), strict=True))
+    assert {(d, frozenset((int(tree.sequence[i]), int(tree.place[i])) for i in tree.order[a : b + 1])) for d, a, b in spans} == want
+    for (d, a, b), parent in zip(spans, tree.parent.tolist(), strict=True):
+        above = [i for i, (d2, a2, b2) in enumerate(spans) if d2 < d and a2 <= a and b2 >= b]
+        assert parent == max(above, key=lambda i: spans[i][0], default=-1)
+
+
+@settings(max_examples=150, deadline=None)
+@given(SEQUENCES, st.randoms())
+def test_repeats_cover_what_earlier_documents_have(rows, rng):
+    first = np.array([rng.randint(0, 9) for _ in rows])
+    substrings.WINDOW = 3
+    found = list(zip(*(x.tolist() for x in substrings.SuffixTree([np.array(x, np.uint64) for x in rows], 3).repeats(first)), strict=True))
+    substrings.WINDOW = 50
+    runs = [(q, i, tuple(x[i : i + 3])) for q, x in enumerate(rows) for i in range(len(x) - 2)]
+    for doc in range(11):
+        want = {(q, i + k) for q, i, run in runs if min(first[p] for p, _, other in runs if other == run) < doc for k in range(3)}
+        assert {(q, place + k) for q, place, length, least in found if least < doc for k in range(length)} == want
 
 
 # 10
