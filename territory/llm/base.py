@@ -86,6 +86,7 @@ class Scratch:
         small_batches(spark)
         self.spark, self.root = spark, f"{scratch_dir(spark)}/tables-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.tables: list[str] = []  # names that the catalog has of some of them
         self.written = 0
         if _scopes:
             _scopes[-1].append(self)
@@ -107,6 +108,8 @@ class Scratch:
 
     def drop_all(self) -> None:
         """Delete what is left; results that read it can't be run any more."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.paths.clear()
         self._delete(self.root)
 

@@ -1,445 +1,375 @@
-"""A probabilistic suffix tree that scores texts, beside a smoothed unigram base (operator 10).
-
-Symbols are bytes of the lower-cased words joined by a space and closed by a line feed; the commonest 63 bytes
-are symbols of their own. A context of up to DEPTH symbols is a state if it occurs more than once and its
-next-symbol distribution diverges from its suffix's. Distributions are smoothed by their suffix's.
-Neither runs of symbols nor words ever meet in one place. The levels of the tree are joins of a run with its
-suffix, so that the states grow with the corpus; texts ask for the probabilities of their distinct runs, dealt
-by hash. Of the words, the commonest are sent to all tasks and the others stay dealt by hash.
+"""A probabilistic suffix tree over words that scores texts, above a smoothed unigram base (operator 10).
+
+Symbols are the lower-cased words of a text and its end; contexts are the words before, back to the text's begin. The
+root has the base's unigram probabilities. A context is a state if it occurs twice at least and its next symbols
+diverge from what its suffix predicts; its distribution is smoothed by its suffix's. A symbol is scored by the
+longest suffix of what is before it that is a state.
+
+Texts are packed in blocks of word numbers. The tree grows a level at a time: each block asks for the runs of words that
+can matter (context and next symbol), dealt by a hash of the context, so that a group has all that follows a context,
+counts it, tests it and answers. Only contexts that occur twice go a word further back, and none whose next symbol is
+certain, as no longer context can then diverge. What is counted grows with the corpus, and nothing of it is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from territory.llm.base import CHUNK_BYTES, Scratch, Words, crc_remainder, give_back, raw_texts, read_table, slices
-
-DEPTH, SYMBOLS, END = 5, 64, 10
-#: A context must occur so often, however large the corpus is.
-LEAST_COUNT = 2
-#: Retained contexts gain this many nats over their suffix in training, and diverge by this many.
-LEAST_GAIN, LEAST_DIVERGENCE = 6.0, 0.001
-#: Words sent to all tasks; entries of rarer words in a group; keys that a task counts before it passes them on.
-COMMON, GROUP_ENTRIES, HELD_KEYS = 50_000, 500_000, 1_000_000
-STRETCH = 512
-#: Bytes of text that ask for probabilities together; symbols of text for each group of runs.
-ASK_BYTES, GROUP_SYMBOLS, PRIME = 16 << 20, 20_000_000, 1_000_003
+from territory.llm.base import Scratch, Words, crc_remainder, give_back, mix, raw_texts, read_table, slices
 
+#: Words of the longest context, and how often a context must occur, however large the corpus is.
+DEPTH, LEAST_COUNT = 6, 2
+#: Nats that a state's distribution gains over its suffix's in training, at least; and what each symbol after a state gives up to symbols that weren't seen there.
+LEAST_GAIN, DISCOUNT = 6.0, 0.75
+#: Of a key, the context has the upper bits and the next symbol the lower ones; the group adds to the context's.
+NEXT_BITS = 28
+BEGIN, END = np.uint64(0x0B0E61D5), np.uint64(0x0E0DE0D5)
 
-def normalised(texts: list[bytes]) -> list[bytes]:
-    """Lower-cased words joined by a space, with the end, after as many ends as a context is long."""
-    return [b"\n" * DEPTH + b" ".join(t.lower().split()) + b"\n" for t in texts]
+_LOW = np.uint64((1 << NEXT_BITS) - 1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+ASKS = "block long, `group` int, keys binary, counts binary, lower binary"
+ANSWERS = "block long, `group` int, n binary, kinds binary, distinct long"
+BLOCKS = "block long, words binary, tokens binary, lengths binary, ids binary, nulls binary, train binary, train_words long, train_texts long, all_tokens long"
+SCORES = "id long, train boolean, n_tokens long, n_known long, base double, score double"
 
 
-class _Tally:
-    """Counts of 64-bit keys."""
+class Sizes(NamedTuple):
+    """How the work is dealt; scores don't depend on it."""
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
+    block_bytes: int = 6 << 20  #: text in a block
+    group_tokens: int = 1_500_000  #: tokens for each group of contexts
+    split: int = 1_000_000  #: occurrences of a context from which on several groups share it
 
-    def add(self, keys: np.ndarray) -> None:
-        found, n = np.unique(keys, return_counts=True)
-        self.parts.append((found, n))
-        self.size += len(found)
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64),) * 2
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        keys, n = keys[begin], np.add.reduceat(n, begin) if len(begin) else n
-        self.parts, self.size = [(keys, n)], len(keys)
-        return keys, n
+def _pack(values: np.ndarray) -> bytes:
+    """Bytes of the same place in all numbers together, which compress well; the first number's width comes first."""
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes() if len(values) else b""
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
 
 
-def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(keys), 200_000):
-        k, c = keys[at : at + 200_000], n[at : at + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.int64)), pa.array(c.astype(np.int64))], names=["kind", "key", "n"])
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    planes = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def gram_codes(symbols: np.ndarray) -> np.ndarray:
-    """A code for each run of DEPTH + 1 symbols, the last one in the lowest digit."""
-    n = len(symbols) - DEPTH
-    code = np.zeros(max(n, 0), np.int64)
-    for j in range(DEPTH + 1):
-        code = code * SYMBOLS + symbols[j : j + n]
-    return code
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _counter(classes: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Kind 0: words; 1: runs of symbols; 2: texts."""
-        tallies, texts = (_Tally(), _Tally()), 0
-        for batch in slices(batches, "text"):
-            raw = raw_texts(batch.column("text"))
-            texts += len(raw)
-            words = Words(raw, lower=True)
-            if len(words):
-                tallies[0].add(words.hashes().view(np.int64))
-            lines = normalised(raw)
-            symbols = classes[np.frombuffer(b"".join(lines), np.uint8)]
-            ends = np.cumsum([len(x) for x in lines])
-            codes = gram_codes(symbols)
-            last = np.arange(DEPTH, len(symbols))  # the text and place of each run's last symbol
-            begin = (ends - np.array([len(x) for x in lines]))[np.searchsorted(ends, last, side="right")]
-            tallies[1].add(codes[last - begin >= DEPTH])
-            for kind, tally in enumerate(tallies):
-                if tally.size > 2 * HELD_KEYS:
-                    tally.merge()
-                    if tally.size > HELD_KEYS:
-                        yield from _rows(kind, *tally.parts[0])
-                        tally.parts, tally.size = [], 0
-        for kind, tally in enumerate(tallies):
-            yield from _rows(kind, *tally.merge())
-        if texts:
-            yield from _rows(2, np.zeros(1, np.int64), np.array([texts]))
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
 
-    return run
 
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [(name.strip("`"), kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))]
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+    return pa.table([pa.array(list(c), kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
-def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256, np.int64)
-    for batch in slices(batches, "text"):
-        for line in normalised(raw_texts(batch.column("text"))):
-            total += np.bincount(np.frombuffer(line[DEPTH:], np.uint8), minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
 
+def _packed_block(block: int, parts: list[tuple]) -> pa.Table:
+    """Texts together: their distinct words, commonest first, and each word's number; by text its words, id and fold."""
+    hashes, lengths, ids, nulls, train = (np.concatenate(x) for x in zip(*parts, strict=True))
+    words, which, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    number = np.empty(len(words), np.uint32)
+    number[order] = np.arange(len(words), dtype=np.uint32)
+    packed = (_pack(x) for x in (words[order], number[which], lengths, ids, nulls, train))
+    return _table(BLOCKS, [(block, *packed, int(lengths[train > 0].sum()), int(train.sum()), int(lengths.sum()) + len(lengths))])
 
-class SuffixTree:
-    """A small corpus's tree in memory, as an automaton: the next state and the log10 probability for each state and symbol.
 
-    `score` gives the same scores without it.
-    """
-
-    def __init__(self, byte_counts: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """grams[k]: codes and counts of contexts of length k with a next symbol, as frequent as a state must be."""
-        self.classes = symbol_classes(byte_counts)
-        self.within = within_last(byte_counts)
-        smooth = np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
-        states, shape, keep = [], [], []
-        for k, (codes, counts) in enumerate(grams):
-            contexts, at = np.unique(codes // SYMBOLS, return_inverse=True)
-            if k == 0:
-                contexts = np.zeros(1, np.int64)
-            table = np.zeros((len(contexts), SYMBOLS), np.float32)
-            table[at, codes % SYMBOLS] = counts
-            parent = self._find(states[k - 1], contexts % SYMBOLS ** (k - 1)) if k else np.zeros(1, np.int64)
-            contexts, table, below = contexts[parent >= 0], table[parent >= 0], smooth[parent[parent >= 0]]
-            total, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
-            table += np.maximum(kinds, 1) * below
-            table /= total + np.maximum(kinds, 1)
-            divergence = (table * np.log(table / below)).sum(axis=1)
-            good = (divergence >= LEAST_DIVERGENCE) & (divergence * total[:, 0] >= LEAST_GAIN)
-            if k:
-                table[~good] = below[~good]  # a context that isn't kept has its suffix's distribution
-            smooth = table
-            states.append(contexts)
-            shape.append(table)
-            keep.append(contexts[good])
-        keep[0] = keep[0][:0]
-        # states: kept contexts, with all their prefixes and suffixes, so that one step leads to the longest suffix
-        closed = [set() for _ in range(DEPTH + 1)]
-        closed[0] = {0}
-        for k in range(DEPTH, 0, -1):
-            closed[k] |= set(keep[k].tolist())
-            if k > 1:
-                codes = np.fromiter(closed[k], np.int64, len(closed[k]))
-                closed[k - 1] |= set((codes // SYMBOLS).tolist()) | set((codes % SYMBOLS ** (k - 1)).tolist())
-        nodes = [np.array(sorted(c), np.int64) for c in closed]
-        base = np.cumsum([0, *(len(n) for n in nodes)])
-        rows = [shape[0]]
-        for k in range(1, DEPTH + 1):
-            at = self._find(states[k], nodes[k])
-            below = rows[k - 1][self._find(nodes[k - 1], nodes[k] % SYMBOLS ** (k - 1))]
-            rows.append(np.where((at >= 0)[:, None], shape[k][np.maximum(at, 0)], below) if len(shape[k]) else below)
-        self.log = np.log10(np.vstack(rows))
-        del rows, shape
-        self.next = np.zeros((base[-1], SYMBOLS), np.int32)
-        for k in range(DEPTH + 1):
-            moved = nodes[k][:, None] * SYMBOLS + np.arange(SYMBOLS)
-            target = np.full(moved.shape, -1, np.int32)
-            for j in range(min(k + 1, DEPTH), -1, -1):
-                open_ = target < 0
-                at = self._find(nodes[j], moved[open_] % SYMBOLS**j)
-                target[open_] = np.where(at >= 0, at + base[j], -1)
-            self.next[base[k] : base[k + 1]] = target
-
-    @staticmethod
-    def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Place of each wanted code among sorted ones, or -1."""
-        if not len(known):
-            return np.full(np.shape(wanted), -1, np.int64)
-        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-        return np.where(known[at] == wanted, at, -1)
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
-        lines = normalised(texts)
-        data = np.frombuffer(b"".join(lines), np.uint8)
-        symbols = self.classes[data]
-        n = -(-len(symbols) // STRETCH)
-        padded = np.zeros(DEPTH + n * STRETCH, np.int64)
-        padded[DEPTH : DEPTH + len(symbols)] = symbols
-        steps = np.lib.stride_tricks.sliding_window_view(padded, DEPTH + STRETCH)[::STRETCH].T.copy()
-        state, out = np.zeros(n, np.int64), np.zeros((STRETCH, n), np.float32)
-        move, log = self.next.ravel(), self.log.ravel()
-        for i, symbol in enumerate(steps):
-            cell = state * SYMBOLS + symbol
-            if i >= DEPTH:  # before that, the state isn't the longest suffix yet
-                out[i - DEPTH] = log[cell]
-            state = move[cell].astype(np.int64)
-        each = out.T.ravel()[: len(symbols)].astype(np.float64) + self.within[data]
-        total, ends = np.concatenate(([0], np.cumsum(each))), np.cumsum([len(x) for x in lines])
-        return total[ends] - total[ends - np.array([len(x) for x in lines]) + DEPTH]
-
-
-def symbol_classes(byte_counts: np.ndarray) -> np.ndarray:
-    classes = np.full(256, SYMBOLS - 1, np.int64)
-    classes[np.argsort(-byte_counts, kind="stable")[: SYMBOLS - 1]] = np.arange(SYMBOLS - 1)
-    return classes
-
-
-def within_last(byte_counts: np.ndarray) -> np.ndarray:
-    """log10 probability of a byte among the bytes that share the last symbol; 0 for the others."""
-    order = np.argsort(-byte_counts, kind="stable")
-    rare = byte_counts[order[SYMBOLS - 1 :]].astype(np.float64)
-    within = np.zeros(256)
-    within[order[SYMBOLS - 1 :]] = np.log10((rare + 1) / (rare.sum() + len(rare)))
-    return within
-
-
-def probabilities(grams: DataFrame) -> DataFrame:
-    """(key, p) of (key, n): the probability of the last symbol of each run after the others.
-
-    Runs with n = 0 aren't in training, but need a probability. A context has at most SYMBOLS runs, and so has a suffix.
-    """
-    level = None
-    for k in range(DEPTH + 1):
-        rows = grams if k == DEPTH else grams.groupBy(F.col("key").bitwiseAND(SYMBOLS ** (k + 1) - 1).alias("key")).agg(F.sum("n").alias("n"))
-        if level is None:
-            rows = rows.withColumn("below", F.lit(1 / SYMBOLS))
-        else:
-            rows = rows.withColumn("suffix", F.col("key").bitwiseAND(SYMBOLS**k - 1)).join(level.select(F.col("key").alias("suffix"), F.col("p").alias("below")), "suffix").drop("suffix")
-        context, seen = Window.partitionBy("context"), F.col("n") > 0
-        rows = rows.withColumn("context", F.floor(F.col("key") / SYMBOLS) if k else F.lit(0))
-        rows = rows.withColumns({"total": F.sum("n").over(context), "kinds": F.greatest(F.count_if(seen).over(context), F.lit(1)), "covered": F.sum(F.when(seen, F.col("below")).otherwise(0.0)).over(context)})
-        rows = rows.withColumns({"smooth": (F.col("n") + F.col("kinds") * F.col("below")) / (F.col("total") + F.col("kinds")), "rest": F.col("kinds") / (F.col("total") + F.col("kinds"))})
-        gain = F.sum(F.when(seen, F.col("smooth") * F.log(F.col("smooth") / F.col("below"))).otherwise(0.0)).over(context)
-        rows = rows.withColumn("divergence", gain + F.col("rest") * F.log("rest") * F.greatest(1 - F.col("covered"), F.lit(0.0)))
-        good = (F.col("total") >= LEAST_COUNT) & (F.col("divergence") >= LEAST_DIVERGENCE) & (F.col("divergence") * F.col("total") >= LEAST_GAIN)
-        level = rows.select("key", (F.when(good, F.col("smooth")).otherwise(F.col("below")) if k else F.col("smooth")).alias("p"))
-    return level
-
-
-def _runs(data: bytes, lengths: np.ndarray, classes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The run that ends at each place in a line and that place in the data, for about CHUNK_BYTES of lines at once."""
-    ends = np.cumsum(lengths)
-    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(CHUNK_BYTES, len(data), CHUNK_BYTES)), len(ends) - 1))
-    begin = 0
-    for cut in cuts:
-        end = int(ends[cut])
-        if end == begin:
-            continue
-        inside = np.ones(end - begin, bool)
-        starts = (ends - lengths)[(ends > begin) & (ends <= end)] - begin
-        inside[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
-        yield gram_codes(classes[np.frombuffer(data, np.uint8, end - begin, begin)])[inside[DEPTH:]], begin + np.flatnonzero(inside)
-        begin = end
-
-
-def _asked(data: bytes, lengths: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The distinct runs of lines, sorted."""
-    return np.unique(np.concatenate([np.unique(codes) for codes, _ in _runs(data, lengths, classes)]))
-
-
-def _packed(keys: np.ndarray) -> bytes:
-    """Steps between sorted keys, first bytes first, which compress well."""
-    return np.diff(keys, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
-
-
-def _dealt(found: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of runs ordered by their group, and where each group begins."""
-    group = found % PRIME % groups
-    order = np.argsort(group, kind="stable")
-    return order, np.searchsorted(group[order], np.arange(groups + 1))
-
-
-def _answer(asks: pa.Table, known: pa.Table) -> pa.Table:
-    """log10 probabilities of one group's runs, packed as they were asked."""
-    keys, logs = known.column("key").to_numpy(), known.column("log").to_numpy()
-    order = np.argsort(keys)
-    keys, logs = keys[order], logs[order].astype(np.float32)
-    out = [logs[np.searchsorted(keys, _unpacked(x))].tobytes() for x in asks.column("keys").to_pylist()]
-    return pa.table([asks.column("row").combine_chunks(), asks.column("group").combine_chunks(), pa.array(out, pa.binary())], names=["row", "group", "logs"])
-
-
-def _scorer(classes: np.ndarray, within: np.ndarray, groups: int):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        """Scores of the texts that asked together."""
-        rows, scores = [], []
-        by = dict(zip(answers.column("group").to_pylist(), answers.column("logs").to_pylist(), strict=True))
-        for data, ids, lengths in zip(*(texts.column(c).to_pylist() for c in ("keys", "rows", "counts")), strict=True):
-            lengths = np.frombuffer(lengths, np.int64)
-            found = _asked(data, lengths, classes)
-            logs = np.zeros(len(found), np.float64)
-            logs[_dealt(found, groups)[0]] = np.frombuffer(b"".join(by[g] for g in sorted(by, reverse=True)), np.float32)
-            each = np.zeros(len(data) + 1)
-            for codes, at in _runs(data, lengths, classes):
-                each[at + 1] = logs[np.searchsorted(found, codes)] + within[np.frombuffer(data, np.uint8)[at]]
-            total, ends = np.cumsum(each), np.cumsum(lengths)
-            rows.append(np.frombuffer(ids, np.int64))
-            scores.append(total[ends] - total[ends - lengths])
+def _cut_blocks(block_bytes: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, parts = TaskContext.get().partitionId() << 32, 0, []
+        for batch in slices(batches, "text"):
+            words = Words(raw_texts(batch.column("text")), lower=True)
+            ids = batch.column("id")
+            parts.append((
+                words.hashes() if len(words) else np.zeros(0, np.uint64), words.counts.astype(np.int64), ids.fill_null(0).to_numpy().astype(np.int64),
+                ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint8),
+            ))
+            held += len(words.raw)
+            if held >= block_bytes:
+                yield from _packed_block(block, parts).to_batches()
+                block, held, parts = block + 1, 0, []
+        if parts:
+            yield from _packed_block(block, parts).to_batches()
         give_back()
-        return pa.table({"row": np.concatenate(rows), "score": np.concatenate(scores)} if rows else {"row": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
     return run
 
 
-def _pass(classes: np.ndarray, common_keys: np.ndarray, common_counts: np.ndarray, size: float, end_count: int, groups: int, run_groups: int):
-    """First look at each text: its common words (group -1), the entries of its rarer words by group (0 and more), the
-    texts that ask together (-2; their bytes, rows and lengths), and their distinct runs by group (-3 and less)."""
-
-    def asking(lines: list[bytes], ids: list[np.ndarray]) -> Iterator[tuple]:
-        data, lengths, first = b"".join(lines), np.array([len(x) for x in lines]), int(ids[0][0])
-        yield first, -2, data, np.concatenate(ids).tobytes(), lengths.tobytes()
-        found = _asked(data, lengths, classes)
-        order, cut = _dealt(found, run_groups)
-        for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if b > a:
-                yield first, -3 - g, _packed(found[order[a:b]]), None, None
-
+def dealt(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys by group, their groups, and the place of each key among them."""
+    order = np.lexsort((keys, group))
+    k, g = keys[order], group[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
+    which = np.empty(len(k), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return k[new], g[new], which
+
+
+def _ask_rows(block: int, keys: np.ndarray, group: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> list[tuple]:
+    cut = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+    return [(block, int(group[a]), _pack_keys(keys[a:b]), _pack(counts[a:b].astype(np.uint32)), _pack(lower[a:b])) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+def _split_group(context: np.ndarray, salt: np.ndarray, groups: int) -> np.ndarray:
+    """The group of a part of a context that several groups share; such groups are numbered after the others."""
+    return groups + (mix(context * _STEP + salt.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
+class Block:
+    """The texts of a block, scored with the levels that have been answered."""
+
+    def __init__(self, row: dict, groups: int, split: int) -> None:
+        self.block, self.groups, self.split = row["block"], groups, split
+        self.words, self.ids = _unpack(row["words"], np.uint64), _unpack(row["ids"], np.int64)
+        self.numbers, self.lengths = _unpack(row["tokens"], np.uint32).astype(np.int64), _unpack(row["lengths"], np.int64)
+        self.nulls, self.train = _unpack(row["nulls"], np.uint8).astype(bool), _unpack(row["train"], np.uint8).astype(bool)
+
+    def word_keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return dealt(self.words, (mix(self.words + _STEP) % np.uint64(self.groups)).astype(np.int64))
+
+    def ask_words(self) -> list[tuple]:
+        keys, group, which = self.word_keys()
+        counts = np.zeros(len(keys), np.int64)
+        counts[which] = np.bincount(self.numbers, np.repeat(self.train, self.lengths), len(self.words)).astype(np.int64)
+        return _ask_rows(self.block, keys, group, counts, np.zeros(len(keys), np.uint16))
+
+    def begin(self, word_counts: np.ndarray, texts: int, size: float) -> None:
+        """Lay the texts out, each after its begin and before its end, with the root's probabilities."""
+        width = self.lengths + 2
+        ends = np.cumsum(width)
+        n = int(ends[-1])
+        self.first = ends - width
+        inside = np.ones(n, bool)
+        inside[self.first] = inside[ends - 1] = False
+        counts = np.zeros(len(self.words), np.int64)
+        counts[:] = word_counts[self.word_keys()[2]]
+        self.symbol, self.n = np.full(n, END), np.full(n, texts, np.int64)
+        self.symbol[self.first] = BEGIN
+        self.symbol[inside], self.n[inside] = self.words[self.numbers], counts[self.numbers]
+        self.room = np.arange(n) - np.repeat(self.first, width)  # symbols of the text before each, with its begin
+        self.p = (self.n + 1) / size
+        self.p[self.first] = 1.0
+        self.base = np.add.reduceat(np.log10(self.p), self.first)
+        known = self.n > 0
+        known[self.first] = False
+        self.n_known = np.add.reduceat(known.astype(np.int64), self.first)
+        self.trained = np.repeat(self.train, width)
+        self.context = np.zeros(n, np.uint64)
+        self.open, self.certain = self.room > 0, np.zeros(n, bool)
+
+    def runs(self, level: int) -> tuple[np.ndarray, ...]:
+        """Places whose context of `level` symbols may be a state, how often it occurs, and their keys as they are dealt."""
+        self.before = np.zeros(len(self.n), np.int64)
+        self.before[1:] = self.n[:-1]
+        self.before[self.room < level] = 0
+        at = np.flatnonzero(self.room >= level)
+        self.context[at] = mix(self.context[at] * _STEP + self.symbol[at - level])
+        at = np.flatnonzero(self.open & (self.before >= LEAST_COUNT))
+        total, context, after = self.before[at], self.context[at], mix(self.symbol[at]) >> np.uint64(64 - NEXT_BITS)
+        group = ((context & _LOW) % np.uint64(self.groups)).astype(np.int64)
+        shared = total > self.split
+        if shared.any():
+            salt = after[shared] % (-(-total[shared] // self.split)).astype(np.uint64)
+            group[shared] = _split_group(context[shared] >> np.uint64(NEXT_BITS), salt, self.groups)
+        return at, total, *dealt((context & ~_LOW) | after, group)
+
+    def ask(self, level: int) -> list[tuple]:
+        at, _, keys, group, which = self.runs(level)
+        lower = np.zeros(len(keys), np.uint16)
+        lower[which] = quantised(self.p[at])
+        return _ask_rows(self.block, keys, group, np.bincount(which, self.trained[at], len(keys)), lower)
+
+    def take(self, level: int, n: np.ndarray, kinds: np.ndarray) -> None:
+        """Go on to the next level with the answers: counts of runs, and different symbols after each context, negative if it is no state."""
+        at, total, _, _, which = self.runs(level)
+        now = np.where(self.certain, self.before, 0)  # after a context with one next symbol, longer ones have it as well
+        now[at] = n[which]
+        own, after = now[at], np.abs(kinds[which])
+        state = kinds[which] > 0
+        self.p[at[state]] = (np.maximum(own - DISCOUNT, 0) / total + DISCOUNT * after / total * self.p[at])[state]
+        self.certain[at[(after == 1) & (own > 0)]] = True
+        self.open[:] = False
+        self.open[at[after > 1]] = True
+        self.n = now
+
+    def scores(self) -> list[tuple]:
+        each = np.add.reduceat(np.log10(self.p), self.first)
+        ids = [None if null else i for i, null in zip(self.ids.tolist(), self.nulls.tolist(), strict=True)]
+        return list(zip(ids, self.train.tolist(), (self.lengths + 1).tolist(), self.n_known.tolist(), self.base.tolist(), each.tolist(), strict=True))
+
+
+def quantised(p: np.ndarray) -> np.ndarray:
+    """-ln p in steps of 1/256."""
+    return np.minimum(np.rint(-256 * np.log(p)), 65535).astype(np.uint16)
+
+
+class Tally:
+    """Counts of one group's runs, and what they tell of each context."""
+
+    def __init__(self, asks: pa.Table) -> None:
+        keys = [_unpack_keys(x) for x in asks.column("keys").to_pylist()]
+        self.ends = np.cumsum([len(k) for k in keys])
+        self.keys, self.which = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
+        counts = np.concatenate([np.zeros(0, np.uint32), *(_unpack(x, np.uint32) for x in asks.column("counts").to_pylist())])
+        self.n = np.bincount(self.which, counts, len(self.keys)).astype(np.int64)
+        lower = np.zeros(len(self.keys))
+        lower[self.which] = np.concatenate([np.zeros(0, np.uint16), *(_unpack(x, np.uint16) for x in asks.column("lower").to_pylist())]) / -256.0
+        context = self.keys >> np.uint64(NEXT_BITS)
+        begin = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
+        self.context, self.of = context[begin], np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(context))))
+        often = self.n >= 2
+        sums = lambda x: np.add.reduceat(x, begin) if len(begin) else np.zeros(0)
+        self.kinds, self.total, self.often, self.share = sums((self.n > 0).astype(np.int64)), sums(self.n), sums(self.n * often), sums(np.exp(lower) * often)
+        self.surprise = sums(np.where(often, self.n * (np.log(np.maximum(self.n, 1)) - lower), 0.0))
+
+    def answers(self, asks: pa.Table, kinds: np.ndarray) -> pa.Table:
+        """One row for each asking block; the number of distinct words goes with the first."""
+        kinds, rows = kinds[self.of] if len(kinds) else np.zeros(len(self.keys), np.int64), []
+        for i, (block, group, end) in enumerate(zip(asks.column("block").to_pylist(), asks.column("group").to_pylist(), self.ends.tolist(), strict=True)):
+            which = self.which[self.ends[i - 1] if i else 0 : end]
+            rows.append((block, group, _pack(self.n[which].astype(np.uint32)), _pack(kinds[which].astype(np.int32)), 0 if i else int((self.n > 0).sum())))
+        return _table(ANSWERS, rows)
+
+
+def diverges(total, often, share, surprise) -> np.ndarray:
+    """Whether contexts gain enough over their suffixes: symbols seen twice or more each, and all others together."""
+    rest = total - often
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = surprise - often * np.log(total) + np.where(rest > 0, rest * (np.log(rest / total) - np.log(np.maximum(1 - share, 1e-9))), 0.0)
+    return (often > 0) & (gain >= LEAST_GAIN)
+
+
+def _count_words(asks: pa.Table) -> pa.Table:
+    return (tally := Tally(asks)).answers(asks, np.zeros(0, np.int64))
+
+
+def _count_runs(asks: pa.Table) -> pa.Table:
+    tally = Tally(asks)
+    state = diverges(tally.total, tally.often, tally.share, tally.surprise)
+    return tally.answers(asks, np.where(state, tally.kinds, -tally.kinds))
+
+
+def _count_parts(asks: pa.Table) -> pa.Table:
+    """What one group knows of contexts that several groups share."""
+    tally = Tally(asks)
+    return pa.table({"context": tally.context.astype(np.int64), "kinds": tally.kinds, "total": tally.total, "often": tally.often, "share": tally.share, "surprise": tally.surprise})
+
+
+def _spread(groups: int, split: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
-        names = ["row", "id", "group", "n_tokens", "n_known", "base", "keys", "rows", "counts"]
-
-        def packed(out: list[tuple]) -> pa.RecordBatch:
-            r, g, *three = zip(*out, strict=True)
-            columns = [list(r), None, list(g), None, None, None, *(list(x) for x in three)]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(out), t) if x is None else pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
-
-        lines, asking_ids, held = [], [], 0
-        for batch in slices(batches, "text"):
-            raw = raw_texts(batch.column("text"))
-            n = len(raw)
-            words = Words(raw, lower=True)
-            hashes, of = (words.hashes().view(np.int64), words.text_of_word()) if len(words) else (np.zeros(0, np.int64),) * 2
-            at = np.minimum(np.searchsorted(common_keys, hashes), max(len(common_keys) - 1, 0))
-            hit = common_keys[at] == hashes if len(common_keys) else np.zeros(len(hashes), bool)
-            logs = np.log10((common_counts[at[hit]] + 1) / size) if len(common_keys) else np.zeros(0)
-            base = np.bincount(of[hit], logs, n) + np.log10((end_count + 1) / size)
-            known = np.bincount(of[hit], minlength=n) + (end_count > 0)
-            ids = row + np.arange(n)
-            row += n
-            none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("id").cast(pa.int64()), pa.array(np.full(n, -1, np.int32)), pa.array(words.counts.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base), none, none, none], names=names)
-            lines += normalised(raw)
-            asking_ids.append(ids)
-            held += sum(map(len, raw))
-            if held >= ASK_BYTES:
-                yield packed(list(asking(lines, asking_ids)))
-                lines, asking_ids, held = [], [], 0
-            # entries (word, text, count) of the other words, a row for each group; `row` is the first text's
-            order = np.lexsort((of[~hit], hashes[~hit]))
-            keys, rows = hashes[~hit][order], ids[of[~hit][order]]
-            if len(keys):
-                begin = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])))
-                counts = np.diff(np.append(begin, len(keys))).astype(np.int32)
-                keys, rows = keys[begin], rows[begin]
-                group = (keys.view(np.uint64) >> np.uint64(33)).astype(np.int64) % groups
-                order = np.argsort(group, kind="stable")
-                cut = np.searchsorted(group[order], np.arange(groups + 1))
-                yield packed([(int(ids[0]), g, *(x[order[a:b]].tobytes() for x in (keys, rows, counts))) for g, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
-        if lines:
-            yield packed(list(asking(lines, asking_ids)))
+        """Each shared context's answer for all groups that have a part of it."""
+        for batch in batches:
+            context, total = (batch.column(c).to_numpy() for c in ("context", "total"))
+            state = diverges(*(batch.column(c).to_numpy() for c in ("total", "often", "share", "surprise")))
+            kinds = np.where(state, 1, -1) * batch.column("kinds").to_numpy()
+            parts = -(-total // split)
+            owner = np.repeat(np.arange(len(parts)), parts)
+            salt = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+            group = _split_group(context[owner].astype(np.uint64), salt, groups).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(context[owner]), pa.array(kinds[owner])], names=["group", "context", "kinds"])
 
     return run
 
 
-def _summed(rows: np.ndarray, base: np.ndarray, known: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    texts, of = np.unique(rows, return_inverse=True)
-    return texts.tobytes(), np.bincount(of, base, len(texts)).tobytes(), np.bincount(of, known, len(texts)).astype(np.int64).tobytes()
-
+def _answer_parts(asks: pa.Table, shared: pa.Table) -> pa.Table:
+    tally = Tally(asks)
+    known = dict(zip(shared.column("context").to_pylist(), shared.column("kinds").to_pylist(), strict=True))
+    return tally.answers(asks, np.array([known[c] for c in tally.context.tolist()], np.int64))
+
+
+def _replayed(texts: int, size: float, groups: int, split: int, level: int | None) -> Callable:
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        """A block's questions about a level, or its scores, after the answers about the levels before."""
+        rows: list[tuple] = []
+        by: dict[int, list] = {}
+        for depth, group, n, kinds in sorted(zip(*(answers.column(c).to_pylist() for c in ("level", "group", "n", "kinds")), strict=True), key=lambda r: r[:2]):
+            by.setdefault(depth, []).append((_unpack(n, np.uint32).astype(np.int64), _unpack(kinds, np.int32).astype(np.int64)))
+        none = [(np.zeros(0, np.int64),) * 2]
+        for row in blocks.to_pylist():
+            block = Block(row, groups, split)
+            block.begin(np.concatenate([n for n, _ in by.get(0, none)]), texts, size)
+            for depth in range(1, max(by, default=0) + 1):
+                block.take(depth, *(np.concatenate(x) for x in zip(*by.get(depth, none), strict=True)))
+            rows += block.scores() if level is None else block.ask(level)
+        out = _table(SCORES if level is None else ASKS, rows)
+        del rows, by
+        give_back()
+        return out
 
-def _gathered(parts: pa.Table) -> pa.Table:
-    """The sums of all groups for the texts that were looked at together."""
-    packed = (np.frombuffer(b"".join(parts.column(c).to_pylist()), k) for c, k in (("rows", np.int64), ("base", np.float64), ("known", np.int64)))
-    rows, base, known = (np.frombuffer(x, k) for x, k in zip(_summed(*packed), (np.int64, np.float64, np.int64), strict=True))
-    return pa.table({"row": rows, "more_base": base, "more_known": known})
+    return run
 
 
-def _looker(size: float):
-    def run(entries: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        """Sums over one group's words for each text that has some, packed for the texts that were looked at together."""
-        keys, n = vocabulary.column("key").to_numpy(), vocabulary.column("n").to_numpy()
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        sums = []
-        for first, *packed in zip(*(entries.column(c).to_pylist() for c in ("row", "keys", "rows", "counts")), strict=True):
-            wanted, rows, counts = (np.frombuffer(x, kind) for x, kind in zip(packed, (np.int64, np.int64, np.int32), strict=True))
-            at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-            found = np.where(keys[at] == wanted, n[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
-            sums.append((first, *_summed(rows, counts * np.log10((found + 1) / size), counts * (found > 0))))
-        columns = zip(*sums, strict=True) if sums else [[]] * 4
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["row", "rows", "base", "known"])
+def _ask_words(groups: int, split: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _table(ASKS, Block(row, groups, split).ask_words()).to_batches()
 
     return run
 
 
-def score(documents: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
+def _bucketed(df: DataFrame, by: str, scratch: Scratch) -> DataFrame:
+    """A table of the shared folder whose buckets later cogroups read as they are, without a shuffle."""
+    spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    path, buckets = f"{scratch.root}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, by).saveAsTable(name)
+    scratch.paths["blocks"] = path
+    scratch.tables.append(name)
+    return spark.table(name)
+
+
+def score(documents: DataFrame, modulus: int = 7, held: int = 2, sizes: Sizes = Sizes()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     Learnt from rows outside the held-out fold; a null doc_id is in no fold. A null text counts as empty: one end.
-    Repeated rows count, and are scored, each. Without training rows N is 0, V is 0 and no token is known.
+    Repeated rows count, and are scored, each. Words that are as common count alike. A very long text is a block of its
+    own. Without training rows N is 0, V is 0 and no token is known; an empty table gives an empty result. Other columns
+    aren't read.
     """
-    spark = documents.sparkSession
-    scratch = Scratch(spark)
-    docs = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    train = docs.where(crc_remainder(F.col("id"), modulus) != held)
-    found = train.select("text").mapInArrow(_byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).toArrow()
-    byte_counts = np.zeros(256, np.int64)
-    byte_counts[found["byte"].to_numpy()] = found["n"].to_numpy()
-    classes = symbol_classes(byte_counts)
-    counting = lambda rows: rows.select("text").mapInArrow(_counter(classes), "kind int, key long, n long")
-    unseen = counting(docs.where(crc_remainder(F.col("id"), modulus) == held)).where("kind = 1").withColumn("n", F.lit(0).cast("long"))
-    counted = counting(train).unionByName(unseen)
-    counted = scratch.write(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counted")
-    words, grams = counted.where("kind = 0").select("key", "n"), counted.where("kind = 1").select("key", "n")
-    distinct, tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    texts = counted.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    total, different = tokens + texts, distinct + (texts > 0)
-    size = float(max(total + different + 1, 1))
-    run_groups = 1 + int(byte_counts.sum()) // GROUP_SYMBOLS
-    group = (-3 - F.col("key") % PRIME % run_groups).cast("int").alias("group")
-    known = probabilities(grams).select("key", group, F.log10("p").cast("float").alias("log"))
-    top = words.orderBy(F.desc("n"), "key").limit(COMMON).toArrow().sort_by("key")
-    groups = max(1, -(-tokens // GROUP_ENTRIES))
-    looked = scratch.write(docs.mapInArrow(_pass(classes, top["key"].to_numpy(), top["n"].to_numpy(), size, int(texts), groups, run_groups), "row long, id long, `group` int, n_tokens long, n_known long, base double, keys binary, rows binary, counts binary"), "looked")
-    entries = looked.where("`group` >= 0").select("group", "row", "keys", "rows", "counts")
-    dealt = words.withColumn("group", (F.shiftrightunsigned("key", 33) % groups).cast("int"))
-    more = entries.groupBy("group").cogroup(dealt.groupBy("group")).applyInArrow(_looker(size), "row long, rows binary, base binary, known binary")
-    more = more.groupBy("row").applyInArrow(_gathered, "row long, more_base double, more_known long")
-    asks = looked.where("`group` <= -3").select("group", "row", "keys")
-    answers = asks.groupBy("group").cogroup(known.groupBy("group")).applyInArrow(_answer, "row long, `group` int, logs binary")
-    together = looked.where("`group` = -2").select("row", "keys", "rows", "counts")
-    scores = together.groupBy("row").cogroup(answers.groupBy("row")).applyInArrow(_scorer(classes, within_last(byte_counts), run_groups), "row long, score double")
-    rows = looked.where("`group` = -1").select("row", "id", "n_tokens", "n_known", "base").join(scores, "row").join(more, "row", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    scratch = Scratch(documents.sparkSession)
+    docs = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("train", crc_remainder(F.col("id"), modulus) != held)
+    blocks = _bucketed(docs.mapInArrow(_cut_blocks(sizes.block_bytes), BLOCKS), "block", scratch)
+    words, texts, tokens = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("train_words", "train_texts", "all_tokens"))).first()
+    groups = 1 + tokens // sizes.group_tokens
+    asks = scratch.write(blocks.mapInArrow(_ask_words(groups, sizes.split), ASKS), "asks")
+    answers = scratch.write(asks.groupBy("group").applyInArrow(_count_words, ANSWERS).withColumn("level", F.lit(0)), "answers0")
+    scratch.drop("asks")
+    distinct = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    total = words + texts
+    size = float(total + distinct + (texts > 0) + 1)
+    replayed = lambda level: blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_replayed(texts, size, groups, sizes.split, level), SCORES if level is None else ASKS)
+    for level in range(1, DEPTH + 1):
+        asks = scratch.write(replayed(level), "asks")
+        if asks.isEmpty():
+            break
+        found = asks.where(F.col("group") < groups).groupBy("group").applyInArrow(_count_runs, ANSWERS)
+        parts = asks.where(F.col("group") >= groups)
+        if not parts.isEmpty():
+            shared = parts.groupBy("group").applyInArrow(_count_parts, "context long, kinds long, total long, often long, share double, surprise double")
+            shared = shared.groupBy("context").agg(*(F.sum(c).alias(c) for c in ("kinds", "total", "often", "share", "surprise")))
+            shared = scratch.write(shared.mapInArrow(_spread(groups, sizes.split), "`group` int, context long, kinds long"), "shared")
+            found = found.unionByName(parts.groupBy("group").cogroup(shared.groupBy("group")).applyInArrow(_answer_parts, ANSWERS))
+        answers = answers.unionByName(scratch.write(found.withColumn("level", F.lit(level)), f"answers{level}"))
+        scratch.drop("asks")
+    rows = replayed(None)
     return rows.select(
-        F.col("id").alias("doc_id"), (crc_remainder(F.col("id"), modulus) == held).alias("held_out"), "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), "score",
+        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
     )
 
 

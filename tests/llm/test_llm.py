@@ -387,67 +387,70 @@ def test_repeats_cover_what_earlier_documents_have(rows, rng):
 # 10
 
 
-def test_base_scores_are_brute_force(spark):
-    rows = [*invented(10), *ODD]
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    tokens = [(i, WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]) for i, t in rows]
-    counts = Counter(w for i, ws in tokens if not held(i) for w in ws)
+def slow_tree(rows, held):
+    """Scores by the definition: counts of all contexts, each tested against its suffix, and how many are states."""
+    tokens = [(i, ["<begin>", *WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "<end>"]) for i, t in rows]
+    train = [ws for i, ws in tokens if not held(i)]
+    counts = Counter(w for ws in train for w in ws[1:])
     n, v = sum(counts.values()), len(counts)
-    want = sorted((i if i is not None else -1, held(i), len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in tokens)
-    suffixlm.COMMON = 50  # most words go the long way
-    got = suffixlm.score(frame(spark, rows)).collect()
-    suffixlm.COMMON = 50_000
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    base = lambda w: (counts[w] + 1) / (n + v + 1)
+    states = {}
+
+    def p(context, w):
+        found = base(w)
+        for k in range(1, len(context) + 1):
+            if after := states.get(tuple(context[-k:])):
+                total = sum(after.values())
+                found = max(after[w] - suffixlm.DISCOUNT, 0) / total + suffixlm.DISCOUNT * len(after) / total * found
+        return found
+
+    for k in range(1, suffixlm.DEPTH + 1):
+        level = defaultdict(Counter)
+        for ws in train:
+            for i in range(k, len(ws)):
+                level[tuple(ws[i - k : i])][ws[i]] += 1
+        new = {}
+        for context, after in level.items():
+            total, often, share, gain = sum(after.values()), 0, 0.0, 0.0
+            for w, m in after.items():
+                if m >= 2:
+                    low = -round(-256 * math.log(p(context[1:], w))) / 256
+                    gain, often, share = gain + m * (math.log(m / total) - low), often + m, share + math.exp(low)
+            if total > often:
+                gain += (total - often) * (math.log((total - often) / total) - math.log(max(1 - share, 1e-9)))
+            if total >= suffixlm.LEAST_COUNT and often and gain >= suffixlm.LEAST_GAIN:
+                new[context] = after
+        states |= new
+    out = []
+    for i, ws in tokens:
+        words = ws[1:]
+        scores = sum(math.log10(base(w)) for w in words), sum(math.log10(p(ws[max(0, j - suffixlm.DEPTH) : j], ws[j])) for j in range(1, len(ws)))
+        out.append((i if i is not None else -1, held(i), len(words), sum(counts[w] > 0 for w in words), n, *scores))
+    return sorted(out), Counter(len(c) for c in states)
+
+
+def test_tree_scores_are_brute_force(spark):
+    rng, held = random.Random(5), lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    line = "the quick brown Fox jumps over the lazy dog again"
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    texts += [*texts[:20], *(f"{line} {rng.choice(vocabulary)} {line}" for _ in range(15))]
+    rows = [*enumerate(texts, 100), *ODD]
+    want, states = slow_tree(rows, held)
+    assert len(states) >= 4 and len({r[1] for r in want}) == 2
+    for sizes in (suffixlm.Sizes(), suffixlm.Sizes(1500, 5_000, 20)):  # one block and group; several, with contexts that groups share
+        got = sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in suffixlm.score(frame(spark, rows), sizes=sizes).collect())
+        assert [g[:5] for g in got] == [w[:5] for w in want]
+        assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-5, atol=1e-3)
     assert suffixlm.score(frame(spark, [])).count() == 0
 
 
-def test_automaton_is_the_longest_suffix():
-    texts = [b"abra cadabra abracadabra", b"a b a b", b"", b"cab bac"] * 30
-    lines = suffixlm.normalised(texts)
-    data = np.frombuffer(b"".join(lines), np.uint8)
-    counts = np.bincount(data, minlength=256)
-    classes = suffixlm.symbol_classes(counts)
-    codes, n = np.unique(suffixlm.gram_codes(classes[data]), return_counts=True)
-    levels = []
-    for k in range(suffixlm.DEPTH + 1):
-        c, at = np.unique(codes % suffixlm.SYMBOLS ** (k + 1), return_inverse=True)
-        levels.append((c, np.bincount(at, n).astype(np.int64)))
-    tree = suffixlm.SuffixTree(counts, levels)
-    assert np.allclose((10.0**tree.log).sum(axis=1), 1, atol=1e-5)
-    for text in (b"abracadabra cab", b"", b"zzz"):
-        line, state, total = suffixlm.normalised([text])[0], 0, 0.0
-        for i, byte in enumerate(line):
-            symbol = classes[byte]
-            total += (tree.log[state, symbol] + tree.within[byte]) if i >= suffixlm.DEPTH else 0
-            state = tree.next[state, symbol]
-        assert abs(total - tree.scores([text])[0]) < 1e-3
-    assert tree.scores([b"abra"])[0] > tree.scores([b"qxzw"])[0]
-
-
-def test_rare_contexts_stay_states_in_a_large_corpus(spark):
-    rng = random.Random(4)
-    rare = ["".join(rng.choice("abcdefghijklmnop") for _ in range(60)) for _ in range(3)]
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    rows = [(i, "xy " * 4000) for i in range(400)] + [(1000 + i, rare[i % 3] + " é") for i in range(12)] + [(2000 + i, "fresh " + rare[0][i:40]) for i in range(20)]
-    lines = suffixlm.normalised([t.encode() for i, t in rows if not held(i)])
-    counts = sum(np.bincount(np.frombuffer(x[suffixlm.DEPTH :], np.uint8), minlength=256) for x in lines)
-    assert counts.sum() > 4_000_000  # a share of 1e-6 would be more than the passages have
-    classes = suffixlm.symbol_classes(counts)
-    codes, n = np.unique(np.concatenate([suffixlm.gram_codes(classes[np.frombuffer(x, np.uint8)]) for x in lines]), return_counts=True)
-    levels = []
-    for k in range(suffixlm.DEPTH + 1):
-        c, at = np.unique(codes % suffixlm.SYMBOLS ** (k + 1), return_inverse=True)
-        n_k = np.bincount(at, n).astype(np.int64)
-        _, of = np.unique(c // suffixlm.SYMBOLS, return_inverse=True)
-        often = np.bincount(of, n_k)[of] >= 2
-        levels.append((c[often], n_k[often]))
-    want = dict(zip([i for i, _ in rows], suffixlm.SuffixTree(counts, levels).scores([t.encode() for _, t in rows]), strict=True))
-    suffixlm.GROUP_SYMBOLS, suffixlm.ASK_BYTES = 1_000_000, 2_500_000  # several groups of runs and of texts
-    got = {r.doc_id: r.score for r in suffixlm.score(frame(spark, rows)).collect()}
-    suffixlm.GROUP_SYMBOLS, suffixlm.ASK_BYTES = 20_000_000, 16 << 20
-    assert got.keys() == want.keys() and any(held(i) for i in got if i >= 1000)
-    assert all(abs(got[i] - want[i]) <= 1e-3 + 1e-4 * abs(want[i]) for i in got), [(i, got[i], want[i]) for i in got if i >= 1000]
+def test_tree_is_better_than_its_base_on_held_out_text(spark):
+    got = queries()["op10_suffixlm"](spark, "/root/testdata/sf0.01").toPandas()
+    held = got[got["held_out"]]
+    assert len(got) == 1000 and len(held) > 100
+    assert (held["score"].sum() - held["base_score"].sum()) / held["n_tokens"].sum() > 0.3
+    assert held["score"].sum() / held["n_tokens"].sum() > -3.75
 
 
 # words, and the pipeline
