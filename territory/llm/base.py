@@ -94,6 +94,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         path, self.written = f"{self.root}/{name}-{self.written}", self.written + 1
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+        if name in self.paths:  # an earlier table of this name, which is still to be dropped
+            self.paths[f"{name}-{self.written}"] = self.paths[name]
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

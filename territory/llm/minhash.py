@@ -1,9 +1,11 @@
 """MinHash near-duplicate classes (operator 1).
 
 Documents with equal shingle sets are one class. Class representatives get universal hash minima, cut into
-bands; who shares a band's bucket is compared, first by signature, then by full sets. A bucket
-first compares its members with its least one only, then with another, and joins what is confirmed; after that
-it compares members of different components, in blocks of bounded size. Components come from alternating stars.
+bands; who shares a band's bucket is compared, first by signature, then by full sets. A bucket first
+compares its members with one hub only, the member that meets most others in all its buckets, as the text does that copies
+were made from, and joins what is confirmed; then with a hub of another component, as long as that joins many.
+After that it compares members of different components, in blocks of bounded size. Components come from
+alternating stars.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
 #: Share of equal minima under which a pair isn't compared in full: 5 standard deviations below 0.75.
 LEAST_EQUAL = 0.58
-#: Members of a bucket that are compared with each other in one task.
-BLOCK = 2048
+#: Members of a bucket, and shingles of theirs, that meet the same number of others in one task.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+#: Hubs of a bucket, one after the other, and the share of their comparisons that must be links for another.
+HUBS, LEAST_LINKS = 5, 0.05
 
 _rng = np.random.default_rng(75)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,14 +109,22 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
+def _set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted set of each text, as bytes."""
+    for batch in slices(batches, "text"):
+        sets = shingle_sets(raw_texts(batch.column("text")))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are near."""
-    for batch in slices(batches, "text_a", 1 << 20):
-        texts = raw_texts(batch.column("text_b"))
-        others = list(dict.fromkeys(texts))
-        sets = dict(zip(others, shingle_sets(others), strict=True))
-        keep = [linked(x, sets[t]) for x, t in zip(shingle_sets(raw_texts(batch.column("text_a"))), texts, strict=True)]
-        yield batch.filter(pa.array(keep)).select(["a", "b"])
+    for batch in batches:
+        keep = [linked(_set(x), _set(y)) for x, y in zip(batch.column("shingles_a").to_pylist(), batch.column("shingles_b").to_pylist(), strict=True)]
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
 class _Found:
@@ -179,8 +191,7 @@ def _links_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """Confirmed links between components that nothing else in the bucket has joined yet."""
     for run in _runs(batches):
         ids, component = run.column("id").to_pylist(), run.column("component").to_pylist()
-        texts = raw_texts(run.column("text").combine_chunks())
-        sets = [s for at in range(0, len(texts), 64) for s in shingle_sets(texts[at : at + 64])]
+        sets = [_set(x) for x in run.column("shingles").to_pylist()]
         found, links = _Found(), []
         for i, others in _near_in_bucket(run):
             for j in others.tolist():
@@ -192,45 +203,55 @@ def _links_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those that are near, by signature and then by full sets."""
-    sides = [reps.select(F.col("id").alias(c), F.col("minima").alias(f"minima_{c}")) for c in "ab"]
-    alike = pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_alike, "a long, b long")
-    sides = [docs.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
-    return alike.join(sides[0], "a").join(sides[1], "b").mapInArrow(_confirm, "a long, b long")
-
+def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Of the pairs (a, b) those that are near, by signature and then by full sets; and how many pairs there were.
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """(key, id, hub) of buckets with several members; the hub is the least."""
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
-    return keys.join(hubs, "key")
-
-
-def _least_links(shared: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links of bucket members with the bucket's least member."""
-    return _confirmed(shared.where("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), reps, docs)
-
-
-def _other_links(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links of members with any one member, where a bucket still has several components."""
-    hub = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "component")).alias("hub")
-    hubs = placed.drop("hub").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub).where("low < high").select("key", "hub")
-    apart = placed.select("key", "id", "component").join(hubs, "key").where("component <> hub.component")
-    return _confirmed(apart.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct(), reps, docs)
-
-
-def _bucket_links(placed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links between components that share a bucket, whoever shows them."""
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    member = placed.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    What is joined is written before, so that Spark can split a hub with very many members.
+    """
+    pairs = scratch.write(pairs, "pairs")
+    sides = [reps.select(F.col("id").alias(c), F.col("minima").alias(f"minima_{c}")) for c in "ab"]
+    alike = scratch.write(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_alike, "a long, b long"), "alike")
+    sides = [sets.select(F.col("id").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab"]
+    links = scratch.write(alike.join(sides[0], "a").join(sides[1], "b").mapInArrow(_confirm, "a long, b long"), "links")
+    n = pairs.count()
+    scratch.drop("pairs", "alike")
+    return links, n
+
+
+def _hub_links(placed: DataFrame, whole: DataFrame, reps: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component) after each bucket's members have met one hub after another."""
+    hub = F.max(F.when(~F.col("spent"), F.struct("weight", F.xxhash64("id").alias("h"), "id", "component"))).alias("hub")
+    # all members are components of their own, and none has been a hub's
+    now = placed.select("key", "id", "weight", F.col("id").alias("component"), F.lit(False).alias("spent"))
+    for turn in range(HUBS):
+        hubs = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub).where("low < high and hub is not null").select("key", F.col("hub.id").alias("b"), F.col("hub.component").alias("of_b"))
+        met = scratch.write(now.join(scratch.write(hubs, "hubs"), "key"), f"met{turn}")
+        links, compared = _confirmed(met.where("component <> of_b").select(F.col("id").alias("a"), "b").distinct(), reps, sets, scratch)
+        if compared:
+            whole = _joined(whole, links, scratch, f"whole{turn}")
+        if not compared or links.count() < LEAST_LINKS * compared:
+            break
+        spent = met.select("key", "id", "weight", (F.col("spent") | (F.col("component") == F.col("of_b"))).alias("spent"))
+        now = scratch.write(spent.join(whole, "id"), f"now{turn}")
+    return whole
+
+
+def _bucket_links(placed: DataFrame, whole: DataFrame, reps: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Confirmed links between components that share a bucket, whoever shows them; None if no bucket has several."""
+    now = placed.join(whole, "id")
+    mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n").alias("shingles")).where("low < high")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    mixed = scratch.write(mixed.select("key", blocks.alias("blocks")), "mixed")
+    if mixed.isEmpty():
+        return None
+    member = now.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "component").join(reps, "id")
+    member = scratch.write(member.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "component"), "member")
     order = ["key", "x", "y"]
-    dealt = member.select(*order, "block", "id", "component", "keys", "minima").repartition(*order).sortWithinPartitions(*order)
-    suspects = dealt.mapInArrow(_suspects, dealt.schema).join(docs, "id")
-    met = suspects.select(*order, "block", "id", "component", "keys", "minima", "text").repartition(*order).sortWithinPartitions(*order)
-    return met.mapInArrow(_links_in_bucket, "a long, b long")
+    dealt = member.join(reps.select("id", "keys", "minima"), "id").select(*order, "block", "id", "component", "keys", "minima").repartition(*order).sortWithinPartitions(*order)
+    suspects = scratch.write(dealt.mapInArrow(_suspects, dealt.schema), "suspects")
+    met = suspects.join(sets, "id").select(*order, "block", "id", "component", "keys", "minima", "shingles").repartition(*order).sortWithinPartitions(*order)
+    return scratch.write(met.mapInArrow(_links_in_bucket, "a long, b long"), "rest")
 
 
 def _joined(whole: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -255,21 +276,24 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     same = ["print1", "print2"]
     known = sketch.where("n > 0 and id is not null")
     group = scratch.write(known.groupBy(*same).agg(F.min("id").alias("rep")), "group")
-    reps = scratch.write(known.join(group.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "keys", "minima").dropDuplicates(["id", "keys"]), "reps")
+    reps = scratch.write(known.join(group.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "keys", "minima").dropDuplicates(["id", "keys"]), "reps")
     keys = scratch.write(reps.mapInArrow(_explode_keys, "key long, id long"), "keys")
-    shared = scratch.write(_shared(keys), "shared")
-    scratch.drop("keys")
-    # what is compared from here on is the part of all documents that meets another
-    met = scratch.write(shared.select("id").distinct(), "met")
+    buckets = scratch.write(keys.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "members"), "buckets")
+    shared = scratch.write(keys.join(buckets, "key"), "shared")
+    scratch.drop("keys", "buckets")
+    # what is compared from here on is the part of all documents that meets another; the weight is how many each meets
+    met = scratch.write(shared.groupBy("id").agg(F.sum("members").alias("weight")), "met")
     near = scratch.write(reps.join(met, "id"), "near")
-    texts = scratch.write(docs.join(met, "id"), "texts")
-    scratch.drop("reps")
-    whole = near.select("id", F.col("id").alias("component")).distinct()
-    whole = _joined(whole, scratch.write(_least_links(shared, near, texts), "links"), scratch, "whole1")
-    whole = _joined(whole, scratch.write(_other_links(shared.join(whole, "id"), near, texts), "others"), scratch, "whole2")
-    whole = _joined(whole, scratch.write(_bucket_links(shared.select("key", "id").join(whole, "id"), near, texts), "rest"), scratch, "whole3")
-    for name in ("shared", "near", "texts"):
-        scratch.drop(name)
+    sets = scratch.write(docs.join(met.select("id"), "id").mapInArrow(_shingles, "id long, shingles binary"), "sets")
+    placed = scratch.write(shared.select("key", "id").join(near.groupBy("id").agg(F.max("weight").alias("weight"), F.max("n").alias("n")), "id"), "placed")
+    scratch.drop("reps", "shared", "met")
+    whole = _hub_links(placed, near.select("id", F.col("id").alias("component")).distinct(), near, sets, scratch)
+    links = _bucket_links(placed, whole, near, sets, scratch)
+    if links is not None:
+        whole = _joined(whole, links, scratch, "whole")
+    else:
+        whole = scratch.write(whole, "whole")
+    scratch.drop(*[name for name in scratch.paths if name not in ("sketch", "group", "whole")])
     joined = group.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     rows = sketch.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("print1")).alias("print1"), "print2").join(joined, same, "left")
     component = F.coalesce("component_id", "id")
