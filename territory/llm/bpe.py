@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from territory.llm.base import CHUNK_BYTES, raw_texts, read_table, slices, small_batches, widened
 
 #: Bytes of pieces, ids and their bookkeeping that a worker remembers before it starts anew; longer pieces aren't remembered.
-CACHE_BYTES, ENTRY_BYTES, LONGEST_KEPT = 48 << 20, 150, 200
+CACHE_BYTES, ENTRY_BYTES, LONGEST_KEPT = 80 << 20, 150, 200
 NONE = np.iinfo(np.int64).max
 
 # What the tokenizers library's Unicode tables have beyond, or short of, those of Python.
@@ -59,6 +59,8 @@ def _of_category(letter: str) -> list[tuple[int, int]]:
 
 
 _UNKNOWN_MARK = re.compile(f"([{_character_class(UNKNOWN_MARKS)}])")
+#: Below it, Python's tables are the library's.
+FIRST_UNKNOWN = chr(min(a for a, *_ in NEWER_LETTERS + NEWER_NUMBERS + NEWER_CAPITALS + UNKNOWN_MARKS))
 _NEWER_LOWER = {c: c + step for a, b, step in NEWER_CAPITALS for c in range(a, b + 1)}
 
 
@@ -66,6 +68,8 @@ def lowered(text: str) -> str:
     """The text in form NFC and lower case, as the library has it."""
     if text.isascii():
         return text.lower()
+    if max(text) < FIRST_UNKNOWN:
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
     # a mark that the normaliser doesn't know parts what is before it from what is after it
     text = "".join(unicodedata.normalize("NFC", x) for x in _UNKNOWN_MARK.split(text))
     # one character at a time, a capital sigma has one lower-case form

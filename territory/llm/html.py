@@ -1,8 +1,10 @@
 """Main text of web pages by wrapper induction (operator 2).
 
-Pages of one host are aligned with a reference page of that host by simple tree matching. Text of an aligned
-node that stays the same on most pages belongs to the template and goes; slots that vary are content. What
-varies but isn't article (menus, adverts, footers and so on) is known by its element, role or class.
+Pages of one host and one layout are aligned with a reference page of theirs by simple tree matching: each run of alike
+elements is a slot, known by its path in the reference. What all these pages have in a slot tells what it is: a text that
+stays the same on most of them is template; a slot whose text is mostly links is a menu; of the slots that vary, the
+deepest element that holds most of the text is the article's. Elements and roles that mean a menu, a footer, a form and
+the like go anyway; class names that only hint at that count where the slot doesn't say otherwise.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,10 +21,14 @@ from pyspark.sql import functions as F
 
 from territory.llm.base import Scratch, read_table, slices
 
-#: Pages that a host's wrapper is induced from, about; pages and share of them that must agree on a template text.
-PAGES, LEAST_PAGES, LEAST_SHARE = 40, 4, 0.6
-#: Nested elements beyond this depth become siblings.
-DEEPEST = 200
+#: Pages of a layout that a wrapper needs; pages and share of them that must agree on a template text.
+LEAST_PAGES, LEAST_SHARE = 4, 0.6
+#: Share of a slot's characters in links that makes it a menu; share of the varying text that the article's element holds.
+MOST_LINKS, MAIN_SHARE = 0.5, 0.75
+#: Share of the varying text that a slot with a hint in its class must hold to stay.
+HINTED_SHARE = 0.15
+#: Nested elements beyond this depth become siblings; pairs of runs that an alignment compares before it takes the first that fits.
+DEEPEST, PAIRS = 200, 200_000
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,31 +41,61 @@ CLOSES_P = frozenset(
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
+#: Blocks that come and go with the text.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure hr address".split())
 #: Elements and roles that aren't article text.
 ASIDE = frozenset("nav header footer aside form menu button select option dialog head object canvas audio video map input search".split()) | RAW
 ASIDE_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
+#: Words of classes and ids that mean what isn't article text, and those that only hint at it.
+_WORDS = r"(?:^|[\s_-])(?:{})(?=$|[\s_-])"
 _ASIDE_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget\w*|footer|header|masthead|topbar"
-    r"|toolbar|comments?|commentlist|replies|reply|respond|disqus|discussion|share|sharing|social|follow|subscribe|newsletter|signup|login|search\w*|related|recommended|recommendations|pagination|pager|tags|meta|byline|skip)(?=$|[\s_-])",
+    _WORDS.format(
+        r"ads?|advert\w*|adbox|notices?|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|header|masthead|topbar|toolbar"
+        r"|comments?|commentlist|replies|respond|responses?|disqus|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|recommendations|pagination|pager|skip"
+    ),
     re.I,
 )
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|($))", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=\s|/|$)", re.I)
+_HINT_CLASS = re.compile(r"^side$|(?:^|[\s_-])(?:alert|widgets?|reply|discussion|follow|search|tags|meta|byline)$", re.I)
+_COMMENT_CLASS = re.compile(_WORDS.format(r"comments?|commentlist|replies|reply|respond|responses?|disqus"), re.I)
+_CONTAINER_CLASS = re.compile(r"(?:with|without|has|no|is|layout)[-_]|.*-(?:with|has|no|free)(?:-|$)", re.I)
+
+_VALUE = r"""(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?+"""
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)" + _VALUE)
+_ATTRIBUTES = r"((?>[\s/]++|[^\s/>][^\s/>=]*+" + re.sub(r"\((?!\?)", "(?:", _VALUE) + r")*+)"
+_MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?=[^a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)" + _ATTRIBUTES + r"(?:>|(\Z))", re.S)
 
 
 @functools.lru_cache(4096)
-def _aside_class(value: str) -> bool:
-    """Whether a class or id names something that isn't article text; "has-sidebar" and the like name its container."""
-    return any(_ASIDE_CLASS.search(word) and not re.match(r"(?:with|without|has|no|is|layout)[-_]|.*-(?:with|has|no)-", word, re.I) for word in value.split())
+def _class_says(value: str) -> tuple[bool, bool, bool]:
+    """Whether a class or id means, or hints at, what isn't article text, or means comments; "has-sidebar" and the like name a container."""
+    words = [w for w in value.split() if not _CONTAINER_CLASS.match(w)]
+    return tuple(any(x.search(w) for w in words) for x in (_ASIDE_CLASS, _HINT_CLASS, _COMMENT_CLASS))
 
 
 class Node:
-    """An element: its tag, whether it isn't article text, and its children, of which text is in strings."""
+    """An element: its tag, whether it isn't article text or may not be, and its children, of which text is in strings."""
 
-    __slots__ = ("tag", "aside", "children", "key")
+    __slots__ = ("tag", "aside", "hinted", "children", "key")
 
     def __init__(self, tag: str, aside: bool) -> None:
-        self.tag, self.aside, self.children, self.key = tag, aside, [], tag
+        self.tag, self.aside, self.hinted, self.children, self.key = tag, aside, False, [], tag
+
+
+def _element(tag: str, attributes: str, stack: list[Node]) -> Node:
+    node = Node(tag, tag in ASIDE)
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), a or b or c)
+    whole = tag in ("html", "body", "main") or tag == "article" and not any(n.tag == "article" for n in stack)
+    for name in ("class", "id"):
+        if value := found.get(name):
+            means, hints, comments = _class_says(entities.unescape(value))
+            node.aside |= comments and tag not in ("html", "body", "main") if whole else means or comments and hints
+            node.hinted |= hints and not whole
+    if value := found.get("class"):
+        node.key += f".{value}"
+    node.aside |= "hidden" in found or found.get("role", "").lower() in ASIDE_ROLE or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    return node
 
 
 def parse(html: str) -> Node:
@@ -95,71 +132,93 @@ def parse(html: str) -> Node:
                     break
                 if stack[i].tag in SCOPE[tag]:
                     break
-        aside, key = tag in ASIDE, tag
-        if match[3]:
-            for name, a, b, c in _ATTRIBUTE.findall(match[3]):
-                name, value = name.lower(), a or b or c
-                if name in ("class", "id"):
-                    key += f".{value}" if name == "class" else ""
-                    aside |= tag not in ("html", "body", "article", "main") and _aside_class(value)
-                else:
-                    aside |= name == "hidden" or name == "role" and value.lower() in ASIDE_ROLE or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower()
-        node = Node(tag, aside)
-        node.key = key
+        node = _element(tag, match[3], stack)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
-        elif tag not in VOID and not match[3].endswith("/") and len(stack) < DEEPEST:
+        elif tag not in VOID and len(stack) < DEEPEST:
             stack.append(node)
     if at < len(html):
         stack[-1].children.append(html[at:])
     return root
 
 
+def _blocks(node: Node) -> list[Node]:
+    return [c for c in node.children if isinstance(c, Node) and c.tag not in INLINE and c.tag not in VOID and c.tag not in RAW]
+
+
+def _alike(a: Node, b: Node) -> bool:
+    """Whether neighbours are items of one list: the same kind, with mostly the same kinds of blocks inside."""
+    if a.key != b.key:
+        return False
+    x, y = ({c.key for c in _blocks(n)} for n in (a, b))
+    return x == y or 2 * len(x & y) > len(x | y)
+
+
 def _elements(node: Node) -> list[tuple[str, list[Node]]]:
-    """Child elements, neighbours of one kind in one run: a list of many items aligns as one slot."""
+    """Child elements, neighbours that are alike in one run: a list of many items aligns as one slot."""
     runs: list[tuple[str, list[Node]]] = []
-    for child in node.children:
-        if isinstance(child, Node) and child.tag not in INLINE and child.tag not in VOID and child.tag not in RAW:
-            if runs and runs[-1][0] == child.key:
-                runs[-1][1].append(child)
-            else:
-                runs.append((child.key, [child]))
+    for child in _blocks(node):
+        if runs and _alike(runs[-1][1][-1], child):
+            runs[-1][1].append(child)
+        else:
+            runs.append((child.key, [child]))
     return runs
 
 
-def match(a: list[Node], b: list[Node], pairs: list | None = None, path: str = "") -> int:
-    """Simple tree matching of two runs of alike elements: the most nodes that align in order.
-
-    With `pairs`, also the alignment: (path in a, nodes of a, nodes of b).
-    """
-    left = [r for node in a for r in _elements(node)]
-    right = [r for node in b for r in _elements(node)]
-    if len(a) > 1 or len(b) > 1:  # items of a run share one shape
-        left, right = _merged(left), _merged(right)
+def _aligned(left: list, right: list, left_pairs: list[int]) -> list[tuple[int, int, int]]:
+    """Runs that align in order, with the nodes that each pair aligns: the most nodes, while `left_pairs` of comparisons are left; then the first that fit."""
     m, n = len(left), len(right)
+    if m * n > left_pairs[0]:
+        places: dict[str, list[int]] = {}
+        for j, (key, _) in enumerate(right):
+            places.setdefault(key, []).append(j)
+        out, at = [], 0
+        for i, (key, nodes) in enumerate(left):
+            own = places.get(key, [])
+            if (k := bisect_left(own, at)) < len(own):
+                out.append((i, own[k], match(nodes, right[own[k]][1], left_pairs=left_pairs)))
+                at = own[k] + 1
+        return out
+    left_pairs[0] -= m * n
     best = [[0] * (n + 1) for _ in range(m + 1)]
     size = {}
     for i in range(1, m + 1):
         for j in range(1, n + 1):
             best[i][j] = max(best[i - 1][j], best[i][j - 1])
             if left[i - 1][0] == right[j - 1][0]:
-                size[i, j] = match(left[i - 1][1], right[j - 1][1])
+                size[i, j] = match(left[i - 1][1], right[j - 1][1], left_pairs=left_pairs)
                 best[i][j] = max(best[i][j], best[i - 1][j - 1] + size[i, j])
+    out, i, j = [], m, n
+    while i and j:
+        if (i, j) in size and best[i][j] == best[i - 1][j - 1] + size[i, j]:
+            out.append((i - 1, j - 1, size[i, j]))
+            i, j = i - 1, j - 1
+        elif best[i][j] == best[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def match(a: list[Node], b: list[Node], pairs: list | None = None, path: str = "", left_pairs: list[int] | None = None) -> int:
+    """Simple tree matching of two runs of alike elements: the most nodes that align in order.
+
+    With `pairs`, also the alignment: (path in a, nodes of a, nodes of b).
+    """
+    left_pairs = [PAIRS] if left_pairs is None else left_pairs
+    left = [r for node in a for r in _elements(node)]
+    right = [r for node in b for r in _elements(node)]
+    if len(a) > 1 or len(b) > 1:  # items of a run share one shape
+        left, right = _merged(left), _merged(right)
+    found = _aligned(left, right, left_pairs)
     if pairs is not None:
-        i, j = m, n
-        while i and j:
-            if (i, j) in size and best[i][j] == best[i - 1][j - 1] + size[i, j]:
-                here = f"{path}/{i - 1}"
-                pairs.append((here, left[i - 1][1], right[j - 1][1]))
-                match(left[i - 1][1], right[j - 1][1], pairs, here)
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-    return 1 + best[m][n]
+        for i, j, _ in found:
+            here = f"{path}/{i}"
+            pairs.append((here, left[i][1], right[j][1]))
+            match(left[i][1], right[j][1], pairs, here, left_pairs)
+    return 1 + sum(size for _, _, size in found)
 
 
 def _merged(runs: list[tuple[str, list[Node]]]) -> list[tuple[str, list[Node]]]:
@@ -190,6 +249,22 @@ def own_text(node: Node) -> str:
     return clean(parts)
 
 
+def _linked(node: Node) -> str:
+    """The text of links among an element's own text."""
+    parts: list[str] = []
+
+    def walk(n: Node, inside: bool) -> None:
+        for child in n.children:
+            if isinstance(child, str):
+                if inside:
+                    parts.append(child)
+            elif child.tag in INLINE:
+                walk(child, inside or child.tag == "a")
+
+    walk(node, False)
+    return clean(parts)
+
+
 def slots(reference: Node, page: Node) -> list[tuple[str, Node, str]]:
     """(path, node, text) for each text of the page under a node that aligns with the reference."""
     pairs: list = []
@@ -197,19 +272,95 @@ def slots(reference: Node, page: Node) -> list[tuple[str, Node, str]]:
     return [(path, node, text) for path, _, nodes in pairs for node in nodes if (text := own_text(node))]
 
 
-def article(root: Node, drop: set[int]) -> str:
-    """The text of all blocks that are article text and not dropped; within article or main, if there is one."""
+def layout(root: Node) -> str:
+    """The containers below the body, or below the only block there: pages of one layout share a wrapper."""
+    node = next((c for n in (root, *[c for c in root.children if isinstance(c, Node)]) for c in n.children if isinstance(c, Node) and c.tag == "body"), root)
+    while len(runs := _elements(node)) == 1 and len(runs[0][1]) == 1:
+        node = runs[0][1][0]
+    return " ".join(key for key, run in runs if run[0].tag not in TEXT_BLOCKS)
+
+
+class Wrapper:
+    """What a layout's slots are: template texts, slots that aren't article text, and the element that holds the article."""
+
+    def __init__(self, pages: int, rows: list[dict], reference: Node) -> None:
+        """rows: path, text, pages that have it there, its characters and those in links, of each text of a slot."""
+        need = max(LEAST_PAGES, pages * LEAST_SHARE)
+        self.template = {(r["path"], r["text"]) for r in rows if r["pages"] >= need}
+        own: dict[str, list[int]] = {}
+        for r in rows:
+            if r["pages"] < need:
+                sums = own.setdefault(r["path"], [0, 0])
+                sums[0] += r["chars"]
+                sums[1] += r["links"]
+        nodes: dict[str, list[Node]] = {}
+        pairs: list = []
+        match([reference], [reference], pairs)
+        for path, run, _ in pairs:
+            nodes[path] = run
+        whole: dict[str, list[int]] = {}
+        for path, sums in own.items():
+            while path:
+                up = whole.setdefault(path, [0, 0])
+                up[0] += sums[0]
+                up[1] += sums[1]
+                path = path.rpartition("/")[0]
+        shown = {path: sums for path, sums in whole.items() if not any(n.aside for n in self._above(path, nodes))}
+        menus = {path for path, (chars, links) in shown.items() if links > MOST_LINKS * chars}
+        article = {path for path, run in nodes.items() if any(n.tag in ("article", "main") for n in run)}
+        top = {path: chars - links for path, (chars, links) in shown.items() if path.count("/") == 1}
+        total = sum(top.values())
+        #: without an article or main element, the deepest single element with blocks of its own that holds most of what varies
+        self.main = None
+        if not article and total:
+            held = [p for p, (chars, links) in shown.items() if chars - links >= MAIN_SHARE * total and len(nodes.get(p, ())) == 1 and _elements(nodes[p][0])]
+            self.main = max(held, key=lambda p: p.count("/"), default=None)
+        outside = [p for p in shown if article and not any(p == a or p.startswith(f"{a}/") for a in article)]
+        self.drop = {p for p in menus if self.main and p != self.main and not self.main.startswith(f"{p}/")} | {p for p in outside if p in menus}
+        #: a class that hints at what isn't article text counts for a slot that holds little
+        self.keep = {p for p, (chars, links) in whole.items() if total and chars - links >= HINTED_SHARE * total and p not in menus}
+
+    @staticmethod
+    def _above(path: str, nodes: dict[str, list[Node]]) -> list[Node]:
+        out: list[Node] = []
+        while path:
+            out += nodes.get(path, [])[:1]
+            path = path.rpartition("/")[0]
+        return out
+
+    def apply(self, reference: Node, page: Node) -> tuple[set[int], set[int], set[int]]:
+        """Nodes of a page: those whose own text goes, those that go whole, and the article's; hints that don't count are taken off."""
+        pairs: list = []
+        match([reference], [page], pairs)
+        texts, gone, main = set(), set(), set()
+        for path, _, run in pairs:
+            for node in run:
+                if path == self.main:
+                    main.add(id(node))
+                if path in self.drop:
+                    gone.add(id(node))
+                if path in self.keep:
+                    node.hinted = False
+                if (path, own_text(node)) in self.template:
+                    texts.add(id(node))
+        return texts, gone, main
+
+
+def article(root: Node, texts: set[int] = frozenset(), gone: set[int] = frozenset(), main: set[int] = frozenset()) -> str:
+    """The text of all blocks that are article text and not dropped; within the article's elements, if there are any."""
     tops: list[Node] = []
 
-    def find(node: Node) -> None:
+    def find(node: Node, wanted) -> None:
         for child in node.children:
             if isinstance(child, Node) and not child.aside:
-                if child.tag in ("article", "main"):
+                if wanted(child):
                     tops.append(child)
                 else:
-                    find(child)
+                    find(child, wanted)
 
-    find(root)
+    find(root, lambda n: n.tag in ("article", "main"))
+    if not tops and main:
+        find(root, lambda n: id(n) in main or n.tag == "h1")
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -219,19 +370,19 @@ def article(root: Node, drop: set[int]) -> str:
         parts.clear()
 
     def walk(node: Node, dropped: bool, heading: bool) -> None:
-        gone = dropped or id(node) in drop
+        silent = dropped or id(node) in texts
         for child in node.children:
             if isinstance(child, str):
-                if not gone and not heading:
+                if not silent and not heading:
                     parts.append(child)
-            elif child.aside:
-                if inside and child.tag == "header":  # of an article's own header its headings stay
+            elif child.aside or child.hinted or id(child) in gone:
+                if inside and child.tag == "header" and id(child) not in gone:  # of an article's own header its headings stay
                     end()
                     walk(child, False, True)
                 elif child.tag not in INLINE:
                     end()
             elif child.tag in INLINE:
-                walk(child, gone, heading)
+                walk(child, silent, heading)
             elif child.tag == "br":
                 parts.append(" ")
             else:
@@ -246,52 +397,73 @@ def article(root: Node, drop: set[int]) -> str:
     return " ".join(blocks)
 
 
-@functools.lru_cache(256)
+@functools.lru_cache(64)
 def _reference(html: str) -> Node:
     return parse(html)
 
 
-def extract(html: str, reference: str | None = None, template: frozenset[tuple[str, str]] = frozenset()) -> str:
-    """Main text of a page, without the host's template: texts by their path in the reference."""
-    root, drop = parse(html), set()
-    if reference is not None and template:
-        drop = {id(node) for path, node, text in slots(_reference(reference), root) if (path, text) in template}
-    return article(root, drop)
+@functools.lru_cache(64)
+def _wrapper(html: str, pages: int, rows: tuple[tuple, ...]) -> Wrapper:
+    return Wrapper(pages, [dict(zip(("path", "text", "pages", "chars", "links"), r, strict=True)) for r in rows], _reference(html))
+
+
+def extract(html: str, reference: str | None = None, pages: int = 0, rows: tuple[tuple, ...] = ()) -> str:
+    """Main text of a page; with the layout's reference and what its pages have in their slots, through the wrapper."""
+    root = parse(html)
+    if reference is None:
+        return article(root)
+    return article(root, *_wrapper(reference, pages, rows).apply(_reference(reference), root))
 
 
 def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "html"):
+        found = [layout(parse(h or "")) for h in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "layout"])
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct texts of each page's slots, with their characters and those of them in links."""
     for batch in slices(batches, "html"):
         out = []
-        for where, reference, html in zip(*(batch.column(c).to_pylist() for c in ("host", "reference", "html")), strict=True):
-            out += [(where, *pair) for pair in {(path, text) for path, _, text in slots(_reference(reference), parse(html))}]
+        for *where, reference, html in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "reference", "html")), strict=True):
+            seen: dict[tuple[str, str], tuple[int, int]] = {}
+            for path, node, text in slots(_reference(reference), parse(html)):
+                seen[path, text] = len(text), len(_linked(node))
+            out += [(*where, path, text, *n) for (path, text), n in seen.items()]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["host", "path", "text"])
+            kinds = (*[pa.string()] * 4, pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["host", "layout", "path", "text", "chars", "links"])
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, reference, template) of (host, html): induced from about PAGES distinct pages of each host, chosen by hash.
+def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, layout, reference, pages, slots) of (host, layout, html), from all distinct pages of each layout.
 
-    A template holds the texts, with their path in the reference, that at least LEAST_SHARE and LEAST_PAGES of these have.
+    A slot's texts that most pages have are told each; those that few have are one row of sums, without a text.
     """
-    known = pages.where("html is not null and html <> ''").select("host", "html", F.xxhash64("html").alias("mark"))
-    few = known.groupBy("host").agg(F.approx_count_distinct("mark").alias("pages"))
-    unit = F.pmod(F.col("mark"), F.lit(1 << 30)) / (1 << 30)
-    sample = known.join(few, "host").where(unit * F.col("pages") < PAGES).groupBy("host", "mark").agg(F.first("html").alias("html"))
-    sample = Scratch(pages.sparkSession).write(sample, "sample")
-    reference = sample.groupBy("host").agg(F.min_by("html", "mark").alias("reference"), F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    votes = sample.join(reference, "host").select("host", "reference", "html").mapInArrow(_votes, "host string, path string, text string")
-    agreed = votes.groupBy("host", "path", "text").agg(F.count("*").alias("votes")).join(reference, "host").where(F.col("votes") >= F.greatest(F.lit(LEAST_PAGES), F.col("n") * LEAST_SHARE))
-    return agreed.groupBy("host").agg(F.first("reference").alias("reference"), F.sort_array(F.collect_set(F.struct("path", "text"))).alias("template"))
+    known = pages.where("html is not null and html <> ''").select("host", "layout", "html", F.xxhash64("html").alias("mark"))
+    by = ["host", "layout"]
+    counts = known.select(*by, "mark").distinct().groupBy(*by).agg(F.count("*").alias("pages"), F.min("mark").alias("mark")).where(F.col("pages") >= LEAST_PAGES)
+    counts = scratch.write(counts, "counts")
+    reference = scratch.write(known.join(counts, [*by, "mark"]).groupBy(*by).agg(F.min("html").alias("reference"), F.first("pages").alias("pages")), "reference")
+    distinct = known.dropDuplicates([*by, "mark"]).drop("mark")
+    votes = distinct.join(reference, by).select(*by, "reference", "html").mapInArrow(_votes, "host string, layout string, path string, text string, chars long, links long")
+    votes = votes.groupBy(*by, "path", "text").agg(F.count("*").alias("votes"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    votes = scratch.write(votes, "votes").join(reference.select(*by, "pages"), by)
+    often = F.col("votes") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * LEAST_SHARE)
+    texts = votes.groupBy(*by, "path", F.when(often, F.col("text")).alias("text")).agg(F.when(F.max(often), F.max("votes")).otherwise(0).alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    found = texts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("path", "text", "pages", "chars", "links"))).alias("slots"))
+    return scratch.write(found.join(reference, by), "wrappers")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "html"):
-        columns = [batch.column(c).to_pylist() for c in ("html", "reference", "template")]
-        texts = [extract(h or "", r, frozenset((x["path"], x["text"]) for x in t or ())) for h, r, t in zip(*columns, strict=True)]
+        texts = []
+        for html, reference, pages, rows in zip(*(batch.column(c).to_pylist() for c in ("html", "reference", "pages", "slots")), strict=True):
+            texts.append(extract(html or "", reference, pages or 0, tuple(tuple(r.values()) for r in rows or ())))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -299,13 +471,17 @@ def main_text(df: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of (page_id, url, html).
 
     A null html counts as empty and has an empty text; a null or odd url belongs to the host ''. Rows that repeat are
-    returned each, and are one page for the wrapper. A host with fewer than LEAST_PAGES distinct pages has no template.
-    Other columns aren't read; an empty table gives an empty result.
+    returned each, and are one page for the wrapper. A layout of fewer than LEAST_PAGES distinct pages of a host has no
+    wrapper: then elements, roles and classes decide. Very long pages are aligned in bounded time. Other columns aren't
+    read; an empty table gives an empty result.
     """
+    scratch = Scratch(df.sparkSession)
     pages = df.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    found = pages.join(Scratch(df.sparkSession).write(wrappers(pages), "wrappers"), "host", "left")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema)
+    pages = pages.mapInArrow(_layouts, f"{schema}, layout string")
+    found = pages.join(wrappers(pages, scratch), ["host", "layout"], "left")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return found.select("page_id", "url", "html", "reference", "template").mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return found.select("page_id", "url", "html", "reference", "pages", "slots").mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
