@@ -143,6 +143,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
         give_back()
 
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def parts(text: bytes, size: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """A long text cut at ASCII white space."""
+    at = 0
+    while at < len(text):
+        found = _GAP.search(text, at + size)
+        to = found.end() if found else len(text)
+        yield text[at:to]
+        at = to
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territory.llm.base import CHUNK_BYTES, raw_texts, read_table, slices, small_batches, widened
+from territory.llm.base import CHUNK_BYTES, parts, raw_texts, read_table, slices, small_batches, widened
 
 #: Bytes of pieces, ids and their bookkeeping that a worker remembers before it starts anew; longer pieces aren't remembered.
 CACHE_BYTES, ENTRY_BYTES, LONGEST_KEPT = 80 << 20, 150, 200
@@ -215,16 +215,6 @@ class Bpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def parts(text: bytes, size: int = CHUNK_BYTES) -> Iterator[bytes]:
-    """A long text cut at ASCII white space, which neither words nor special tokens span."""
-    gap, at = re.compile(rb"[\x20\x09-\x0D]"), 0
-    while at < len(text):
-        found = gap.search(text, at + size)
-        to = found.end() if found else len(text)
-        yield text[at:to]
-        at = to
-
-
 @functools.lru_cache(2)
 def loaded(path: str) -> Bpe:
     """One vocabulary for all tasks of a Python worker."""

@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from territory.llm.base import Scratch, crc_remainder, mix, power_tables, raw_texts, read_table, slices, widened
+from territory.llm.base import Scratch, crc_remainder, mix, parts, power_tables, raw_texts, read_table, slices, small_batches, widened
 
 #: Documents that a language is fitted on, about; entries of each length in its table (words count as length 0).
 DOCUMENTS, ENTRIES, LONGEST = 2000, 5000, 4
+#: Languages of a model, the commonest ones: what it holds is at most LANGUAGES x ENTRIES x 5 counts.
+LANGUAGES = 64
 #: Evidence of more words than this many doesn't make the score any surer.
 SURE = 50
 #: Bytes of text that are looked at together.
@@ -68,7 +70,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array(batch.column("lang").to_pylist(), object)
         texts = raw_texts(batch.column("text"))
         for lang in sorted(set(langs)):
-            found = LetterWords([t for t, x in zip(texts, langs, strict=True) if x == lang])
+            found = LetterWords([p for t, x in zip(texts, langs, strict=True) if x == lang for p in parts(t, TOGETHER)])
             words, at, n = np.unique(found.words(), return_index=True, return_counts=True)
             for length in range(LONGEST + 1):
                 keys, counts = words, n
@@ -82,18 +84,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Log frequencies of words and n-grams for each language: sorted hashes, and a row for each."""
 
-    def __init__(self, rows: list) -> None:
-        self.languages = sorted({r["lang"] for r in rows})
-        place = {lang: i for i, lang in enumerate(self.languages)}
-        self.tables = []
-        for length in range(LONGEST + 1):
-            own = [r for r in rows if r["length"] == length]
-            keys, at = np.unique(np.array([r["entry"] for r in own], np.int64).view(np.uint64), return_inverse=True)
-            counts, total = np.zeros((len(keys), len(place))), np.zeros(len(place))
-            for r, i in zip(own, at.tolist(), strict=True):
-                counts[i, place[r["lang"]]] = r["n"]
-                total[place[r["lang"]]] = r["total"]
-            self.tables.append((keys, np.log((counts + 0.5) / (total + 1))))
+    def __init__(self, rows: pa.Table) -> None:
+        """rows: lang, length, entry (a hash), n and the total of that language and length."""
+        lang, length, entry, n, total = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "length", "entry", "n", "total"))
+        self.languages, place = np.unique(lang.astype(str), return_inverse=True)
+        self.languages, self.tables = self.languages.tolist(), []
+        for k in range(LONGEST + 1):
+            own = np.flatnonzero(length == k)
+            keys, at = np.unique(entry[own].astype(np.int64).view(np.uint64), return_inverse=True)
+            counts, totals = np.zeros((len(keys), len(self.languages)), np.float32), np.zeros(len(self.languages))
+            counts[at, place[own]] = n[own]
+            totals[place[own]] = total[own]
+            self.tables.append((keys, np.log((counts + 0.5) / (totals + 1))))
 
     def _look(self, length: int, hashes: np.ndarray) -> np.ndarray:
         """Row of each hash in the table of a length, or -1."""
@@ -127,36 +129,62 @@ class Model:
         return np.column_stack(columns)
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-        found = LetterWords(texts)
+        """The likeliest language of each text, the first by name of equals, and its share; a long text goes in parts."""
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
-        log = self.evidence(found) * np.minimum(1.0, SURE / np.maximum(found.counts, 1))[:, None]
+        log, words, of, held = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64), [], []
+
+        def look() -> None:
+            if of:
+                found = LetterWords(held)
+                np.add.at(log, of, self.evidence(found))
+                np.add.at(words, of, found.counts)
+                of.clear()
+                held.clear()
+
+        for i, text in enumerate(texts):
+            for part in parts(text, TOGETHER):
+                if sum(map(len, held)) + len(part) > 2 * TOGETHER:
+                    look()
+                of.append(i)
+                held.append(part)
+        look()
+        log *= np.minimum(1.0, SURE / np.maximum(words, 1))[:, None]
         share = np.exp(log - log.max(axis=1, keepdims=True))
-        best, empty = log.argmax(axis=1), found.counts == 0
+        best, empty = log.argmax(axis=1), words == 0
         labels = ["und" if e else self.languages[b] for b, e in zip(best.tolist(), empty.tolist(), strict=True)]
         return labels, np.where(empty, 0.0, share.max(axis=1) / share.sum(axis=1))
 
 
 def fit(documents: DataFrame, modulus: int = 5, held: int = 0) -> Model:
-    """Learn from text and lang of documents outside the held-out fold; null ids, texts and langs are left out."""
+    """Learn from text and lang of documents outside the held-out fold; null ids, texts and langs are left out.
+
+    Of more than LANGUAGES values of lang the commonest are learnt. Rows that repeat count each; of entries as common as
+    the last that a table holds, those of smaller hash are in it. Without rows the model has no language.
+    """
     scratch = Scratch(documents.sparkSession)
     rows = documents.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("doc_id is not null and lang is not null and text is not null").where(crc_remainder(F.col("doc_id"), modulus) != held)
-    shares = rows.groupBy("lang").agg((DOCUMENTS / F.count("*")).alias("share"))
+    shares = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", (DOCUMENTS / F.col("n")).alias("share"))
     unit = (F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / (1 << 30))
-    sample = rows.join(F.broadcast(shares), "lang").where(unit < F.col("share")).select("lang", "text")  # one row for each language
+    sample = rows.join(F.broadcast(shares), "lang").where(unit < F.col("share")).select("lang", "text")  # LANGUAGES rows at most
     counts = sample.mapInArrow(_count, "lang string, length int, entry long, n long").groupBy("lang", "length", "entry").agg(F.sum("n").alias("n"))
     counts = scratch.write(counts, "counts")
     best = Window.partitionBy("lang", "length").orderBy(F.desc("n"), "entry")
     table = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= ENTRIES).drop("place")
     total = counts.groupBy("lang", "length").agg(F.sum("n").alias("total"))
-    return Model(table.join(total, ["lang", "length"]).orderBy("lang", "length", "entry").collect())
+    model = Model(table.join(total, ["lang", "length"]).select("lang", "length", "entry", "n", "total").toArrow())
+    scratch.drop("counts")
+    return model
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add `lang_pred` and `score` to each row; columns of these names are replaced.
 
-    `und` with score 0 stands for a null text, one without letters, and for a model without languages.
+    `und` with score 0 stands for a null text, one without letters, and for a model without languages. Rows that repeat
+    are predicted each; a very long text in parts; of equally likely languages the first by name. An empty table
+    gives an empty result.
     """
+    small_batches(df.sparkSession)
     kept = df.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +196,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def identify(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each row of `documents`; a null doc_id is in no fold."""
+    """doc_id, held_out, lang_pred and score of each row of `documents`, as fit and predict say; a null doc_id is in no fold."""
     found = predict(documents.select("doc_id", "text"), fit(documents))
     return found.select("doc_id", (crc_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 

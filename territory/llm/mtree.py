@@ -2,9 +2,9 @@
 
 Vectors x gain one component sqrt(R^2 - |x|^2), with R the largest norm, and queries q a zero: the
 distance then falls as the inner product rises, and it is a metric. Vectors are dealt to
-the nearest of a bounded number of routing objects. A query first visits the group whose
-ball is nearest; the others only if their ball can hold a better result. Within a group
-it searches an M-tree: pages of entries with covering radii and distances to the parent.
+the nearest of a bounded number of routing objects, and there into rings by their distance from it. A query first visits
+the ring that is nearest; the others only if they can hold a better result. Within a ring it searches an M-tree best
+first: pages of entries with covering radii and distances to the parent, which rule entries out before their own distance is known.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from territory.llm.base import Scratch, read_table
 
-#: Entries in a page of a tree, routing objects, vectors in a group, queries that visit a group at once.
-PAGE, ROUTES, GROUP, QUERIES = 1024, 512, 8192, 2048
+#: Entries in a page of a tree, routing objects, vectors in a ring and rings of a routing object, queries that visit a ring at once.
+#: A routing object has at most RINGS rings, which then grow: so what is known of all rings stays below 3 MB.
+PAGE, ROUTES, RING, RINGS, QUERIES = 64, 512, 8192, 256, 2048
 #: Relative slack of a bound, far above rounding errors: it only costs visits.
 SLACK = 1e-7
 
@@ -35,6 +36,7 @@ class MTree:
 
     def __init__(self, points: np.ndarray) -> None:
         self.points = points
+        self.computed = self.avoided = 0  #: distances of searches, and those that the bounds made needless
         self.root = self._page(np.arange(len(points)), points[0]) if len(points) else None
 
     def _page(self, rows: np.ndarray, parent: np.ndarray) -> dict:
@@ -43,7 +45,7 @@ class MTree:
             return {"rows": rows, "up": distances(self.points[rows], parent), "down": None}
         from_parent = distances(self.points[rows], parent)
         order = np.argsort(from_parent, kind="stable")
-        fan = min(16, 2 * -(-len(rows) // PAGE))
+        fan = min(PAGE, 2 * -(-len(rows) // PAGE))
         picks = rows[order[np.linspace(0, len(rows) - 1, fan).astype(int)]]
         own = np.stack([distances(self.points[rows], self.points[p]) for p in picks]).argmin(axis=0)
         if np.bincount(own).max() == len(rows):  # equal points, or as good as: cut them anywhere
@@ -65,6 +67,8 @@ class MTree:
             most = reach() + SLACK * (1 + to_parent)
             radii = 0 if page["down"] is None else page["radii"]
             near = np.flatnonzero(np.abs(to_parent - page["up"]) - radii <= most)  # without a distance computed
+            self.computed += len(near)
+            self.avoided += len(page["up"]) - len(near)
             if not len(near):
                 continue
             if page["down"] is None:
@@ -117,12 +121,8 @@ def _searcher(k: int, width: int, radius2: float):
 
             def offer(page: dict, near: np.ndarray) -> None:
                 nonlocal best_scores, best_ids
-                few = 4 * len(near) < len(page["rows"])  # else all products of the page cost less than a copy of some rows
-                rows, own = (page["rows"][near], page["ids"][near]) if few else (page["rows"], page["ids"])
-                if not small:
-                    scores = points[rows] @ q
-                else:
-                    scores = (page["exact"][near] if few else page["exact"]) @ real
+                own = page["ids"][near]
+                scores = page["exact"][near] @ real if small else points[page["rows"][near]] @ q
                 good = np.flatnonzero((scores >= least()) & (own != row.query_id))
                 scores = scores.astype(np.int64)
                 if len(good):
@@ -177,47 +177,62 @@ def topk(df: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vector
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("is_query"), pa.array(raw, pa.binary()), pa.array(own, pa.int32()), pa.array(away.min(axis=0))], names=["id", "is_query", "vector", "route", "away"])
 
     dealt = scratch.write(rows.mapInArrow(deal, "id long, is_query boolean, vector binary, route int, away double"), "dealt")
-    balls = {r.route: (r.radius, r.n) for r in dealt.groupBy("route").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()}
-    radii = np.array([balls.get(i, (-np.inf, 0))[0] for i in range(len(routes))])
-    parts = [-(-balls.get(i, (0, 0))[1] // GROUP) for i in range(len(routes))]
-    n_queries = dealt.where("is_query").count()
-    chunks = max(1, -(-n_queries // QUERIES))
+    scratch.drop("vectors")
+    sizes = dict(dealt.groupBy("route").agg(F.count("*")).collect())  # ROUTES rows at most
+    rings = max((min(RINGS, -(-c // RING)) for c in sizes.values()), default=1)
+    cuts = {r.route: r.cuts for r in dealt.groupBy("route").agg(F.percentile_approx("away", [i / rings for i in range(1, rings)] or [0.5], 10_000).alias("cuts")).collect()}
+    cuts = {route: sorted({found[i] for i in np.linspace(0, len(found) - 1, own).astype(int)}) if (own := min(RINGS, -(-sizes[route] // RING)) - 1) else [] for route, found in cuts.items()}
+    number = np.full((len(routes), rings - 1), np.inf)
+    for route, found in cuts.items():
+        number[route, : len(found)] = found
+
+    def into_rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ring = (batch.column("away").to_numpy()[:, None] > number[batch.column("route").to_numpy()]).sum(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ring)], names=[*batch.schema.names, "ring"])
+
+    ringed = scratch.write(dealt.mapInArrow(into_rings, "id long, is_query boolean, vector binary, route int, away double, ring int"), "ringed")
+    scratch.drop("dealt")
+    known = ringed.groupBy("route", "ring").agg(F.min("away").alias("low"), F.max("away").alias("high")).orderBy("route", "ring").toArrow()  # ROUTES x RINGS rows at most
+    of_route, of_ring, inner, outer = (known.column(c).to_numpy() for c in ("route", "ring", "low", "high"))
 
     def visits(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Groups that each query visits: the nearest first, later all others in reach."""
+            """Rings that each query visits: the nearest first, later all others in reach."""
             for batch in batches:
                 out = []
                 for i, raw, least in zip(batch.column("id").to_pylist(), batch.column("vector").to_pylist(), batch.column("least").to_pylist(), strict=True):
                     q = np.frombuffer(raw, np.int64).astype(np.float64)
-                    d = distances(np.append(q, 0.0), routes)
-                    low = np.where(np.isfinite(radii), np.maximum(d - radii, 0), np.inf)
+                    d = distances(np.append(q, 0.0), routes)[of_route]
+                    low = np.maximum(np.maximum(d - outer, inner - d), 0)
                     nearest = int(np.lexsort((d, low))[0])
                     if first:
                         chosen = [nearest]
                     else:
                         reach = np.inf if least is None else np.sqrt(max((q * q).sum() + radius2 - 2 * least, 0)) * (1 + SLACK) + SLACK
-                        chosen = [r for r in np.flatnonzero((low <= reach) & np.isfinite(low)).tolist() if r != nearest]
-                    out += [(i, raw, r, s, i % chunks, least) for r in chosen for s in range(parts[r])]
-                columns = list(zip(*out, strict=True)) if out else [[]] * 6
-                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vector", "route", "part", "chunk", "least"])
+                        chosen = [r for r in np.flatnonzero(low - SLACK * (1 + d) <= reach).tolist() if r != nearest]
+                    out += [(i, raw, int(of_route[r]), int(of_ring[r]), least) for r in chosen]
+                columns = list(zip(*out, strict=True)) if out else [[]] * 5
+                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vector", "route", "ring", "least"])
 
         return run
 
-    salt = F.element_at(F.array(*[F.lit(max(p, 1)) for p in parts]), F.col("route") + 1)
-    groups = dealt.select("id", "vector", "route", F.pmod(F.xxhash64("id"), salt).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
-    key = ["route", "part", "chunk"]
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def ranked(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     def visit(queries: DataFrame, first: bool) -> DataFrame:
-        asked = queries.mapInArrow(visits(first), "query_id long, vector binary, route int, part int, chunk long, least double")
+        """Only rings that queries visit are dealt, once for each QUERIES of them."""
+        asked = scratch.write(queries.mapInArrow(visits(first), "query_id long, vector binary, route int, ring int, least double"), "asked")
+        chunks = scratch.write(asked.groupBy("route", "ring").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks")), "chunks")
+        groups = ringed.select("id", "vector", "route", "ring").join(chunks, ["route", "ring"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        asked = asked.join(chunks, ["route", "ring"]).withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int")).drop("chunks")
+        key = ["route", "ring", "chunk"]
         return asked.groupBy(key).cogroup(groups.groupBy(key)).applyInPandas(_searcher(k, width, radius2), result)
 
-    asked = dealt.where("is_query").select("id", "vector").dropDuplicates(["id", "vector"])
+    asked = ringed.where("is_query").select("id", "vector").dropDuplicates(["id", "vector"])
     near = scratch.write(ranked(visit(asked.withColumn("least", F.lit(None).cast("double")), True)).drop("rank"), "near")
     least = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("least"))
     others = visit(asked.join(least, F.col("id") == F.col("query_id"), "left").select("id", "vector", "least"), False)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from territory.llm.base import Scratch, Words, crc_remainder, mix, raw_texts, read_table, slices, widened, windows
+from territory.llm.base import PIECE, Scratch, Words, crc_remainder, mix, raw_texts, read_table, slices, widened, windows
 from territory.llm.labelled import FIT_ROWS, labelled_sample
 
 TREES, DEPTH, RATE, BINS, RIDGE, LEAST = 80, 4, 0.15, 32, 1.0, 1e-3
@@ -56,8 +56,12 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     n = len(texts)
     size = np.array([len(t) for t in texts], np.int64)
     words = Words(texts)
-    owner = np.repeat(np.arange(n), size + 1)
-    kinds = np.bincount(owner * len(KINDS) + _KIND[words.bytes], minlength=n * len(KINDS)).reshape(n, -1)
+    ends, kinds = np.cumsum(size + 1), np.zeros((n, len(KINDS)), np.int64)
+    for at in range(0, len(words.bytes), PIECE):  # a long text in pieces
+        part = words.bytes[at : at + PIECE]
+        first, last = np.searchsorted(ends, [at, at + len(part) - 1], side="right")
+        owner = np.searchsorted(ends[first : last + 1], np.arange(at, at + len(part)), side="right")
+        kinds[first : last + 1] += np.bincount(owner * len(KINDS) + _KIND[part], minlength=(last - first + 1) * len(KINDS)).reshape(-1, len(KINDS))
     kinds[:, KINDS.index("newline")] -= 1  # the line feed that ends each text in the buffer
     hashes, of, count = words.hashes(), words.text_of_word(), np.maximum(words.counts, 1)
     length = words.end - words.start
@@ -158,11 +162,13 @@ def classify(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> D
     """doc_id, held_out, score and predicted of each row of `documents`, learnt from labels.quality outside the held-out fold.
 
     Every row is scored, null and empty texts too; a null doc_id is in no fold. Without labels, or with labels of
-    one kind only, each score is the share of label 1 (nearly 0 or 1). Repeated rows are scored each.
+    one kind only, each score is the share of label 1 (nearly 0 or 1). Repeated rows are scored each, a very long text as
+    one document; an empty table gives an empty result.
     """
     scratch = Scratch(documents.sparkSession)
     docs = documents.select(F.col("doc_id").alias("id"), "text")
     model = fit(scratch.write(labelled_sample(docs, labels, "quality", rows=rows), "sample"))
+    scratch.drop("sample")
     scored = score(documents.select("doc_id", "text"), model)
     return scored.select("doc_id", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from territory.llm.base import Words, raw_texts, read_table, slices, windows
+from territory.llm.base import Words, raw_texts, read_table, slices, small_batches, windows
 
 SEED, LEAST_COVERAGE = 5, 0.75
 #: Words of benchmark items that are sent to all tasks at once; a larger benchmark takes several passes.
@@ -23,94 +23,112 @@ BLOCK_WORDS = 2_000_000
 
 
 class Items:
-    """Benchmark items and the sorted hashes of their seeds; an item of fewer words is one seed."""
+    """Benchmark items and the sorted hashes of their seeds, by width; an item of fewer words is one seed."""
 
     def __init__(self, ids: list[int], texts: list[bytes]) -> None:
         words = Words(texts, lower=True)
-        hashes = words.hashes() if len(words) else np.zeros(0, np.uint64)
-        self.ids = ids
-        self.words = [hashes[a : a + n] for a, n in zip(words.first.tolist(), words.counts.tolist(), strict=False)]
-        rows = []
-        for item, own in enumerate(self.words):
-            width = min(SEED, len(own))
-            rows += [(h, item, at, width) for at, h in enumerate(windows(own, width).tolist())] if width else []
-        rows.sort()
-        self.seed = np.array([r[0] for r in rows], np.uint64)
-        self.item, self.at, self.width = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-        self.widths = sorted(set(self.width.tolist()))
-
-
-def tiles(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+        self.ids, self.first, self.counts = ids, words.first, words.counts
+        self.words = words.hashes() if len(words) else np.zeros(0, np.uint64)
+        owner = words.text_of_word()
+        width = np.minimum(self.counts, SEED)[owner]
+        place = np.arange(len(self.words)) - self.first[owner]
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # sorted hashes, and the items that have them
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero((width == w) & (place + w <= self.counts[owner]))
+            hashes = windows(self.words, w)[at]
+            order = np.argsort(hashes, kind="stable")
+            self.seeds[w] = hashes[order], owner[at[order]]
+
+    def of(self, item: int) -> np.ndarray:
+        return self.words[self.first[item] : self.first[item] + self.counts[item]]
+
+
+def tiles(matches: list[tuple[int, int, int]], least: int, text_words: int, item_words: int) -> list[tuple[int, int, int]]:
     """Greedy tiling: of the maximal matches (place in text, place in item, length) the longest unmarked part first.
 
     Ties go to the earlier place in the text, then in the item. Parts shorter than `least` make no tile.
     """
     heap = [(-n, a, b) for a, b, n in matches]
     heapq.heapify(heap)
-    text, item, out = set(), set(), []
+    text, item, out = np.zeros(text_words, bool), np.zeros(item_words, bool), []
     while heap:
         n, a, b = heapq.heappop(heap)
-        free = [i for i in range(-n) if a + i not in text and b + i not in item]
-        if len(free) == -n:
+        marked = text[a : a - n] | item[b : b - n]
+        if not marked.any():
             out.append((a, b, -n))
-            text.update(range(a, a - n))
-            item.update(range(b, b - n))
+            text[a : a - n] = item[b : b - n] = True
             continue
-        start = 0
-        for i in range(1, len(free) + 1):  # what is left of it, in runs
-            if i == len(free) or free[i] != free[i - 1] + 1:
-                if i - start >= least:
-                    heapq.heappush(heap, (start - i, a + free[start], b + free[start]))
-                start = i
+        edges = np.flatnonzero(np.diff(~marked, prepend=False, append=False))  # what is left of it, in runs
+        for start, end in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
+            if end - start >= least:
+                heapq.heappush(heap, (start - end, a + start, b + start))
     return out
 
 
-def _matches(hits: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
-    """Maximal matches from seeds that lie on one diagonal without a gap."""
-    out = []
-    for a, b in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
-        if out and out[-1][0] - out[-1][1] == a - b and a <= out[-1][0] + out[-1][2] - width + 1:
-            x, y, _ = out[-1]
-            out[-1] = (x, y, a - x + width)
-        else:
-            out.append((a, b, width))
+def maximal_matches(text: np.ndarray, item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(place in text, place in item, length) of all runs of `width` words or more that can't be longer.
+
+    A word after the other of the text's stretches that have seeds of the item extends, or ends, the matches on all diagonals at once.
+    """
+    out: list[tuple[int, int, int]] = []
+    begin = np.flatnonzero(np.isin(windows(text, width), windows(item, width)))
+    if not len(begin):
+        return out
+    cuts = np.flatnonzero(np.diff(begin) > width)
+    starts, ends = begin[np.concatenate(([0], cuts + 1))], begin[np.concatenate((cuts, [len(begin) - 1]))] + width
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        run = np.zeros(len(item) + 1, np.int64)  # run[j + 1]: length of the match that ends at the item's word j
+        for i in range(start, end + 1):
+            now = np.zeros_like(run)
+            if i < end:
+                same = item == text[i]
+                now[1:][same] = run[:-1][same] + 1
+            ended = np.flatnonzero(run >= width)
+            ended = ended[(ended == len(item)) | (now[np.minimum(ended + 1, len(item))] == 0)]
+            out += [(i - n, j - n, n) for j, n in zip(ended.tolist(), run[ended].tolist(), strict=True)]
+            run = now
     return out
 
 
 def covered(items: Items, texts: list[bytes], least: float) -> Iterator[tuple[int, int, float, list[tuple[int, int, int]]]]:
-    """(text, item, coverage, tiles) for each text and item that share a seed."""
+    """(text, item, coverage, tiles) for each text and item that share enough seeds."""
     words = Words(texts, lower=True)
-    if not len(words) or not len(items.seed):
+    if not len(words) or not len(items.words):
         return
-    hashes = words.hashes()
-    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for width in items.widths:
+    hashes, owner = words.hashes(), words.text_of_word()
+    hits = []
+    for width, (seeds, of) in items.seeds.items():
         runs = windows(hashes, width)
-        at = np.searchsorted(items.seed, runs)
-        for place in np.flatnonzero(items.seed[np.minimum(at, len(items.seed) - 1)] == runs).tolist():
-            text = int(np.searchsorted(words.first[1:], place, side="right"))
-            if place + width > words.first[text + 1]:
-                continue
-            row = int(at[place])
-            while row < len(items.seed) and items.seed[row] == runs[place]:
-                if items.width[row] == width:
-                    found.setdefault((text, int(items.item[row])), []).append((place - int(words.first[text]), int(items.at[row])))
-                row += 1
-    for (text, item), hits in sorted(found.items()):
-        width = min(SEED, len(items.words[item]))
-        if len({b for _, b in hits}) * width < least * len(items.words[item]):
-            continue  # even without overlaps, too few seeds
-        marked = tiles(_matches(hits, width), width)
-        yield text, item, sum(n for _, _, n in marked) / len(items.words[item]), marked
+        place = np.flatnonzero(seeds[np.minimum(np.searchsorted(seeds, runs), len(seeds) - 1)] == runs)
+        place = place[place + width <= words.first[owner[place] + 1]]
+        # each seed of a text counts once, however often it has it, and each of an item's seeds of that hash
+        order = np.lexsort((runs[place], owner[place]))
+        text, seed = owner[place[order]], runs[place[order]]
+        new = np.ones(len(order), bool)
+        new[1:] = (text[1:] != text[:-1]) | (seed[1:] != seed[:-1])
+        text, seed = text[new], seed[new]
+        low, high = np.searchsorted(seeds, seed, side="left"), np.searchsorted(seeds, seed, side="right")
+        n = high - low
+        rows = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pairs, shared = np.unique(np.repeat(text, n) * np.int64(len(items.ids)) + of[rows], return_counts=True)
+        enough = shared * width >= least * items.counts[pairs % len(items.ids)]  # else, even without overlaps, too few
+        hits += [(int(p) // len(items.ids), int(p) % len(items.ids), width) for p in pairs[enough]]
+    for text, item, width in sorted(hits):
+        own, other = hashes[words.first[text] : words.first[text + 1]], items.of(item)
+        marked = tiles(maximal_matches(own, other, width), width, len(own), len(other))
+        yield text, item, sum(n for _, _, n in marked) / len(other), marked
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", least: float = LEAST_COVERAGE) -> DataFrame:
     """A row (id, item, coverage, tiles) for each document and item with at least `least` of the item's words under tiles.
 
     Words are lower-cased runs of bytes other than ASCII white space. An item without words, or with a null id,
-    covers nothing; null and empty texts have no rows; rows that repeat are reported each. Other columns aren't read.
+    covers nothing; null and empty texts have no rows; rows that repeat are reported each. A very long text is compared
+    only where it has an item's seeds. Of tiles as long, the one earlier in the text, then in the item, comes first. Empty
+    tables give an empty result. Other columns aren't read.
     """
     spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(F.col(id).alias("__id"), F.col(text).cast("string").alias("__text")).where("__text is not null")
     pool = benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null")
     kind, item_kind = docs.schema["__id"].dataType.simpleString(), pool.schema["item"].dataType.simpleString()
