@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from territory.llm.base import Scratch, Words, mix, raw_texts, read_table, slices, windows
@@ -79,10 +79,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = np.array(prints, np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]),
+                batch.column("id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]),
                 pa.array([k.tobytes() if f else None for k, f in zip(keys, full, strict=True)], pa.binary()), pa.array([r.tobytes() if f else None for r, f in zip(rows, full, strict=True)], pa.binary()),
             ],
-            names=["id", "n", "print1", "print2", "keys", "minima"],
+            names=["id", "text_hash", "n", "print1", "print2", "keys", "minima"],
         )
 
 
@@ -263,20 +263,25 @@ def _joined(whole: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (least id reachable over links) and kept of each row.
+    """id, n_shingles, component_id (least id reachable over links), kept and text_hash (xxhash64) of each row.
 
     Rows are linked when their sets of lower-cased five-word shingles have 75 % of their union in common.
     A null or empty text, or one without words, has no shingles and no links. Rows with a null id are
-    returned and kept, with a null component_id, and link with nothing. Rows that repeat an id count as one
-    document with several texts. Other columns are not read; an empty table gives an empty result.
+    returned and kept, with a null component_id, and link with nothing. Rows that repeat an id are documents of their
+    own, and rows that repeat id and text are all kept or not. A very long text is one set like any other. Other columns
+    are not read; an empty table gives an empty result.
     """
-    docs = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    docs = df.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text"))
     scratch = Scratch(df.sparkSession)
-    sketch = scratch.write(docs.mapInArrow(_sketch, "id long, n long, print1 long, print2 long, keys binary, minima binary"), "sketch")
+    sketch = scratch.write(docs.mapInArrow(_sketch, "id long, text_hash long, n long, print1 long, print2 long, keys binary, minima binary"), "sketch")
     same = ["print1", "print2"]
     known = sketch.where("n > 0 and id is not null")
-    group = scratch.write(known.groupBy(*same).agg(F.min("id").alias("rep")), "group")
-    reps = scratch.write(known.join(group.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "keys", "minima").dropDuplicates(["id", "keys"]), "reps")
+    # equal sets are one node, named by its least id; if another node has that id as well, by a hash
+    group = known.groupBy(*same).agg(F.min(F.struct("id", "text_hash")).alias("rep"))
+    named = F.when(F.count("*").over(Window.partitionBy("rep.id")) == 1, F.col("rep.id")).otherwise(F.xxhash64(*same))
+    group = scratch.write(group.select(*same, "rep", named.alias("node")), "group")
+    first = group.select(F.col("rep.id").alias("id"), F.col("rep.text_hash").alias("text_hash"), F.col("node"))
+    reps = scratch.write(known.select("id", "text_hash", "n", "keys", "minima").join(first, ["id", "text_hash"]).drop("id", "text_hash").dropDuplicates(["node"]).withColumnRenamed("node", "id"), "reps")
     keys = scratch.write(reps.mapInArrow(_explode_keys, "key long, id long"), "keys")
     buckets = scratch.write(keys.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "members"), "buckets")
     shared = scratch.write(keys.join(buckets, "key"), "shared")
@@ -284,24 +289,26 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     # what is compared from here on is the part of all documents that meets another; the weight is how many each meets
     met = scratch.write(shared.groupBy("id").agg(F.sum("members").alias("weight")), "met")
     near = scratch.write(reps.join(met, "id"), "near")
-    sets = scratch.write(docs.join(met.select("id"), "id").mapInArrow(_shingles, "id long, shingles binary"), "sets")
-    placed = scratch.write(shared.select("key", "id").join(near.groupBy("id").agg(F.max("weight").alias("weight"), F.max("n").alias("n")), "id"), "placed")
-    scratch.drop("reps", "shared", "met")
-    whole = _hub_links(placed, near.select("id", F.col("id").alias("component")).distinct(), near, sets, scratch)
+    wanted = scratch.write(first.join(met.select(F.col("id").alias("node")), "node"), "wanted")
+    sets = scratch.write(docs.join(wanted, ["id", "text_hash"]).select(F.col("node").alias("id"), "text").mapInArrow(_shingles, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    placed = scratch.write(shared.select("key", "id").join(near.select("id", "weight", "n"), "id"), "placed")
+    scratch.drop("reps", "shared", "met", "wanted")
+    whole = _hub_links(placed, near.select("id", F.col("id").alias("component")), near, sets, scratch)
     links = _bucket_links(placed, whole, near, sets, scratch)
     if links is not None:
-        whole = _joined(whole, links, scratch, "whole")
-    else:
-        whole = scratch.write(whole, "whole")
-    scratch.drop(*[name for name in scratch.paths if name not in ("sketch", "group", "whole")])
-    joined = group.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    rows = sketch.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("print1")).alias("print1"), "print2").join(joined, same, "left")
+        whole = _joined(whole, links, scratch, "joined")
+    whole = scratch.write(group.join(whole.withColumnRenamed("id", "node"), "node").select("node", "component", F.col("rep.id").alias("id")), "whole")
+    least = whole.groupBy("component").agg(F.min("id").alias("component_id"))
+    joined = group.join(whole.select("node", "component").join(least, "component"), "node", "left").select(*same, F.coalesce("component_id", "rep.id").alias("component_id"))
+    joined = scratch.write(joined, "components")
+    scratch.drop(*[name for name in scratch.paths if name not in ("sketch", "components")])
+    rows = sketch.select("id", "text_hash", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("print1")).alias("print1"), "print2").join(joined, same, "left")
     component = F.coalesce("component_id", "id")
-    return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "text_hash")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 OP1_SQL = r"""

@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples (operator 3).
 
-Texts are TF-IDF vectors over words and word stems: all that two labelled documents have. Document frequencies are those of
-all documents; a term's weight also has how much it tells the labels apart, as otherwise a text's language and topic would
-choose its neighbours. Examples lie in a block-max inverted index: for each term the blocks of examples that have it, with
+Texts are TF-IDF vectors over words and word stems: all that two labelled documents have and that tell anything of the
+labels. Document frequencies are those of all documents; a term's weight also has how much it tells the labels apart, as
+otherwise a text's language and topic would choose its neighbours. Examples lie in a block-max inverted index: for each term the blocks of examples that have it, with
 the largest weight there, which bounds a block's cosines from above, and the postings in each. Blocks that can't hold one
 of the k nearest are never scored, so that the cosines found are exactly the largest. Votes weighted by the squared
 cosine, and their sum, go through a logistic curve fitted on labelled rows that neither weights nor examples had seen.
@@ -21,10 +21,10 @@ from territory.llm.base import TERMS as SEPARATE
 from territory.llm.base import Scratch, Words, crc_remainder, raw_texts, read_table, slices, widened
 from territory.llm.labelled import FIT_ROWS, labelled_sample
 
-#: Examples of each label, their bytes at most, neighbours, examples in a block of the index, blocks that are scored at once.
+#: Examples of each label, their bytes at most, neighbours, examples in a block of the index, blocks that are scored first.
 EXAMPLES, EXAMPLE_BYTES, NEAREST, BLOCK, BLOCKS = 2000, 32_000, 15, 64, 4
-#: Labelled documents that a term must be in.
-LEAST_DOCUMENTS = 2
+#: Labelled documents that a term must be in, and what it must tell of the labels: twice the log likelihood that they gain.
+LEAST_DOCUMENTS, LEAST_INFORMATION = 2, 1.0
 #: Terms are words, and the first so many bytes of longer words.
 STEMS = (4, 5)
 #: Of CURVE_PARTS parts of the labelled rows, one fits the curve.
@@ -108,27 +108,33 @@ class Examples:
         return np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the nearest examples that share a term, exact; ties go to the earlier row."""
-        pairs = self._ranges(self.of_term[terms], self.of_term[terms + 1] - self.of_term[terms])
-        own = np.repeat(weights, self.of_term[terms + 1] - self.of_term[terms])
-        bound = np.bincount(self.block[pairs], own * self.most[pairs], self.blocks)
+        """Rows and cosines of the nearest examples that share a term, exact; ties go to the earlier row.
+
+        The blocks with the highest bounds are scored first; then, together, those whose bound the k-th cosine doesn't exceed.
+        """
+        length = self.of_term[terms + 1] - self.of_term[terms]
+        pairs, own = self._ranges(self.of_term[terms], length), np.repeat(weights, length)
+        block = self.block[pairs]
+        bound = np.bincount(block, own * self.most[pairs], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        turn = np.full(self.blocks, len(order))
-        turn[order] = np.arange(len(order))
-        by_turn = np.argsort(turn[self.block[pairs]], kind="stable")
-        pairs, own = pairs[by_turn], own[by_turn]
-        cut = np.searchsorted(turn[self.block[pairs]], np.arange(0, len(order) + BLOCKS, BLOCKS))
         rows, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for at, a, b in zip(range(0, len(order), BLOCKS), cut[:-1].tolist(), cut[1:].tolist(), strict=False):
-            if len(cosines) == k and bound[order[at]] < cosines[-1] - 1e-12:
-                break
-            length = self.begin[pairs[a:b] + 1] - self.begin[pairs[a:b]]
-            entry = self._ranges(self.begin[pairs[a:b]], length)
-            sums = np.bincount(turn[self.row[entry] // BLOCK] * BLOCK + self.row[entry] % BLOCK - at * BLOCK, self.weight[entry] * np.repeat(own[a:b], length), BLOCKS * BLOCK)
+        for chosen in (order[:BLOCKS], order[BLOCKS:]):
+            if len(cosines) == k:
+                chosen = chosen[bound[chosen] >= cosines[-1] - 1e-12]
+            if not len(chosen):
+                continue
+            wanted = np.zeros(self.blocks, bool)
+            wanted[chosen] = True
+            some = wanted[block]
+            begin = self.begin[pairs[some]]
+            length = self.begin[pairs[some] + 1] - begin
+            entry = self._ranges(begin, length)
+            sums = np.bincount(self.row[entry], self.weight[entry] * np.repeat(own[some], length), len(self.ids))
             found = np.flatnonzero(sums > 0)
-            rows = np.concatenate((rows, order[at + found // BLOCK] * BLOCK + found % BLOCK))
-            cosines = np.concatenate((cosines, sums[found]))
+            if len(found) > k:
+                found = found[sums[found] >= np.partition(sums[found], -k)[-k]]
+            rows, cosines = np.concatenate((rows, found)), np.concatenate((cosines, sums[found]))
             best = np.lexsort((rows, -cosines))[:k]
             rows, cosines = rows[best], cosines[best]
         return rows, cosines
@@ -199,7 +205,7 @@ def _model(counts: DataFrame, examples: dict, early: bool) -> Model:
     share = positive / n if n else 0.0
     if not positive or positive == n:
         return Model(np.zeros(0, np.uint64), np.zeros(0), share)
-    informed = counts.where(F.col(d) >= LEAST_DOCUMENTS).join(wanted, "term").select("term", information(F.col(a), F.col(d), positive, n).alias("w")).where("w > 0").toArrow().sort_by("term")
+    informed = counts.where(F.col(d) >= LEAST_DOCUMENTS).join(wanted, "term").select("term", information(F.col(a), F.col(d), positive, n).alias("w")).where(F.col("w") >= LEAST_INFORMATION).toArrow().sort_by("term")
     terms, weights = informed["term"].to_numpy().view(np.uint64), informed["w"].to_numpy()
     order = np.argsort(terms)
     known, at = _find(examples["known"], terms[order])

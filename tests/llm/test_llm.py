@@ -65,23 +65,36 @@ def shingles(text):
 
 def test_minhash_is_brute_force(spark):
     rows = invented()
+    rng = random.Random(8)
+    words = " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(400)).split()
+    for k in range(25):  # texts at 0.75 to 0.8 of another, each changed in other places
+        changed = words.copy()
+        for at in rng.sample(range(5, 395), rng.randint(9, 12)):
+            changed[at] = f"new{k}-{at}"
+        rows.append((1000 + k, " ".join(changed)))
+    rows.append((2000, " ".join(words)))
     sets = {i: shingles(t) for i, t in rows}
-    up = {i: i for i, _ in rows}
-    for _ in rows:  # spread least ids
-        for a, b in combinations(sets, 2):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                up[a] = up[b] = min(up[a], up[b])
-        break
-    changed = True
     links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert sum(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.8 for a, b in links) > 10
+    up, changed = {i: i for i, _ in rows}, True
     while changed:
         changed = False
         for a, b in links:
             least = min(up[a], up[b])
             changed |= up[a] != least or up[b] != least
             up[a] = up[b] = least
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
-    assert got == {i: (len(sets[i]), up[i], up[i] == i) for i, _ in rows}
+    for hubs in (5, 0):  # with hubs, and with blocks alone
+        minhash.HUBS = hubs
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+        minhash.HUBS = 5
+        assert got == {i: (len(sets[i]), up[i], up[i] == i) for i, _ in rows}
+
+
+def test_minhash_keeps_texts_of_a_repeated_id_apart(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, one), (2, one + " end"), (2, other), (3, other), (3, other), (4, other.replace("b20", "x"))]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (3, 2, False), (4, 2, False)]
 
 
 def test_minhash_on_odd_rows(spark):
@@ -263,7 +276,8 @@ def slow_toxicity(rows, labels, early):
         n, positive = len(ids), sum(known[i] for i in ids)
         d, a = Counter(t for i in ids for t in bags[i]), Counter(t for i in ids for t in bags[i] if known[i])
         part = lambda x, m, share: x * math.log(x / (m * share)) if x else 0.0
-        w = {t: max(2 * (part(a[t], m, positive / n) + part(m - a[t], m, 1 - positive / n)), 0) * math.log(1 + len(rows) / everywhere[t]) for t, m in d.items() if m >= 2}
+        w = {t: max(2 * (part(a[t], m, positive / n) + part(m - a[t], m, 1 - positive / n)), 0) for t, m in d.items() if m >= 2}
+        w = {t: x * math.log(1 + len(rows) / everywhere[t]) for t, x in w.items() if x >= toxicity.LEAST_INFORMATION}
 
         def vector(bag):
             v = {t: (1 + math.log(c)) * w[t] for t, c in bag.items() if w.get(t, 0) > 0}
