@@ -1,35 +1,55 @@
 """Corpus cleaning: the stages, each a function of (spark, docs, sf_dir), and their run over `documents`.
 
-Each stage works on all that the one before it kept. All but the last return the columns of documents;
-repeated ids and rows with nulls pass as the operators define.
+Each stage works on all that the one before it kept. All but the last return the columns of documents, and whatever other
+columns came. A null in another column than doc_id and text doesn't matter; of rows that repeat an id, each is judged by
+its own text. An empty table gives an empty one. What a stage does with null and empty texts, null ids and ties is said there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from territory.llm import bpe, language, minhash, substrings, tiling
-from territory.llm.base import Scratch, read_table
+from territory.llm.base import Scratch, read_table, scratch_scope
 
 #: Under this share of the evidence, a document's language counts as unknown.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID (8): documents whose language is `und` or uncertain go."""
+    """Language ID (8): documents whose language is `und` or uncertain go.
+
+    So do null and empty texts, as they have no letters; rows with a null id are judged like others. Of two languages that are
+    as likely neither has more than half of the evidence, but the score may reach 0.5, and the document stays.
+    """
     found = language.predict(docs.select(*docs.columns), language.fit(docs))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup (1): of each component the document with the least id stays."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """MinHash near-dedup (1): of each component the document with the least id stays.
+
+    Rows that repeat id and text are one document, of which one row stays. Texts without words and rows with a null id
+    are near nothing and stay.
+    """
+    found = minhash.near_duplicates(docs)
+    gone = found.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64("text")})
+    kept = marked.join(gone, ["__id", "__hash"], "left_anti")
+    repeated = found.where("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__n")).where("__n > 1")
+    kept = kept.join(repeated, ["__id", "__hash"], "left")
+    # only repeated rows are told apart by a number
+    number = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(0)))
+    once = kept.where("__n is null").select(*docs.columns)
+    return once.unionByName(kept.where("__n is not null").withColumn("__number", number).where("__number = 1").select(*docs.columns))
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Substring dedup (9): words under passages that an earlier document holds go; untouched texts stay as they are."""
+    """Substring dedup (9): words under passages that an earlier document holds go; untouched texts stay as they are.
+
+    All rows stay, with an empty text if nothing is left. Null texts and rows with a null id stay as they are.
+    """
     kept = substrings.drop_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
@@ -37,13 +57,19 @@ def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination (6): documents that hold a benchmark item go."""
-    held = tiling.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    """Benchmark decontamination (6): documents that hold a benchmark item go.
+
+    Null and empty texts, and texts in a table without items, stay; rows with a null id are judged like others.
+    """
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    held = tiling.contaminated(docs.select(key.alias("__key"), "text"), read_table(spark, sf_dir, "benchmark"), id="__key").select("__key.*").distinct()
+    same = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("hash"))
+    marked = docs.withColumns({"__id": F.col("doc_id"), "__hash": F.xxhash64("text")})
+    return marked.join(held, same, "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE (5): the number of tokens and the digests of ids and decoded text of each document."""
+    """BPE (5): the number of tokens and the digests of ids and decoded text of each row; a null text counts as empty."""
     return bpe.digest(docs, bpe.vocabulary_path())
 
 
@@ -62,5 +88,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with scratch_scope():  # a stage's own tables go when its result is written
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
