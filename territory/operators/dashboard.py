@@ -131,6 +131,15 @@ def filter_sources(sales: DataFrame, mrs: DataFrame, start: date | None, end: da
     return rows.select(pairs.alias("x")).select("x.*").where("id is not null").distinct()
 
 
+def filter_labels(found: DataFrame, labels: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, id, label, sublabel) of (dimension, id): `labels` has (id, label, sublabel) for each dimension; ids without one go."""
+    out = None
+    for name, rows in labels.items():
+        part = found.where(F.col("dimension") == name).join(rows.select("id", "label", "sublabel"), "id").select("dimension", "id", "label", "sublabel")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def ranked_export(sections: dict[str, DataFrame]) -> DataFrame:
     """(section, rank, label, revenue): top lists under one another, revenue with two decimals."""
     out = None

@@ -6,7 +6,6 @@ hashes of what identifies a row.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,37 +44,30 @@ def compatible(a: Column, b: Column) -> Column:
     return (a == b) | inside(a, b) | inside(b, a)
 
 
+def held_in(small: DataFrame, big: DataFrame, scope: list[str]) -> DataFrame:
+    """small's columns with those of big's rows in the scope whose `big_tokens` hold all its `tokens`.
+
+    They meet by the word of the small set that fewest big sets have, so that a common word doesn't bring all sets of a scope together.
+    """
+    words = big.withColumn("word", F.explode("big_tokens"))
+    own = small.withColumn("word", F.explode("tokens")).join(words.groupBy(*scope, "word").agg(F.count("*").alias("__n")), [*scope, "word"], "left")
+    rare = own.groupBy(*small.columns).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)), "word")).alias("__rare")).withColumn("word", F.col("__rare.word")).drop("__rare")
+    return rare.join(words, [*scope, "word"]).where(F.size(F.array_except("tokens", "big_tokens")) == 0).drop("word")
+
+
 def cluster_stores(named: DataFrame) -> DataFrame:
     """(stockist_id, headquarter_id, tokens, cluster): each set of words of a scope with the set it merges into.
 
-    Scopes are clustered on their own, on distinct sets: the largest first, by first appearance among equals; a
-    set joins the first earlier one that is compatible. `named` has stockist_id, headquarter_id, tokens, row_index.
+    A set of two words or more merges into the first set that holds it: the largest, by first appearance among equals. That
+    is one that merges into no other, as what held that one would hold both and come before. `named` has stockist_id,
+    headquarter_id, tokens, row_index.
     """
-    sets = named.groupBy("stockist_id", "headquarter_id", "tokens").agg(F.min("row_index").alias("row_index"))
-    schema = "stockist_id string, headquarter_id string, tokens array<string>, cluster array<string>"
-
-    def greedy(scope: pd.DataFrame) -> pd.DataFrame:
-        scope = scope.assign(n=scope["tokens"].map(len)).sort_values(["n", "row_index"], ascending=[False, True], kind="stable")
-        kept: list[frozenset] = []
-        by_word: dict[str, list[int]] = {}
-        names: list[list[str]] = []
-        out = []
-        for tokens in scope["tokens"]:
-            own = frozenset(tokens)
-            at = None
-            if len(own) >= 2:  # it can only be inside a set that holds its rarest word
-                rare = min((by_word.get(w, []) for w in own), key=len)
-                at = next((i for i in rare if own <= kept[i]), None)
-            if at is None:
-                at = len(kept)
-                kept.append(own)
-                names.append(list(tokens))
-                for w in own:
-                    by_word.setdefault(w, []).append(at)
-            out.append(names[at])
-        return pd.DataFrame({"stockist_id": scope["stockist_id"], "headquarter_id": scope["headquarter_id"], "tokens": scope["tokens"], "cluster": out})
-
-    return sets.groupBy("stockist_id", "headquarter_id").applyInPandas(greedy, schema)
+    scope = ["stockist_id", "headquarter_id"]
+    sets = named.groupBy(*scope, "tokens").agg(F.min("row_index").alias("row_index"))
+    big = sets.select(*scope, F.col("tokens").alias("big_tokens"), F.struct((-F.size("tokens")).alias("n"), "row_index").alias("place"))
+    held = held_in(sets.where("size(tokens) >= 2").drop("row_index"), big, scope)
+    first = held.groupBy(*scope, "tokens").agg(F.min_by("big_tokens", "place").alias("cluster"))
+    return sets.join(first, [*scope, "tokens"], "left").select(*scope, "tokens", F.coalesce("cluster", "tokens").alias("cluster"))
 
 
 def group_stores(rows: DataFrame, stockist_ids: DataFrame, hq_ids: DataFrame) -> DataFrame:
@@ -98,8 +90,11 @@ def match_stores(groups: DataFrame, stores: DataFrame) -> tuple[DataFrame, DataF
     scope = ["stockist_id", "headquarter_id"]
     names = stores.select(F.col("id").alias("store_id"), *scope, F.explode(F.concat(F.array("name"), F.coalesce("alternate_names", F.array().cast("array<string>")))).alias("known"))
     names = names.select("store_id", *scope, t.store_tokens(F.col("known")).alias("known")).where("size(known) > 0")
-    near = groups.select(*scope, "cluster").join(names, scope).where(compatible(F.col("cluster"), F.col("known")))
-    near = near.groupBy(*scope, "cluster").agg(F.min("store_id").alias("store_id"))
+    clusters, sets = groups.select(*scope, F.col("cluster").alias("tokens")), names.select(*scope, F.col("known").alias("tokens")).distinct()
+    pairs = held_in(clusters, sets.withColumnRenamed("tokens", "big_tokens"), scope).select(*scope, F.col("tokens").alias("cluster"), F.col("big_tokens").alias("known"))
+    pairs = pairs.unionByName(held_in(sets, clusters.withColumnRenamed("tokens", "big_tokens"), scope).select(*scope, F.col("big_tokens").alias("cluster"), F.col("tokens").alias("known")))
+    pairs = pairs.where(compatible(F.col("cluster"), F.col("known"))).distinct()
+    near = pairs.join(names, [*scope, "known"]).groupBy(*scope, "cluster").agg(F.min("store_id").alias("store_id"))
     placed = groups.join(near, [*scope, "cluster"], "left")
     new = placed.where("store_id is null").select(new_id(F.lit("store"), *scope, F.array_join("cluster", " ")).alias("id"), "name", *scope, "address", F.array_except("names", F.array("name")).alias("alternate_names"), F.lit(True).alias("is_active"))
     placed = placed.withColumn("store_id", F.coalesce("store_id", new_id(F.lit("store"), *scope, F.array_join("cluster", " "))))

@@ -10,15 +10,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _one_each(source: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key: of several the least by its other columns, in their order."""
+    rest = [c for c in source.columns if c not in keys]
+    if not rest:
+        return source.select(*keys).distinct()
+    return source.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row")).select(*[F.col(c) if c in keys else F.col(f"__row.{c}") for c in source.columns])
+
+
 def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str], live: Column | None = None) -> DataFrame:
     """Rows of the source, one for each key, whose key the target (where `live`) doesn't have; append these."""
     taken = (target if live is None else target.where(live)).select(*keys)
-    return source.dropDuplicates(keys).join(taken, keys, "left_anti")
+    return _one_each(source, keys).join(taken, keys, "left_anti")
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
     """The target with the source's `update` columns where the key is in both, and the source's other rows added."""
-    new = source.dropDuplicates(keys).withColumn("__new", F.lit(True))
+    new = _one_each(source, keys).withColumn("__new", F.lit(True))
     new = new.withColumnsRenamed({c: f"__{c}" for c in source.columns if c not in keys})
     both = target.withColumn("__old", F.lit(True)).join(new, keys, "full_outer")
     out = []

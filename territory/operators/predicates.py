@@ -61,3 +61,31 @@ def search(df: DataFrame, q: str | None, *columns: str) -> DataFrame:
 
 def page(df: DataFrame, number: int, size: int) -> DataFrame:
     return df.offset((number - 1) * size).limit(size)
+
+
+#: Columns of a listed sale, in order.
+SALE_COLUMNS = (
+    "id", "mr_id", "asm_id", "rsm_id", "state_head_id", "product_id", "doctor_id", "medical_store_id", "division_id", "headquarter_id", "location_id", "state_id", "sale_date", "sale_qty",
+    "free_qty", "ptr", "pts", "mrp", "special_price", "total_amount", "reported_amount", "bill_ref", "batch", "pack", "remarks", "is_active", "created_at", "updated_at",
+)
+
+
+def sales_list(rows: DataFrame, number: int = 1, per_page: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(a page of sales, (total) of all pages): the latest first, by date of sale, then of entry, then id; quantities and prices as doubles."""
+    numbers = {f.name for f in rows.schema if f.dataType.typeName() == "decimal"}
+    shown = [F.col(c).cast("double").alias(c) if c in numbers else F.col(c) for c in SALE_COLUMNS]
+    ordered = rows.select(*shown).orderBy(F.desc("sale_date"), F.desc("created_at"), "id")
+    return page(ordered, number, per_page), rows.agg(F.count("*").alias("total"))
+
+
+def may_see(sale: dict, user: dict, subtree: set[str]) -> bool:
+    """Whether a user may see one sale: admins any, reps their own, managers those with their id among the managers of the day, or of their subtree where none was noted."""
+    role, id = user["role"], user["id"]
+    if role in ("SUPER_ADMIN", "SALES_DIRECTOR"):
+        return True
+    if role == "MR":
+        return sale["mr_id"] == id
+    column = {"ASM": "asm_id", "RSM": "rsm_id", "DEPUTY_RSM": "rsm_id", "STATE_HEAD": "state_head_id"}.get(role)
+    if column is None:
+        return False
+    return sale.get(column) == id or sale.get(column) is None and sale["mr_id"] in subtree

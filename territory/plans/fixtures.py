@@ -60,6 +60,18 @@ class Business:
             F.when(number % 3 == 0, (F.col("p_retailprice") - 10).cast("decimal(10,2)")).alias("special_price"),
             (F.col("l_returnflag") != "R").alias("is_active"),
             F.when(number % 5 != 0, F.concat(F.lit("AS-"), F.col("s_nationkey").cast("string"), F.lit("-"), (F.col("l_suppkey") % 2).cast("string"))).alias("asm_id"),
+            F.concat(F.lit("RS-"), F.col("s_nationkey").cast("string")).alias("rsm_id"),
+            F.concat(F.lit("SH-"), F.col("n_regionkey").cast("string")).alias("state_head_id"),
+            F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), number.cast("string")).alias("id"),
+            F.when(number % 2 == 0, (F.col("p_retailprice") - 5).cast("decimal(10,2)")).alias("pts"),
+            (F.col("p_retailprice") + 20).cast("decimal(10,2)").alias("mrp"),
+            F.when(number == 1, (F.col("l_quantity") * 10).cast("decimal(12,2)")).alias("reported_amount"),
+            F.concat(F.lit("B"), F.col("l_orderkey").cast("string")).alias("bill_ref"),
+            F.concat(F.lit("L"), number.cast("string")).alias("batch"),
+            F.lit(None).cast("string").alias("pack"),
+            F.lit(None).cast("string").alias("remarks"),
+            F.col("l_shipdate").alias("created_at"),
+            F.col("l_shipdate").alias("updated_at"),
         )
         return with_total(lines)
 
@@ -121,7 +133,10 @@ v_lines AS (
     CASE WHEN l_linenumber <= 3 THEN (s_nationkey * 10 + l_linenumber)::VARCHAR END AS location_id, n_regionkey::VARCHAR AS state_id,
     l_shipdate::DATE AS sale_date, (l_quantity / 4)::DECIMAL(12,2) AS sale_qty, (l_tax * 100)::DECIMAL(12,2) AS free_qty,
     p_retailprice::DECIMAL(10,2) AS ptr, CASE WHEN l_linenumber % 3 = 0 THEN (p_retailprice - 10)::DECIMAL(10,2) END AS special_price,
-    l_returnflag <> 'R' AS is_active, CASE WHEN l_linenumber % 5 <> 0 THEN 'AS-' || s_nationkey || '-' || (l_suppkey % 2) END AS asm_id
+    l_returnflag <> 'R' AS is_active, CASE WHEN l_linenumber % 5 <> 0 THEN 'AS-' || s_nationkey || '-' || (l_suppkey % 2) END AS asm_id,
+    'RS-' || s_nationkey AS rsm_id, 'SH-' || n_regionkey AS state_head_id, l_orderkey || '-' || l_linenumber AS id, CASE WHEN l_linenumber % 2 = 0 THEN (p_retailprice - 5)::DECIMAL(10,2) END AS pts,
+    (p_retailprice + 20)::DECIMAL(10,2) AS mrp, CASE WHEN l_linenumber = 1 THEN (l_quantity * 10)::DECIMAL(12,2) END AS reported_amount, 'B' || l_orderkey AS bill_ref, 'L' || l_linenumber AS batch,
+    NULL::VARCHAR AS pack, NULL::VARCHAR AS remarks, l_shipdate AS created_at, l_shipdate AS updated_at
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
 v_sales AS (SELECT *, (sale_qty * coalesce(special_price, ptr))::DECIMAL(12,2) AS total_amount FROM v_lines)"""
 

@@ -182,6 +182,29 @@ query("filter_sources", f"+{ROWS_SQL} " + " UNION ".join(f"SELECT '{k.removesuff
     lambda b: d.filter_sources(b.sales, h.visible_mrs(b.users, CALLER), START, END, _KEYS)
 )
 
+LABELS_SQL = {
+    "product": "SELECT p_partkey::VARCHAR AS id, p_name AS label, p_brand AS sublabel FROM part",
+    "medical_store": "SELECT c_custkey::VARCHAR AS id, c_name AS label, c_nationkey::VARCHAR AS sublabel FROM customer",
+    "headquarter": "SELECT n_nationkey::VARCHAR AS id, n_name AS label, n_regionkey::VARCHAR AS sublabel FROM nation",
+}
+
+
+@query(
+    "filter_labels",
+    f"+{ROWS_SQL} " + " UNION ".join(f"SELECT '{k}' AS dimension, x.id, label, sublabel FROM rows JOIN ({sql}) x ON x.id = {k}_id" for k, sql in LABELS_SQL.items()),
+)
+def filter_labels(b: Business) -> DataFrame:
+    found = d.filter_sources(b.sales, h.visible_mrs(b.users, CALLER), START, END, tuple(f"{k}_id" for k in LABELS_SQL))
+    return d.filter_labels(
+        found,
+        {
+            "product": b.products.select("id", F.col("name").alias("label"), F.col("division_id").alias("sublabel")),
+            "medical_store": b.stores.select("id", F.col("name").alias("label"), F.col("headquarter_id").alias("sublabel")),
+            "headquarter": b.table("nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("label"), F.col("n_regionkey").cast("string").alias("sublabel")),
+        },
+    )
+
+
 # Hierarchy and scope.
 query("subtree_mrs", f" SELECT id AS mr_id FROM below WHERE root_id = '{CALLER}' AND role = 'MR'")(lambda b: h.subtree_mrs(b.users, CALLER))
 query("subtree_all", f" SELECT id, full_name, role, depth FROM below WHERE root_id = '{CALLER}'")(lambda b: h.subtree(b.users, CALLER).drop("reports_to"))
@@ -214,6 +237,21 @@ query(
 )(
     lambda b: p.snapshot_scope(b.sales.where(p.sales_predicate(START, END)), b.users, "AS-3-1").select(F.date_format("sale_date", "yyyy-MM-dd").alias("sale_date"), "mr_id", "product_id", "medical_store_id", F.col("sale_qty").cast("double").alias("sale_qty"), F.col("total_amount").cast("double").alias("total_amount"))
 )
+_SHOWN = {"sale_date": "%Y-%m-%d", "created_at": "%Y-%m-%d %H:%M:%S", "updated_at": "%Y-%m-%d %H:%M:%S"}
+
+
+@query(
+    "sales_page",
+    "+ x AS (SELECT * FROM v_sales WHERE is_active AND asm_id = 'AS-3-1'), n AS (SELECT count(*) AS total FROM x), o AS (SELECT * FROM x ORDER BY sale_date DESC, created_at DESC, id LIMIT 50 OFFSET 50) SELECT "
+    + ", ".join(f"strftime({c}, '{_SHOWN[c]}') AS {c}" if c in _SHOWN else f"{c}::DOUBLE AS {c}" if c in ("sale_qty", "free_qty", "ptr", "pts", "mrp", "special_price", "total_amount", "reported_amount") else c for c in p.SALE_COLUMNS)
+    + ", total FROM o, n",
+)
+def sales_page(b: Business) -> DataFrame:
+    page, total = p.sales_list(b.sales.where("is_active and asm_id = 'AS-3-1'"), 2, 50)
+    texts = {c: F.date_format(c, "yyyy-MM-dd" if c == "sale_date" else "yyyy-MM-dd HH:mm:ss") for c in _SHOWN}
+    return page.withColumns({**texts, "total": F.lit(total.first().total)})
+
+
 query("daily_cap", " SELECT mr_id, strftime(sale_date, '%Y-%m-%d') AS sale_date, count(*) AS n, count(*) >= 100 AS over_cap FROM v_sales WHERE is_active GROUP BY mr_id, sale_date")(lambda b: imp.daily_counts(b.sales))
 query("search_ilike", "WITH x AS (SELECT p_partkey::VARCHAR AS id, p_name AS name FROM part WHERE p_name ILIKE '%1%' OR p_brand ILIKE '%1%') SELECT * FROM x ORDER BY name, id LIMIT 20 OFFSET 20")(
     lambda b: p.page(p.search(b.products, " 1 ", "name", "division_id").orderBy("name", "id"), 2, 20).select("id", "name")
@@ -248,26 +286,32 @@ query(
 )(lambda b: imp.common_doctors(b.sales.select("mr_id", "medical_store_id").distinct(), b.store_doctors, b.mr_doctors))
 query("mrs_without_allocation", " SELECT id AS mr_id FROM v_users WHERE role = 'MR' AND is_active AND id NOT IN (SELECT mr_id FROM v_mr_doctor WHERE is_active)")(lambda b: diagnostics.without_allocation(b.users, b.mr_doctors))
 
+query(
+    "mr_warnings",
+    "+ v AS (SELECT c_custkey, c_name, (SELECT count(DISTINCT mr_id) FROM v_store_doctor s JOIN v_mr_doctor m USING (doctor_id) WHERE s.medical_store_id = c_custkey::VARCHAR AND m.is_active) AS n FROM customer), "
+    "k AS (SELECT CASE WHEN n > 1 THEN 'several reps' ELSE 'no rep' END AS kind, c_name FROM v WHERE n <> 1) "
+    "SELECT kind, count(*) AS n, array_to_string(list_sort(list(c_name))[1:10], ', ') AS names, count(*) > 10 AS more FROM k GROUP BY 1",
+)(
+    lambda b: imp.mr_warnings(b.stores.select(F.col("id").alias("medical_store_id"), F.lit(None).cast("string").alias("mr_id")), b.stores, b.store_doctors, b.mr_doctors).withColumn("names", F.array_join("names", ", "))
+)
+query("hydrate_names", "WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 2 THEN p_name END AS product_name_raw, NULL::VARCHAR AS customer_name_raw FROM x JOIN part ON p_partkey = l_partkey")(
+    lambda b: imp.hydrate(
+        b.table("lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") != 2, F.col("l_partkey").cast("string")).alias("product_id"), F.lit("none").alias("medical_store_id"), F.lit("x").alias("product_name_raw"), F.lit("y").alias("customer_name_raw")),
+        b.products, b.stores,
+    ).drop("product_id", "medical_store_id")
+)
+
 # Import stages on raw rows made from the lines.
 RAW_SQL = """
 WITH raw AS (
   SELECT CASE l_linenumber % 4 WHEN 0 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 1 THEN strftime(l_shipdate, '%-d/%-m/%Y') WHEN 2 THEN strftime(l_shipdate, '%d-%m-%y') ELSE strftime(l_shipdate, '%d-%b-%Y') END AS sale_date,
     CASE WHEN l_linenumber = 5 THEN '1,234.50' WHEN l_linenumber = 6 THEN 'null' ELSE (l_quantity / 4)::VARCHAR END AS sale_qty,
     upper(p_name) || ' TAB' AS product_name_raw, c_name || ', CITY' AS customer_name_raw, 'B' || l_orderkey AS bill_ref, l_orderkey, l_linenumber
-  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_orderkey % 10 = 0)"""
-
-
-class Whole(Business):
-    """For the import stages on all lines; without it they see the tenth that their SQL has."""
-
-
-def import_lines(b: Business) -> DataFrame:
-    lines = b.table("lineitem")
-    return lines if isinstance(b, Whole) else lines.where("l_orderkey % 10 = 0")
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey)"""
 
 
 def raw_rows(b: Business) -> DataFrame:
-    lines = import_lines(b).join(b.table("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = b.table("lineitem").join(b.table("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     lines = lines.join(b.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(b.table("customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     kind = F.col("l_linenumber") % 4
     day = F.when(kind == 0, F.date_format("l_shipdate", "yyyy-MM-dd")).when(kind == 1, F.date_format("l_shipdate", "d/M/yyyy")).when(kind == 2, F.date_format("l_shipdate", "dd-MM-yy")).otherwise(F.date_format("l_shipdate", "dd-MMM-yyyy"))
@@ -283,13 +327,27 @@ query(
 )(lambda b: raw_rows(b).select(F.col("sale_date").alias("raw")).distinct().select("raw", t.iso_date(F.col("raw")).alias("iso")).withColumn("parsed", F.date_format(t.parsed_date(F.col("iso")), "yyyy-MM-dd")))
 query("parse_numbers", RAW_SQL + " SELECT DISTINCT sale_qty AS raw, TRY_CAST(replace(trim(sale_qty), ',', '') AS DOUBLE) AS value FROM raw")(lambda b: raw_rows(b).select(F.col("sale_qty").alias("raw")).distinct().select("raw", t.parsed_number(F.col("raw")).alias("value")))
 query("junk_rows", RAW_SQL + " SELECT count(*) AS rows, count(*) FILTER (WHERE sale_qty <> 'null') AS kept FROM raw")(
-    lambda b: raw_rows(b).agg(F.count("*").alias("rows")).join(imp.normalise(raw_rows(b)).agg(F.count("*").alias("kept")))
+    lambda b: raw_rows(b).agg(F.count("*").alias("rows"), F.count_if(~imp.junk()).alias("kept"))
 )
 query("dedupe_rows", RAW_SQL + " SELECT bill_ref, sale_date, product_name_raw, sale_qty, 1::BIGINT AS n FROM raw GROUP BY ALL")(
     lambda b: imp.dedupe(
-        raw_rows(b).unionByName(raw_rows(b).where("l_linenumber < 3")).withColumns({"row_index": F.monotonically_increasing_id(), "batch": F.lit(None).cast("string"), "mrp": F.lit(None).cast("string")})
+        raw_rows(b).unionByName(raw_rows(b).where("l_linenumber < 3").withColumn("bill_ref", F.concat(F.lit(" "), "bill_ref", F.lit(" ")))).orderBy(F.length("bill_ref")).withColumns({"row_index": F.monotonically_increasing_id(), "batch": F.lit(None).cast("string"), "mrp": F.lit(None).cast("string")})
     ).groupBy("bill_ref", "sale_date", "product_name_raw", "sale_qty").agg(F.count("*").alias("n"))
 )
+query(
+    "json_rows",
+    """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS q FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN q::VARCHAR WHEN 1 THEN '7' ELSE (q + 1)::VARCHAR END AS sale_qty, 'P' || l_orderkey AS product_name_raw FROM x""",
+)(
+    lambda b: imp.from_json(
+        b.table("lineitem").select(
+            "l_orderkey", "l_linenumber",
+            F.when(F.col("l_linenumber") % 3 == 0, F.format_string('{"Qty": "", "ITEM ": "P%d", "quantity": %d, "sale_qty": 3}', "l_orderkey", F.col("l_quantity").cast("long")))
+            .when(F.col("l_linenumber") % 3 == 1, F.format_string('{"qty": 7, "Qty": 8, "product": null, "product_name": "P%d"}', "l_orderkey"))
+            .otherwise(F.format_string('["P%d", null, "%d"]', "l_orderkey", F.col("l_quantity").cast("long") + 1)).alias("json"),
+        )
+    ).select("l_orderkey", "l_linenumber", "sale_qty", "product_name_raw")
+)
 query("report_month_fill", RAW_SQL + ", f AS (SELECT bill_ref, l_linenumber % 3 AS k FROM raw GROUP BY ALL) SELECT bill_ref, k, CASE k WHEN 0 THEN '2026-03' WHEN 1 THEN '2026-01' END AS month FROM f")(
     lambda b: raw_rows(b).select("bill_ref", (F.col("l_linenumber") % 3).alias("k")).distinct().select("bill_ref", "k", t.report_month(F.when(F.col("k") == 0, "2026-3"), F.when(F.col("k") == 1, "sales JAN-26.pdf").otherwise("JAN_26.pdf")).alias("month"))
 )
@@ -306,7 +364,7 @@ query(
 
 
 def checked(b: Business) -> DataFrame:
-    rows = import_lines(b).join(b.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = b.table("lineitem").join(b.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     number = F.col("l_linenumber")
     rows = rows.select(
         "l_orderkey", "l_linenumber", F.when(number != 2, F.col("l_partkey").cast("string")).alias("product_id"), F.when(number == 3, "x").otherwise(F.date_format("l_shipdate", "d/M/yyyy")).alias("sale_date"),
@@ -316,18 +374,20 @@ def checked(b: Business) -> DataFrame:
     return imp.validate(rows, b.products, b.stores, b.doctors, b.users, ids_are_uuids=False)
 
 
-ERRORS_SQL = """WITH x AS (SELECT l_linenumber AS n FROM lineitem WHERE l_orderkey % 10 = 0),
+ERRORS_SQL = """WITH x AS (SELECT l_linenumber AS n FROM lineitem),
 e AS (SELECT n, CASE n WHEN 2 THEN 'product_id' WHEN 3 THEN 'sale_date' WHEN 4 THEN 'sale_qty' WHEN 5 THEN 'medical_store_id' WHEN 6 THEN 'doctor_id' END AS field FROM x)"""
 query("validate_rows", ERRORS_SQL + " SELECT n AS l_linenumber, field IS NULL AS is_valid, count(*) AS n FROM e GROUP BY 1, 2")(lambda b: checked(b).groupBy("l_linenumber", "is_valid").agg(F.count("*").alias("n")))
+query(
+    "error_samples",
+    """WITH x AS (SELECT l_linenumber AS n, l_orderkey * 10 + l_linenumber AS row_index FROM lineitem),
+    e AS (SELECT row_index, CASE n WHEN 2 THEN 'product_id' WHEN 3 THEN 'sale_date' WHEN 4 THEN 'sale_qty' WHEN 5 THEN 'medical_store_id' WHEN 6 THEN 'doctor_id' END AS reason FROM x)
+    SELECT reason, count(*) AS n, array_to_string(list_sort(list(row_index))[1:5], ' ') AS rows FROM e WHERE reason IS NOT NULL GROUP BY 1""",
+)(
+    lambda b: imp.histogram(checked(b).withColumn("row_index", F.col("l_orderkey") * 10 + F.col("l_linenumber")), F.transform("errors", lambda e: F.split(e, ":")[0])).withColumn("rows", F.array_join(F.transform("rows", lambda r: r.cast("string")), " "))
+)
 query("error_histogram", ERRORS_SQL + " SELECT field, count(*) AS n FROM e WHERE field IS NOT NULL GROUP BY 1")(lambda b: imp.error_histogram(checked(b)))
 
 
-# The same stages on the whole table.
-for stage in ("normalize_dates", "parse_numbers", "junk_rows", "dedupe_rows", "report_month_fill", "validate_rows", "error_histogram"):
-    QUERIES[f"{stage}_whole"] = lambda spark, path, f=BUILDERS[stage]: f(Whole(spark, path))
-    SQL[f"{stage}_whole"] = SQL[stage].replace(" WHERE l_orderkey % 10 = 0)", ")")
-
-
 # Names.
 query(
     "match_exact_norm_token",
@@ -345,7 +405,17 @@ def odd_names(b: Business) -> DataFrame:
     return b.table("customer").select("c_custkey", F.when(k == 0, F.lower("c_name")).when(k == 1, F.replace("c_name", F.lit("#"), F.lit(" - "))).otherwise(F.concat("c_name", F.lit(", CITY"))).alias("raw"))
 
 
-query("match_fuzzy")(lambda b: matching.match_names(b.table("nation").select(F.regexp_replace("n_name", "[AEIOU]", "").alias("raw")), matching.candidates(b.headquarters)))
+query("match_fuzzy")(lambda b: matching.match_names(typos(b).select("raw"), matching.candidates(b.products)))
+
+
+def typos(b: Business) -> DataFrame:
+    """Names of products, some with a letter left out or two changed places."""
+    name, k = F.col("p_name"), F.col("p_partkey") % 4
+    left_out = F.concat(F.substring(name, 1, 2), F.substring(name, 4, 100))
+    swapped = F.concat(F.substring(name, 1, 1), F.substring(name, 3, 1), F.substring(name, 2, 1), F.substring(name, 4, 100))
+    return b.table("part").select("p_partkey", F.when(k == 0, left_out).when(k == 1, swapped).when(k == 2, F.concat(name, F.lit(" 10s"))).otherwise(F.reverse(name)).alias("raw"))
+
+
 query(
     "store_key",
     """WITH x AS (SELECT c_custkey, '12AB - ' || c_name || ' Medical, PADDHARI (A0039)' AS raw FROM customer)
@@ -363,7 +433,13 @@ def store_sets(b: Business) -> DataFrame:
     return b.table("customer").select(F.col("c_nationkey").cast("string").alias("stockist_id"), F.col("c_mktsegment").alias("headquarter_id"), t.store_tokens(name).alias("tokens"), F.col("c_custkey").alias("row_index"))
 
 
-query("cluster_stores")(lambda b: entity_ingest.cluster_stores(store_sets(b)).select("stockist_id", "headquarter_id", F.array_join("tokens", " ").alias("tokens"), F.array_join("cluster", " ").alias("cluster")))
+query(
+    "cluster_stores",
+    """WITH s AS (SELECT c_nationkey::VARCHAR AS stockist_id, c_mktsegment AS headquarter_id,
+      list_sort([['amber', 'birch', 'cedar', 'dahlia', 'elder'][c_custkey % 5 + 1], 'medical'] || CASE WHEN c_custkey % 2 = 0 THEN ['store'] ELSE [] END) AS t, min(c_custkey) AS r FROM customer GROUP BY ALL),
+    c AS (SELECT a.stockist_id, a.headquarter_id, a.t, b.t AS u, row_number() OVER (PARTITION BY a.stockist_id, a.headquarter_id, a.t ORDER BY len(b.t) DESC, b.r) AS k FROM s a JOIN s b USING (stockist_id, headquarter_id) WHERE list_has_all(b.t, a.t))
+    SELECT stockist_id, headquarter_id, array_to_string(t, ' ') AS tokens, array_to_string(u, ' ') AS cluster FROM c WHERE k = 1""",
+)(lambda b: entity_ingest.cluster_stores(store_sets(b)).select("stockist_id", "headquarter_id", F.array_join("tokens", " ").alias("tokens"), F.array_join("cluster", " ").alias("cluster")))
 
 # Writes.
 MD = "(SELECT mr_id, doctor_id, is_active, 'old' AS allocated_by FROM v_mr_doctor)"

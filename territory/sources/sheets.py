@@ -1,15 +1,17 @@
 """Uploaded sheets: what format a file has, where its header is, which sheets count, and pool sheets as rows.
 
-Files are rows of spark.read.format("binaryFile"): (path, content). Spreadsheet libraries are optional; without
-one, files of those formats give no sheets.
+Files are rows of spark.read.format("binaryFile"): (path, content). Workbooks (xlsx) are read with the standard library.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,7 @@ HEADERS = {
 }
 #: Of several columns called location, the first is the doctor's and the second the chemist's.
 REPEATED = {("doctor_location", "location"): 0, ("chemist_location", "location"): 1}
+# Fixed value: words that announce a rep's name.
 REP_WORDS = r"(?i)\b(fos|fos\s*name|mr|mr\s*name|rep|representative|field\s*officer|medical\s*rep)\b"
 SHEETS = "path string, sheet string, row_index int, cells array<string>"
 
@@ -100,20 +103,88 @@ def csv_rows(files: DataFrame, fallback: bool = True) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SHEETS)
 
 
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINKED = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: Built-in number formats of dates, and the day that dates count from.
+DATE_FORMATS, FIRST_DAY = {14, 15, 16, 17, 22}, datetime(1899, 12, 30)
+
+
+def _column(place: str) -> int:
+    number = 0
+    for letter in re.match("[A-Z]+", place)[0]:
+        number = number * 26 + ord(letter) - 64
+    return number - 1
+
+
+def _dated(book: zipfile.ZipFile) -> list[bool]:
+    """Which cell styles show dates."""
+    if "xl/styles.xml" not in book.namelist():
+        return []
+    styles = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")) for f in styles.iter(f"{_MAIN}numFmt") if re.search("[dmyhs]", re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", "").lower()))}
+    cells = styles.find(f"{_MAIN}cellXfs")
+    return [int(x.get("numFmtId", 0)) in DATE_FORMATS | own for x in cells] if cells is not None else []
+
+
+def workbook(data: bytes) -> list[tuple[str, list[list[str]]]]:
+    """(title, rows of texts) of each sheet of an xlsx file, in the workbook's order; dates as ISO text, empty cells as ""."""
+    book = zipfile.ZipFile(io.BytesIO(data))
+    names = book.namelist()
+    shared = []
+    if "xl/sharedStrings.xml" in names:
+        shared = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+    dated = _dated(book)
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+
+    def text(cell) -> str:
+        kind, value = cell.get("t", "n"), cell.findtext(f"{_MAIN}v")
+        if kind == "inlineStr":
+            return "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+        if value is None:
+            return ""
+        if kind == "s":
+            return shared[int(value)]
+        if kind == "b":
+            return str(value == "1")
+        style = int(cell.get("s", 0))
+        if kind == "n" and style < len(dated) and dated[style]:
+            return str(FIRST_DAY + timedelta(days=float(value)))
+        return value
+
+    out = []
+    for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+        path = targets[sheet.get(_LINKED)].lstrip("/")
+        rows: list[list[str]] = []
+        for row in ElementTree.fromstring(book.read(path if path.startswith("xl/") else f"xl/{path}")).iter(f"{_MAIN}row"):
+            while len(rows) + 1 < int(row.get("r", len(rows) + 1)):  # rows without cells
+                rows.append([])
+            cells: list[str] = []
+            for cell in row.iter(f"{_MAIN}c"):
+                at = _column(cell.get("r")) if cell.get("r") else len(cells)
+                cells += [""] * (at - len(cells)) + [text(cell)]
+            rows.append(cells)
+        width = max(map(len, rows), default=0)
+        out.append((sheet.get("name"), [r + [""] * (width - len(r)) for r in rows]))
+    return out
+
+
 def spreadsheet_rows(files: DataFrame, active_only: bool = False) -> DataFrame:
-    """The same of xlsx files, all sheets, where openpyxl is installed; otherwise an error says so."""
+    """(path, sheet, row_index, cells) of xlsx files, all sheets or the first only; `sheet_index` is a sheet's place in its workbook."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import openpyxl
-
         for frame in frames:
             for path, data in zip(frame["path"], frame["content"], strict=True):
-                book = openpyxl.load_workbook(io.BytesIO(data), data_only=True)
-                for sheet in [book.active] if active_only else book.worksheets:
-                    rows = [["" if v is None else str(v) for v in row] for row in sheet.iter_rows(values_only=True)]
-                    yield pd.DataFrame({"path": path, "sheet": sheet.title, "row_index": range(len(rows)), "cells": rows})
+                for at, (title, rows) in enumerate(workbook(data)[: 1 if active_only else None]):
+                    yield pd.DataFrame({"path": path, "sheet": title, "row_index": range(len(rows)), "cells": rows, "sheet_index": at})
 
-    return files.select("path", "content").mapInPandas(run, SHEETS)
+    return files.select("path", "content").mapInPandas(run, f"{SHEETS}, sheet_index int")
+
+
+def extracted(files: DataFrame) -> DataFrame:
+    """(path, sheet, row_index, cells, sheet_index) of all files by what they really are: CSV and workbooks; other formats give no rows."""
+    known = files.join(formats(files), "path")
+    plain = csv_rows(known.where("format in ('csv', 'txt')")).withColumn("sheet_index", F.lit(0))
+    return plain.unionByName(spreadsheet_rows(known.where("format = 'xlsx'")))
 
 
 def _texts(cells: Column) -> Column:
@@ -177,12 +248,13 @@ def probe(rows: DataFrame) -> DataFrame:
 
 
 def as_text(rows: DataFrame) -> DataFrame:
-    """(path, text): sheets as CSV lines without blank rows and trailing blanks, each under a marker if there are several."""
+    """(path, text): sheets in their workbook's order, as CSV lines without blank rows and trailing blanks, each under a marker if there are several."""
     filled = rows.withColumn("cells", F.expr("slice(cells, 1, coalesce(array_max(transform(cells, (c, i) -> if(trim(c) <> '', i + 1, 0))), 0))")).where("size(cells) > 0")
     quoted = F.transform("cells", lambda c: F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c))
-    lines = filled.select("path", "sheet", "row_index", F.array_join(quoted, ",").alias("line"))
-    sheets = lines.groupBy("path", "sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    parts = sheets.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("sheet", "body"))).alias("s"))
+    place = F.col("sheet_index") if "sheet_index" in rows.columns else F.lit(0)
+    lines = filled.select("path", "sheet", "row_index", place.alias("place"), F.array_join(quoted, ",").alias("line"))
+    sheets = lines.groupBy("path", "sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "line"))), lambda x: x["line"]), "\n").alias("body"), F.min("place").alias("place"))
+    parts = sheets.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "sheet", "body"))).alias("s"))
     marked = F.transform("s", lambda x: F.concat(F.lit("### SHEET: "), x["sheet"], F.lit("\n"), x["body"]))
     return parts.select("path", F.when(F.size("s") > 1, F.array_join(marked, "\n\n")).otherwise(F.col("s")[0]["body"]).alias("text"))
 

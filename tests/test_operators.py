@@ -1,5 +1,8 @@
 """Hierarchies, windows, names, imports and ingestion on small invented tables."""
 
+import difflib
+import random
+import re
 from datetime import date
 
 import pytest
@@ -9,7 +12,7 @@ from territory.functions import text as t
 from territory.functions import windows as w
 from territory.operators import entity_ingest as e
 from territory.operators import hierarchy as h
-from territory.operators import matching, merge
+from territory.operators import entity_ingest, matching, merge, predicates
 from territory.operators import sales_import as imp
 from territory.sources import sheets
 
@@ -173,3 +176,113 @@ def test_pivots_headers_and_reps(spark):
     assert sheets.header_rows(kept).first().header == 1
     assert sheets.rep_names(kept).first().rep == "Elm"
     assert sheets.as_text(kept).first().text == "Rep name: Elm\nItem,Qty,Rate\nAmber,1,2"
+
+
+# Joins in place of scans, against what they stand for.
+
+NAMES = ["APTIVOG TAB", "APTIVOG", "CAP APTIVOG 10S", "ZINC", "ZINC SYRUP FORTE", "IRON SYRUP", "X", "XY", "CALCIUM D3", "CALSIUM", "PARACET 500", "PARACETAMOL 650", "", "B COMPLEX", "COMPLEX B FORTE"]
+RAW = ["aptivog tab", "zinc-syrup forte", "calcium gold", "APTI-VOG", "zinc syrup", "iron", "x", "y", "calciun", "paracetmol", "forte", "complex", "qqqq", "D3", "TAB", "syrop iron", "vog", "  ", "calcium d3 tablets"]
+
+
+def slow_match(raw, names):
+    """The levels one after the other over all names, in the order of ids."""
+    plain = lambda s: " ".join(re.sub("[^A-Z0-9 ]", " ", s.upper()).split())
+    norms, n = [plain(x) for x in names], plain(raw)
+    for i, x in enumerate(names):
+        if x and x.upper() == raw.upper().strip():
+            return 1, i
+    if n in norms and n:
+        return 2, norms.index(n)
+    for i, c in enumerate(norms):
+        if c and n and (n in c or c in n):
+            return 3, i
+    word = next((w for w in n.split() if len(w) >= 4), None)
+    for i, c in enumerate(norms):
+        if word in c.split():
+            return 4, i
+    if n and (close := difflib.get_close_matches(n, norms, n=1, cutoff=0.6)):
+        return 5, norms.index(close[0])
+    return None
+
+
+def test_names_match_level_by_level(spark):
+    known = spark.createDataFrame([(f"{i:02}", 0, n) for i, n in enumerate(NAMES)], "id string, ord int, name string")
+    got = {r.raw: (r.level, int(r.id)) for r in matching.match_names(spark.createDataFrame([(r,) for r in RAW], "raw string"), known).collect()}
+    want = {r: found for r in RAW if (found := slow_match(r, NAMES)) is not None}
+    assert got == want and {level for level, _ in got.values()} == {1, 2, 3, 4, 5}
+    matching.SENT, matching.NAMES = 4, 3  # several blocks
+    again = {r.raw: (r.level, int(r.id)) for r in matching.match_names(spark.createDataFrame([(r,) for r in RAW], "raw string"), known).collect()}
+    matching.SENT, matching.NAMES = 50_000, 2_000
+    assert again == want
+
+
+def test_clusters_are_greedy(spark):
+    rng = random.Random(4)
+    sets = [(f"s{rng.randint(0, 2)}", "h", sorted(rng.sample("abcdef", rng.randint(1, 4))), i) for i in range(120)]
+    got = {(r.stockist_id, tuple(r.tokens)): tuple(r.cluster) for r in entity_ingest.cluster_stores(spark.createDataFrame(sets, "stockist_id string, headquarter_id string, tokens array<string>, row_index int")).collect()}
+    want = {}
+    for scope in {s for s, *_ in sets}:
+        first = {}
+        for s, _, tokens, i in sets:
+            if s == scope:
+                first.setdefault(tuple(tokens), i)
+        kept = []
+        for tokens in sorted(first, key=lambda t: (-len(t), first[t])):
+            into = next((k for k in kept if len(tokens) >= 2 and set(tokens) <= set(k)), None)
+            if into is None:
+                kept.append(tokens)
+            want[scope, tokens] = into or tokens
+    assert got == want
+
+
+def test_json_rows_take_the_first_key_that_has_a_value(spark):
+    rows = ['{"Qty": 1, "qty": 2}', '{"quantity": 5, "sale_qty": 3}', '{"sale_qty": "", "sales": null, " QTY ": "4.0", "Item": "A"}', '["B", "2024-01-02", "2.50"]', "[]", "{}", "not json", None]
+    got = [(r.sale_qty, r.product_name_raw) for r in imp.from_json(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "row_index int, json string")).orderBy("row_index").collect()]
+    assert got == [("1", None), ("5", None), ("4.0", "A"), ("2.50", "B"), (None, None), (None, None), (None, None), (None, None)]
+
+
+def test_quantities_and_blanks(spark):
+    from territory.functions.text import plain_number
+
+    values = ["2.0", " 2.50 ", "x", "", None, "1e3", "-0.5", "7"]
+    got = [r.q for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", plain_number(F.col("v")).alias("q")).orderBy("i").collect()]
+    assert got == ["2", "2.5", "x", "", None, "1000", "-0.5", "7"]
+    key = ("2024-01-01", "C", "P", "1", "B1", None, None)
+    rows = [(0, *key), (1, " 2024-01-01", "C ", " P", "1 ", "B1", "", ""), (2, *key[:4], None, None, None), (3, *key[:4], None, None, None)]
+    schema = "row_index int, sale_date string, customer_name_raw string, product_name_raw string, sale_qty string, bill_ref string, batch string, mrp string"
+    assert sorted(r.row_index for r in imp.dedupe(spark.createDataFrame(rows, schema)).collect()) == [0, 2, 3]
+
+
+def test_one_sale_may_be_seen():
+    sale = {"mr_id": "m", "asm_id": "a", "rsm_id": None, "state_head_id": "s"}
+    user = lambda role, id: {"role": role, "id": id}
+    assert predicates.may_see(sale, user("SUPER_ADMIN", "x"), set()) and predicates.may_see(sale, user("MR", "m"), set()) and predicates.may_see(sale, user("ASM", "a"), set())
+    assert predicates.may_see(sale, user("RSM", "r"), {"m"}) and not predicates.may_see(sale, user("RSM", "r"), set())
+    assert not predicates.may_see(sale, user("MR", "n"), {"m"}) and not predicates.may_see(sale, user("ASM", "b"), {"m"}) and not predicates.may_see(sale, user("?", "m"), {"m"})
+
+
+def test_repeated_keys_of_a_source(spark):
+    source = spark.createDataFrame([("k", 2, "b"), ("k", 1, "z"), ("l", 3, "c")], "id string, n int, t string")
+    assert sorted(map(tuple, merge.insert_ignore(source.limit(0), source, ["id"]).collect())) == [("k", 1, "z"), ("l", 3, "c")]
+
+
+def test_workbooks_are_read_without_a_library(spark, tmp_path):
+    import io
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Two" r:id="b"/><sheet name="One" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R><Relationship Id="a" Target="worksheets/s1.xml"/><Relationship Id="b" Target="/xl/worksheets/s2.xml"/></R>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>Name</t></si><si><r><t>A</t></r><r><t>B</t></r></si></sst>")
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="dd-mmm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/s1.xml", f'<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>2.5</v></c></row><row r="3"><c r="B3" t="s"><v>1</v></c><c r="C3" s="1"><v>45292</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/s2.xml", f'<worksheet {main}><sheetData><row><c t="inlineStr"><is><t>x, y</t></is></c><c t="b"><v>1</v></c></row></sheetData></worksheet>')
+    assert sheets.workbook(data.getvalue()) == [("Two", [["x, y", "True"]]), ("One", [["Name", "", "2.5"], ["", "", ""], ["", "AB", "2024-01-01 00:00:00"]])]
+    (tmp_path / "book.csv").write_bytes(data.getvalue())
+    (tmp_path / "plain.csv").write_text("a,b\n1,2\n")
+    rows = sheets.extracted(sheets.walk(spark, str(tmp_path)))
+    assert sorted((r.sheet, r.row_index, r.cells[0]) for r in rows.collect()) == [("", 0, "a"), ("", 1, "1"), ("One", 0, "Name"), ("One", 1, ""), ("One", 2, ""), ("Two", 0, "x, y")]
+    texts = {r.path.rsplit("/", 1)[1]: r.text for r in sheets.as_text(rows).collect()}
+    assert texts == {"plain.csv": "a,b\n1,2", "book.csv": '### SHEET: Two\n"x, y",True\n\n### SHEET: One\nName,,2.5\n,AB,2024-01-01 00:00:00'}
