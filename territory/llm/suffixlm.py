@@ -26,14 +26,17 @@ from pyspark.sql import functions as F
 from territory.llm.base import Scratch, Words, crc_remainder, give_back, mix, raw_texts, read_table, slices
 
 #: Words of the longest context, and how often a context must occur, however large the corpus is.
-DEPTH, LEAST_COUNT = 6, 2
+DEPTH, LEAST_COUNT = 3, 2
 #: Nats that a state's distribution gains over its suffix's in training, at least; and what each symbol after a state gives up to symbols that weren't seen there.
 LEAST_GAIN, DISCOUNT = 6.0, 0.75
-#: Of a key, the context has the upper bits and the next symbol the lower ones; the group adds to the context's.
-NEXT_BITS = 28
+#: Of a key, the context has the upper bits and the next symbol the lower ones. A context's group adds to its bits: as groups
+#: don't grow, about one context in 4000 shares a key with another, at any size of corpus.
+CONTEXT_BITS, NEXT_BITS = 32, 24
+#: Steps of a probability's logarithm that a block tells a group.
+STEPS = 8
 BEGIN, END = np.uint64(0x0B0E61D5), np.uint64(0x0E0DE0D5)
 
-_LOW = np.uint64((1 << NEXT_BITS) - 1)
+_LOW = np.uint64((1 << (64 - CONTEXT_BITS)) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 ASKS = "block long, `group` int, keys binary, counts binary, lower binary"
 ANSWERS = "block long, `group` int, n binary, kinds binary, distinct long"
@@ -111,7 +114,8 @@ def _cut_blocks(block_bytes: int) -> Callable:
 
 def dealt(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys by group, their groups, and the place of each key among them."""
-    order = np.lexsort((keys, group))
+    small = len(group) and int(group.max()) < 1 << 16
+    order = np.lexsort((keys, group.astype(np.uint16) if small else group))  # small numbers sort faster
     k, g = keys[order], group[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
@@ -146,7 +150,7 @@ class Block:
         keys, group, which = self.word_keys()
         counts = np.zeros(len(keys), np.int64)
         counts[which] = np.bincount(self.numbers, np.repeat(self.train, self.lengths), len(self.words)).astype(np.int64)
-        return _ask_rows(self.block, keys, group, counts, np.zeros(len(keys), np.uint16))
+        return _ask_rows(self.block, keys, group, counts, np.zeros(len(keys), np.uint8))
 
     def begin(self, word_counts: np.ndarray, texts: int, size: float) -> None:
         """Lay the texts out, each after its begin and before its end, with the root's probabilities."""
@@ -185,13 +189,13 @@ class Block:
         shared = total > self.split
         if shared.any():
             salt = after[shared] % (-(-total[shared] // self.split)).astype(np.uint64)
-            group[shared] = _split_group(context[shared] >> np.uint64(NEXT_BITS), salt, self.groups)
-        return at, total, *dealt((context & ~_LOW) | after, group)
+            group[shared] = _split_group(context[shared] >> np.uint64(64 - CONTEXT_BITS), salt, self.groups)
+        return at, total, *dealt(context >> np.uint64(64 - CONTEXT_BITS) << np.uint64(NEXT_BITS) | after, group)
 
     def ask(self, level: int) -> list[tuple]:
         at, _, keys, group, which = self.runs(level)
-        lower = np.zeros(len(keys), np.uint16)
-        lower[which] = quantised(self.p[at])
+        lower = np.zeros(len(keys), np.uint8)
+        lower[which] = np.where(self.n[at] >= 2, quantised(self.p[at]), 0)  # what a symbol needs that may occur twice here
         return _ask_rows(self.block, keys, group, np.bincount(which, self.trained[at], len(keys)), lower)
 
     def take(self, level: int, n: np.ndarray, kinds: np.ndarray) -> None:
@@ -214,8 +218,8 @@ class Block:
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
-    """-ln p in steps of 1/256."""
-    return np.minimum(np.rint(-256 * np.log(p)), 65535).astype(np.uint16)
+    """-ln p in steps of 1/8."""
+    return np.minimum(np.rint(-STEPS * np.log(p)), 255).astype(np.uint8)
 
 
 class Tally:
@@ -228,7 +232,7 @@ class Tally:
         counts = np.concatenate([np.zeros(0, np.uint32), *(_unpack(x, np.uint32) for x in asks.column("counts").to_pylist())])
         self.n = np.bincount(self.which, counts, len(self.keys)).astype(np.int64)
         lower = np.zeros(len(self.keys))
-        lower[self.which] = np.concatenate([np.zeros(0, np.uint16), *(_unpack(x, np.uint16) for x in asks.column("lower").to_pylist())]) / -256.0
+        lower[self.which] = np.concatenate([np.zeros(0, np.uint8), *(_unpack(x, np.uint8) for x in asks.column("lower").to_pylist())]) / -float(STEPS)
         context = self.keys >> np.uint64(NEXT_BITS)
         begin = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
         self.context, self.of = context[begin], np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(context))))
@@ -242,7 +246,7 @@ class Tally:
         kinds, rows = kinds[self.of] if len(kinds) else np.zeros(len(self.keys), np.int64), []
         for i, (block, group, end) in enumerate(zip(asks.column("block").to_pylist(), asks.column("group").to_pylist(), self.ends.tolist(), strict=True)):
             which = self.which[self.ends[i - 1] if i else 0 : end]
-            rows.append((block, group, _pack(self.n[which].astype(np.uint32)), _pack(kinds[which].astype(np.int32)), 0 if i else int((self.n > 0).sum())))
+            rows.append((block, group, _pack(self.n[which].astype(np.uint32)), _pack(np.diff(kinds[which].astype(np.int32), prepend=np.int32(0))), 0 if i else int((self.n > 0).sum())))
         return _table(ANSWERS, rows)
 
 
@@ -298,7 +302,7 @@ def _replayed(texts: int, size: float, groups: int, split: int, level: int | Non
         rows: list[tuple] = []
         by: dict[int, list] = {}
         for depth, group, n, kinds in sorted(zip(*(answers.column(c).to_pylist() for c in ("level", "group", "n", "kinds")), strict=True), key=lambda r: r[:2]):
-            by.setdefault(depth, []).append((_unpack(n, np.uint32).astype(np.int64), _unpack(kinds, np.int32).astype(np.int64)))
+            by.setdefault(depth, []).append((_unpack(n, np.uint32).astype(np.int64), np.cumsum(_unpack(kinds, np.int32).astype(np.int64))))
         none = [(np.zeros(0, np.int64),) * 2]
         for row in blocks.to_pylist():
             block = Block(row, groups, split)

@@ -591,7 +591,7 @@ def slow_tree(rows, held):
             total, often, share, gain = sum(after.values()), 0, 0.0, 0.0
             for w, m in after.items():
                 if m >= 2:
-                    low = -round(-256 * math.log(p(context[1:], w))) / 256
+                    low = -min(round(-suffixlm.STEPS * math.log(p(context[1:], w))), 255) / suffixlm.STEPS
                     gain, often, share = gain + m * (math.log(m / total) - low), often + m, share + math.exp(low)
             if total > often:
                 gain += (total - often) * (math.log((total - often) / total) - math.log(max(1 - share, 1e-9)))
@@ -614,7 +614,7 @@ def test_tree_scores_are_brute_force(spark):
     texts += [*texts[:20], *(f"{line} {rng.choice(vocabulary)} {line}" for _ in range(15))]
     rows = [*enumerate(texts, 100), *ODD]
     want, states = slow_tree(rows, held)
-    assert len(states) >= 4 and len({r[1] for r in want}) == 2
+    assert len(states) == suffixlm.DEPTH and len({r[1] for r in want}) == 2
     for sizes in (suffixlm.Sizes(), suffixlm.Sizes(1500, 5_000, 20)):  # one block and group; several, with contexts that groups share
         got = sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in suffixlm.score(frame(spark, rows), sizes=sizes).collect())
         assert [g[:5] for g in got] == [w[:5] for w in want]
