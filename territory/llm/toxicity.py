@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from territory.llm.base import TERMS as SEPARATE
-from territory.llm.base import Scratch, Words, crc_remainder, raw_texts, read_table, slices, widened
+from territory.llm.base import Scratch, Words, crc_remainder, give_back, raw_texts, read_table, slices, widened
 from territory.llm.labelled import FIT_ROWS, labelled_sample
 
 #: Examples of each label, their bytes at most, neighbours, examples in a block of the index, blocks that are scored first.
-EXAMPLES, EXAMPLE_BYTES, NEAREST, BLOCK, BLOCKS = 2000, 32_000, 15, 64, 4
+EXAMPLES, EXAMPLE_BYTES, NEAREST, BLOCK, BLOCKS = 1000, 16_000, 15, 64, 4
 #: Labelled documents that a term must be in, and what it must tell of the labels: twice the log likelihood that they gain.
 LEAST_DOCUMENTS, LEAST_INFORMATION = 2, 1.0
 #: Terms are words, and the first so many bytes of longer words.
@@ -257,6 +257,8 @@ def fit(sample: DataFrame, documents: DataFrame, scratch: Scratch) -> Model:
     if unfitted.examples is not None:
         late = sample.where(~F.col("early")).select("text", "y").mapInArrow(run, "y int, share double, votes double").toArrow().sort_by([("y", "ascending"), ("share", "ascending"), ("votes", "ascending")])
         model.curve = logistic(curve_inputs(late["share"].to_numpy(), late["votes"].to_numpy()), late["y"].to_numpy().astype(np.float64))
+    del examples, rows, unfitted
+    give_back()
     return model
 
 
