@@ -62,10 +62,10 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts, and texts in a table without items, stay; rows with a null id are judged like others.
     """
     key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    held = tiling.contaminated(docs.select(key.alias("__key"), "text"), read_table(spark, sf_dir, "benchmark"), id="__key").select("__key.*").distinct()
-    same = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("hash"))
+    held = tiling.contaminated(docs.select(key.alias("__key"), "text"), read_table(spark, sf_dir, "benchmark"), id="__key")
+    held = held.select(F.col("__key.id").alias("__held_id"), F.col("__key.hash").alias("__held_hash")).distinct()
     marked = docs.withColumns({"__id": F.col("doc_id"), "__hash": F.xxhash64("text")})
-    return marked.join(held, same, "left_anti").select(*docs.columns)
+    return marked.join(held, F.expr("__id <=> __held_id and __hash = __held_hash"), "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
