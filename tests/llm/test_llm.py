@@ -666,3 +666,22 @@ def test_pipeline_stages(spark):
     # near-duplicates and benchmark passages don't come through
     assert minhash.near_duplicates(docs).where("not kept").count() <= docs.count() // 50
     assert tiling.contaminated(docs, spark.read.parquet(f"{tables}/benchmark.parquet")).count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Repeated ids and rows, nulls, empty texts: each row is judged by its own text, and clean ones stay."""
+    import corpus_pipeline
+
+    one, other, item = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, one), (1, one), (2, one + " end"), (2, other), (3, f"x {item} y"), (3, "clean words"), (4, None), (4, ""), (None, one), (None, f"{item} z"), (5, "five clean words are here")]
+    docs = frame(spark, rows)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+    deduped = stages["near_duplicates"](spark, docs, str(tmp_path))
+    assert deduped.columns == docs.columns
+    assert kept(deduped) == sorted([(1, one), (2, other), (3, f"x {item} y"), (3, "clean words"), (4, ""), (4, ""), (0, one), (0, f"{item} z"), (5, "five clean words are here")])
+    clean = stages["decontamination"](spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and kept(clean) == sorted((i or 0, t or "") for i, t in rows if not (t or "").count("c39"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
