@@ -47,10 +47,10 @@ def places(ends: np.ndarray, documents: np.ndarray, n: int, size: int, last: boo
     """
     cost = {SENTENCE: ends, 0: documents}
     known = np.unique(np.concatenate((np.array([0, n], np.int64), ends, documents)))
-    gap = np.diff(known)
-    wide = np.flatnonzero(gap > RUN)
-    steps = (gap[wide] - 1) // RUN
-    inside = np.repeat(known[wide], steps) + RUN * (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps) + 1)
+    gap, run = np.diff(known), min(RUN, size)
+    wide = np.flatnonzero(gap > run)
+    steps = (gap[wide] - 1) // run
+    inside = np.repeat(known[wide], steps) + run * (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps) + 1)
     if last:
         inside = np.concatenate((inside, np.arange(max(0, n - 2 * size), n)))
     at = np.unique(np.concatenate((known, inside)))
@@ -61,7 +61,7 @@ def places(ends: np.ndarray, documents: np.ndarray, n: int, size: int, last: boo
 
 
 def cuts(at: np.ndarray, price: np.ndarray, size: int) -> list[int]:
-    """The cheapest ends of windows from the first to the last of some places, none further than `size` from the next but one's."""
+    """The cheapest ends of windows from the first to the last of some places, of which neighbours are `size` apart at most."""
     n = int(at[-1])
     index = np.full(n + 1, -1, np.int64)
     index[at] = np.arange(len(at))
