@@ -60,8 +60,11 @@ def places(ends: np.ndarray, documents: np.ndarray, n: int, size: int, last: boo
     return at, price
 
 
-def cuts(at: np.ndarray, price: np.ndarray, size: int) -> list[int]:
-    """The cheapest ends of windows from the first to the last of some places, of which neighbours are `size` apart at most."""
+def cuts(at: np.ndarray, price: np.ndarray, size: int, whole: bool = True) -> list[int]:
+    """The cheapest ends of windows from the first to the last of some places, of which neighbours are `size` apart at most.
+
+    Unless `whole`, more is to come, and the last window ends where the cost is least for what it covers.
+    """
     n = int(at[-1])
     index = np.full(n + 1, -1, np.int64)
     index[at] = np.arange(len(at))
@@ -94,6 +97,9 @@ def cuts(at: np.ndarray, price: np.ndarray, size: int) -> list[int]:
             queue.pop()
         queue.append(i)
     found = [len(position) - 1]
+    if not whole:
+        rate = best[-1] / n
+        found = [min((i for i in range(1, len(position)) if position[i] > n - size), key=lambda i: best[i] - rate * position[i])]
     while found[-1]:
         found.append(back[found[-1]])
     return [position[i] for i in reversed(found)]
@@ -131,7 +137,7 @@ class Stream:
         tokens = np.concatenate(self.held)
         done = np.array([d[2] for d in self.documents if d[2] is not None and d[2] > self.base], np.int64) - self.base
         at, price = places(np.flatnonzero(self.ends[tokens]) + 1, done, len(tokens), self.size, last)
-        found = cuts(at, price, self.size)
+        found = cuts(at, price, self.size, last)
         found = found if last or len(found) < 4 else found[:-2]  # the last windows are chosen when more is known
         for a, b in zip(found, found[1:], strict=False):
             place = a
