@@ -1,7 +1,8 @@
 """The manager tree: subtrees, reporting chains, snapshots and what a caller may see.
 
 Users are (id, full_name, role, reports_to, is_active, ...). Walks down need active users all the way; walks
-up don't. A cycle makes the recursion run into Spark's level limit, which raises.
+up don't. All users' walks double their pointers (see doubling); a cycle raises and is named. One user's chain is a recursive
+query of as many rows as it has levels.
 """
 
 from __future__ import annotations
@@ -9,32 +10,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from territory.operators.doubling import fold, pairs
+
 #: Fixed role names.
 MR, ASM, RSM, DEPUTY_RSM, STATE_HEAD, SALES_DIRECTOR, SUPER_ADMIN = "MR", "ASM", "RSM", "DEPUTY_RSM", "STATE_HEAD", "SALES_DIRECTOR", "SUPER_ADMIN"
 EVERYTHING = (SUPER_ADMIN, SALES_DIRECTOR)
 SUBTREE = (STATE_HEAD, RSM, DEPUTY_RSM, ASM)
 
 
+def _active(users: DataFrame) -> DataFrame:
+    """(id, up, role, full_name) of active users."""
+    return users.where("is_active").select("id", F.col("reports_to").alias("up"), "role", "full_name")
+
+
 def closure(users: DataFrame) -> DataFrame:
     """(root_id, id, role, full_name, depth): each active user with all active users below, itself included."""
-    query = """
-        WITH RECURSIVE below(root_id, id, role, full_name, depth) AS (
-            SELECT id, id, role, full_name, 0 FROM {users} WHERE is_active
-            UNION ALL
-            SELECT b.root_id, u.id, u.role, u.full_name, b.depth + 1 FROM below b JOIN {users} u ON u.reports_to = b.id WHERE u.is_active)
-        SELECT * FROM below"""
-    return users.sparkSession.sql(query, users=users)
+    active = _active(users)
+    found = pairs(active.select("id", "up")).withColumnRenamed("above_id", "root_id")
+    return found.join(active.drop("up"), "id").select("root_id", "id", "role", "full_name", "depth")
+
+
+def below(users: DataFrame, root: str) -> DataFrame:
+    """(id, depth, via) of the active subtree of one active user: how far each is below, and by which direct report (null for the root).
+
+    Ways that miss the root are dropped as soon as they end, and those that run in a cycle elsewhere don't matter.
+    """
+    at = F.col("id") == root
+    direct = F.col("reports_to") == root
+    nodes = users.where("is_active").select(
+        "id",
+        F.when(~at, F.col("reports_to")).alias("up"),
+        F.lit(1).alias("steps"),
+        F.when(at, 0).alias("depth"),
+        F.when(direct & ~at, F.col("id")).alias("via"),
+    )
+    combine = {
+        "up": lambda own, above: F.when(own("depth").isNull() & above("depth").isNull(), above("up")),
+        "steps": lambda own, above: own("steps") + F.coalesce(above("steps"), F.lit(0)),
+        "depth": lambda own, above: F.coalesce(own("depth"), own("steps") + above("depth")),
+        "via": lambda own, above: F.coalesce(own("via"), above("via")),
+    }
+    found = fold(nodes, combine, F.col("depth").isNotNull() | F.col("up").isNotNull(), cycles="stop")
+    return found.where("depth is not null").select("id", "depth", F.when(F.col("depth") > 0, F.col("via")).alias("via"))
 
 
 def subtree(users: DataFrame, root: str) -> DataFrame:
     """(id, full_name, role, reports_to, depth) of the active subtree of one active user."""
-    query = """
-        WITH RECURSIVE below(id, full_name, role, reports_to, depth) AS (
-            SELECT id, full_name, role, reports_to, 0 FROM {users} WHERE id = {root} AND is_active
-            UNION ALL
-            SELECT u.id, u.full_name, u.role, u.reports_to, b.depth + 1 FROM below b JOIN {users} u ON u.reports_to = b.id WHERE u.is_active)
-        SELECT * FROM below"""
-    return users.sparkSession.sql(query, users=users, root=root)
+    return below(users, root).drop("via").join(users.select("id", "full_name", "role", "reports_to"), "id").select("id", "full_name", "role", "reports_to", "depth")
+
+
+def by_depth(users: DataFrame, root: str) -> DataFrame:
+    """The subtree from the top down: by depth, then name, then id."""
+    return subtree(users, root).orderBy("depth", "full_name", "id")
 
 
 def subtree_mrs(users: DataFrame, root: str) -> DataFrame:
@@ -44,13 +71,8 @@ def subtree_mrs(users: DataFrame, root: str) -> DataFrame:
 
 def chains(users: DataFrame) -> DataFrame:
     """(user_id, id, full_name, role, is_active, depth): each user with all managers up to the top, inactive ones too."""
-    query = """
-        WITH RECURSIVE above(user_id, id, full_name, role, reports_to, is_active, depth) AS (
-            SELECT id, id, full_name, role, reports_to, is_active, 0 FROM {users}
-            UNION ALL
-            SELECT a.user_id, u.id, u.full_name, u.role, u.reports_to, u.is_active, a.depth + 1 FROM above a JOIN {users} u ON u.id = a.reports_to)
-        SELECT user_id, id, full_name, role, is_active, depth FROM above"""
-    return users.sparkSession.sql(query, users=users)
+    found = pairs(users.select("id", F.col("reports_to").alias("up"))).withColumnsRenamed({"id": "user_id", "above_id": "id"})
+    return found.join(users.select("id", "full_name", "role", "is_active"), "id").select("user_id", "id", "full_name", "role", "is_active", "depth")
 
 
 def reporting_chain(users: DataFrame, user: str) -> DataFrame:
@@ -66,14 +88,11 @@ def reporting_chain(users: DataFrame, user: str) -> DataFrame:
 
 def manager_snapshot(users: DataFrame) -> DataFrame:
     """(mr_id, asm_id, rsm_id, state_head_id): for each rep the nearest manager of each role; a deputy counts as RSM."""
-    up = chains(users)
-
-    def nearest(*roles: str):
-        return F.min_by(F.when(F.col("role").isin(*roles), F.col("id")), F.when(F.col("role").isin(*roles), F.col("depth")))
-
-    reps = users.where(F.col("role") == MR).select(F.col("id").alias("mr_id"))
-    found = up.groupBy(F.col("user_id").alias("mr_id")).agg(nearest(ASM).alias("asm_id"), nearest(RSM, DEPUTY_RSM).alias("rsm_id"), nearest(STATE_HEAD).alias("state_head_id"))
-    return reps.join(found, "mr_id")
+    kinds = {"asm_id": (ASM,), "rsm_id": (RSM, DEPUTY_RSM), "state_head_id": (STATE_HEAD,)}
+    own = [F.when(F.col("role").isin(*roles), F.col("id")).alias(c) for c, roles in kinds.items()]
+    nodes = users.select("id", F.col("reports_to").alias("up"), (F.col("role") == MR).alias("is_rep"), *own)
+    found = fold(nodes, {c: lambda own, above, c=c: F.coalesce(own(c), above(c)) for c in kinds})
+    return found.where("is_rep").select(F.col("id").alias("mr_id"), *kinds)
 
 
 def role_of(users: DataFrame, user: str) -> str | None:
@@ -119,12 +138,14 @@ def resolve_mr(users: DataFrame, caller: str, mr: str | None) -> DataFrame:
 
 def team(users: DataFrame, scope: str) -> DataFrame:
     """Direct active reports of a user by name, with the number of direct reports and of reps below; a rep counts itself."""
+    code = ["employee_code"] if "employee_code" in users.columns else []
     reports = users.where((F.col("reports_to") == scope) & F.col("is_active"))
     direct = users.where("is_active").groupBy(F.col("reports_to").alias("id")).agg(F.count("*").alias("direct_report_count"))
-    reps = closure(users).where(F.col("role") == MR).groupBy(F.col("root_id").alias("id")).agg(F.count("*").alias("mr_descendant_count"))
+    under = below(users.withColumn("is_active", F.col("is_active") | (F.col("id") == scope)), scope)
+    reps = under.join(users.where(F.col("role") == MR).select("id"), "id", "left_semi").groupBy(F.col("via").alias("id")).agg(F.count("*").alias("mr_descendant_count"))
     found = reports.join(direct, "id", "left").join(reps, "id", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("direct_report_count", "mr_descendant_count")]
-    return found.select("id", "full_name", "role", *counts).orderBy("full_name", "id")
+    return found.select("id", "full_name", "role", *code, *counts).orderBy("full_name", "id")
 
 
 def breadcrumb(users: DataFrame, caller: str, scope: str) -> DataFrame:

@@ -268,7 +268,7 @@ query(
 )(
     lambda b: diagnostics.serving_headquarters(b.products, b.headquarters)
 )
-query("names_for_ids", f"+{ROWS_SQL} SELECT DISTINCT product_id AS id, label AS name FROM rows JOIN ({PRODUCT_SQL}) ON id = product_id")(
+query("names_for_ids", f"+{ROWS_SQL} SELECT DISTINCT product_id AS id, label AS name FROM rows JOIN ({PRODUCT_SQL}) x ON x.id = product_id")(
     lambda b: b.products.join(rows_in_scope(b).select(F.col("product_id").alias("id")), "id", "left_semi").select("id", "name")
 )
 
