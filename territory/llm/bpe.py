@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territory.llm.base import CHUNK_BYTES, parts, raw_texts, read_table, slices, small_batches, widened
+from territory.llm.base import CHUNK_BYTES, Words, parts, raw_texts, read_table, slices, small_batches, widened
 
 #: Bytes of pieces, ids and their bookkeeping that a worker remembers before it starts anew; longer pieces aren't remembered.
 CACHE_BYTES, ENTRY_BYTES, LONGEST_KEPT = 80 << 20, 150, 200
+#: Bytes of words that a flat encoder knows before it starts anew.
+FLAT_BYTES = 128 << 20
 NONE = np.iinfo(np.int64).max
 
 # What the tokenizers library's Unicode tables have beyond, or short of, those of Python.
@@ -215,6 +217,72 @@ class Bpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class FlatEncoder:
+    """Ids of many texts in one array. What is known of words lies in arrays sorted by the words' hashes, some 45 bytes for each.
+
+    Words are told apart by a 64-bit hash together with their length and first eight bytes. Where these disagree, and for texts that
+    hold special tokens, `Bpe.encode` is asked.
+    """
+
+    def __init__(self, bpe: Bpe, most_bytes: int = FLAT_BYTES) -> None:
+        self.bpe, self.most_bytes = bpe, most_bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.heads, self.lengths, self.begin, self.width = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def _learn(self, at: np.ndarray, hashes: np.ndarray, heads: np.ndarray, lengths: np.ndarray, words: list[bytes]) -> None:
+        """Put new words, in the order of their hashes, at their places."""
+        pieces = [self.bpe.words(w) for w in words]
+        flat = [w for own in pieces for w in own]
+        distinct = list(dict.fromkeys(flat))
+        known = dict(zip(distinct, self.bpe.encode_words(distinct), strict=True))
+        raw = [b"".join(map(known.__getitem__, own)) for own in pieces]
+        width = np.array([len(x) // 4 for x in raw], np.int64)
+        ids = np.frombuffer(b"".join(raw), "<u4")
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.used], np.zeros(self.used + 2 * len(ids), "<u4")))
+        self.ids[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(width) - width
+        self.used += len(ids)
+        new = (hashes, heads, lengths, begin, width)
+        self.hashes, self.heads, self.lengths, self.begin, self.width = (np.insert(old, at, x) for old, x in zip((self.hashes, self.heads, self.lengths, self.begin, self.width), new, strict=True))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts one after the other, how many each has), as `Bpe.encode` gives them."""
+        special = self.bpe.split_special
+        if special is None or not any(map(special.search, texts)):
+            words = Words(texts)
+            raw, length = words.raw + bytes(8), words.end - words.start
+            head = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))[words.start]
+            head &= np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * np.minimum(length, 8).astype(np.uint64))
+            hashes, first, of = np.unique(words.hashes(), return_index=True, return_inverse=True)
+            if 40 * len(self.hashes) + 4 * len(self.ids) > self.most_bytes:
+                self._forget()
+            at = np.searchsorted(self.hashes, hashes)
+            new = np.flatnonzero(np.append(self.hashes, np.uint64(0))[at] != hashes) if len(self.hashes) else np.arange(len(hashes))
+            new = np.union1d(new, np.flatnonzero(at == len(self.hashes)))
+            if len(new):
+                spans = zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)
+                self._learn(at[new], hashes[new], head[first[new]], length[first[new]], [raw[a:b] for a, b in spans])
+                at = np.searchsorted(self.hashes, hashes)
+            place = at[of]
+            if (self.lengths[place] == length).all() and (self.heads[place] == head).all():
+                count = self.width[place]
+                ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(count)))
+                ids = self.ids[np.repeat(self.begin[place] - ends[:-1], count) + np.arange(ends[-1])]
+                return ids, np.diff(ends[words.first])
+        coded = [np.frombuffer(x, "<u4") for x in self.bpe.encode(texts)]
+        return np.concatenate([np.zeros(0, "<u4"), *coded]), np.array([len(x) for x in coded], np.int64)
+
+
+@functools.lru_cache(2)
+def flat(path: str) -> FlatEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return FlatEncoder(loaded(path))
+
+
 @functools.lru_cache(2)
 def loaded(path: str) -> Bpe:
     """One vocabulary for all tasks of a Python worker."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from territory.llm.base import CHUNK_BYTES, give_back, parts, raw_texts, read_table, slices, small_batches
-from territory.llm.bpe import Bpe, loaded, vocabulary_path
+from territory.llm.bpe import Bpe, flat, vocabulary_path
 
 #: What a cut costs after a sentence and inside one, and a window besides its padding, in tokens of padding.
 SENTENCE, INSIDE, WINDOW = 8, 64, 16
@@ -175,18 +175,19 @@ def pack(df: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text",
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        bpe = loaded(vocabulary)
-        stream, last = Stream(size, sentence_ends(bpe)), np.array([end], "<u4")
+        encode = flat(vocabulary)
+        stream, last = Stream(size, sentence_ends(encode.bpe)), np.array([end], "<u4")
         for batch in slices(batches, "text"):
             texts, keys = raw_texts(batch.column("text")), batch.column("id").to_pylist()
             if len(texts) > 1 or len(texts[0]) <= CHUNK_BYTES:
-                for key, own in zip(keys, bpe.encode(texts), strict=True):
+                ids, counts = encode(texts)
+                for key, own in zip(keys, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
                     stream.begin(key)
-                    yield from stream.finish(np.concatenate((np.frombuffer(own, "<u4"), last)))
+                    yield from stream.finish(np.concatenate((own, last)))
             else:
                 stream.begin(keys[0])
                 for part in parts(texts[0]):
-                    yield from stream.add(np.frombuffer(bpe.encode([part])[0], "<u4"))
+                    yield from stream.add(encode([part])[0])
                 yield from stream.finish(last)
         yield from stream.close()
 

@@ -11,7 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from territory.llm import elkan, heaplloyd, packing, vectors
-from territory.llm.bpe import loaded, vocabulary_path
+from territory.llm.base import Words
+from territory.llm.bpe import FlatEncoder, flat, loaded, vocabulary_path
 
 SCHEMA = "vec_id long, embedding array<double>, label int, code string, x int, ids int, cluster string"
 
@@ -255,3 +256,21 @@ def test_digest_of_pieces(spark, tables):
     got = packing.op12_packing(spark, tables).collect()
     pieces = packing.pack(spark.read.parquet(f"{tables}/documents.parquet"), vocabulary_path()).collect()
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in got) == sorted((r.doc_id, r.start, len(r.ids) // 4, zlib.crc32(r.ids)) for r in pieces)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "Ab", "é", " ", "\n", "don't", "12", "<|endoftext|>", "\x00", "longer-than-eight", "longer-than-nine", "🙂"]), max_size=20).map("".join), min_size=1, max_size=6))
+def test_flat_ids_are_the_same(texts):
+    bpe, raw = loaded(vocabulary_path()), [t.encode() for t in texts]
+    want = bpe.encode(raw)
+    for encode in (flat(vocabulary_path()), FlatEncoder(bpe), FlatEncoder(bpe, 0)):
+        for _ in range(2):  # new words, then known ones
+            ids, counts = encode(raw)
+            assert ids.tobytes() == b"".join(want) and counts.tolist() == [len(x) // 4 for x in want]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    bpe, raw = loaded(vocabulary_path()), [b"one two three", b"four two"]
+    monkeypatch.setattr(Words, "hashes", lambda self, end=None: np.full(len(self), 7, np.uint64))
+    ids, _ = FlatEncoder(bpe)(raw)
+    assert ids.tobytes() == b"".join(bpe.encode(raw))
