@@ -685,3 +685,25 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     assert clean.columns == docs.columns and kept(clean) == sorted((i or 0, t or "") for i, t in rows if not (t or "").count("c39"))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    """The whole run on odd rows, and each stage with columns that are named like its own."""
+    import corpus_pipeline
+
+    english = "the old house on the hill was sold to a family who came from the city in the spring of that year and stayed there for a long time"
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{english} number {i} " + " ".join(f"{chr(97 + i)}{k}" for k in range(60))) for i in range(12)]
+    rows += [(20, f"{english} first {passage} tail"), (21, f"{english} second one {passage} other"), (22, None), (23, ""), (0, rows[0][1]), (None, f"{english} no id"), (24, rows[3][1] + " copy")]
+    names = ["score", "lang_pred", "n_words", "n_removed", "kept_text", "__id", "__hash", "__n", "__number", "__rest", "__key", "__held_id", "text_hash", "kept", "id", "a.b"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[f"{c} {n}" for c in names]) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in names))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(40)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns, name
+        for r in found.collect():
+            n = r["score"].split()[1]
+            assert r[5:] == tuple(f"{c} {n}" for c in names), name
+    kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {0, 2, 4, 20, 21} <= kept and not kept & {1, 22, 23, 24}
