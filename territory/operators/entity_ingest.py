@@ -111,19 +111,26 @@ def group_doctors(rows: DataFrame, hq_ids: DataFrame) -> DataFrame:
 
 
 def match_doctors(groups: DataFrame, doctors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(groups with their doctor's id, new doctors, promotions): the same headquarter first, then none, then any.
+    """(groups with their doctor's id, new doctors, promotions): the same headquarter first, then none, then any that the sheet names.
 
-    A doctor without a headquarter takes the group's (a promotion).
+    Of groups of one name that nobody matches the first makes the doctor, whom the others share. A doctor without a headquarter takes
+    that of the first group that has one (a promotion, or at once for a new doctor).
     """
+    named = groups.where("headquarter_id is not null").select(F.col("headquarter_id").alias("of")).distinct()
     have = doctors.select(F.col("id").alias("doctor_id"), t.doctor_key(F.col("full_name")).alias("key"), F.col("headquarter_id").alias("of"))
+    have = have.where("of is null").unionByName(have.join(named, "of", "left_semi"))
     rank = F.when(F.col("of").eqNullSafe(F.col("headquarter_id")), 0).when(F.col("of").isNull(), 1).otherwise(2)
     best = groups.select("key", "headquarter_id").join(have, "key").groupBy("key", "headquarter_id").agg(F.min(F.struct(rank.alias("rank"), "doctor_id", "of")).alias("b"))
     best = best.select("key", F.col("headquarter_id").alias("h"), F.col("b.doctor_id").alias("doctor_id"), F.col("b.rank").alias("rank"))
-    placed = groups.alias("g").join(best.alias("b"), (F.col("g.key") == F.col("b.key")) & F.col("headquarter_id").eqNullSafe(F.col("h")), "left").select("g.*", "doctor_id", "rank")
+    placed = groups.alias("g").join(best.alias("b"), (F.col("g.key") == F.col("b.key")) & F.col("headquarter_id").eqNullSafe(F.col("h")), "left").select("g.*", "doctor_id", "rank").withColumn("first", F.array_min("rows"))
     made = new_id(F.lit("doctor"), "key", F.coalesce("headquarter_id", F.lit("")))
-    new = placed.where("doctor_id is null").select(made.alias("id"), "full_name", F.col("specialty").alias("specialization"), F.col("degree").alias("qualification"), F.col("contact").alias("phone"), F.col("doctor_address").alias("address"), "headquarter_id", F.lit(True).alias("is_active"))
-    promoted = placed.where("rank = 1 and headquarter_id is not null").groupBy(F.col("doctor_id").alias("id")).agg(F.min("headquarter_id").alias("headquarter_id"))
-    return placed.withColumn("doctor_id", F.coalesce("doctor_id", made)).drop("rank"), new, promoted
+    one = F.struct(made.alias("id"), "full_name", F.col("specialty").alias("specialization"), F.col("degree").alias("qualification"), F.col("contact").alias("phone"), F.col("doctor_address").alias("address"))
+    where = F.min_by("headquarter_id", F.when(F.col("headquarter_id").isNotNull(), F.col("first")))
+    new = placed.where("doctor_id is null").groupBy("key").agg(F.min_by(one, "first").alias("d"), where.alias("headquarter_id"))
+    shared = new.select("key", F.col("d.id").alias("__made"))
+    promoted = placed.where("rank = 1 and headquarter_id is not null").groupBy(F.col("doctor_id").alias("id")).agg(F.min_by("headquarter_id", "first").alias("headquarter_id"))
+    placed = placed.join(shared, "key", "left").withColumn("doctor_id", F.coalesce("doctor_id", "__made")).drop("rank", "first", "__made")
+    return placed, new.select("d.*", "headquarter_id", F.lit(True).alias("is_active")), promoted
 
 
 def link(doctor_groups: DataFrame, store_groups: DataFrame, links: DataFrame) -> DataFrame:

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from territory.functions import text as t
 from territory.functions import windows as w
 from territory.operators import dashboard as d
-from territory.operators import diagnostics, entity_ingest, matching, merge
+from territory.operators import diagnostics, entity_ingest, entity_run, matching, merge
 from territory.operators import hierarchy as h
 from territory.operators import predicates as p
 from territory.operators import reports as r
 from territory.operators import sales_import as imp
 from territory.plans.fixtures import SQL_PREFIX, Business
+from territory.sources.sheets import HEADERS
+from territory.storage import Tables
 
 CALLER = "SH-1"
 START, END, REFERENCE = date(1996, 1, 1), date(1996, 12, 31), date(1997, 6, 15)
@@ -441,6 +443,46 @@ query(
     SELECT stockist_id, headquarter_id, array_to_string(t, ' ') AS tokens, array_to_string(u, ' ') AS cluster FROM c WHERE k = 1""",
 )(lambda b: entity_ingest.cluster_stores(store_sets(b)).select("stockist_id", "headquarter_id", F.array_join("tokens", " ").alias("tokens"), F.array_join("cluster", " ").alias("cluster")))
 
+POOL_SQL = """
+WITH p AS (
+  SELECT c_custkey AS k, ['amber', 'birch', 'cedar', 'dahlia', 'elder'][c_custkey % 5 + 1] AS store, c_custkey // 5 % 2 AS kind, ['Elm', 'Fir', 'Gum', 'Holly', 'Ivy'][c_custkey // 7 % 5 + 1] || ' ' || ['Karr', 'Lowe', 'Moss'][c_custkey % 3 + 1] AS doctor,
+    n_nationkey::VARCHAR AS hq, s_suppkey AS rep, s_name AS fso FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN supplier ON s_suppkey = c_custkey % 10 + 1),
+d AS (SELECT doctor, arg_min(hq, k) AS doctor_hq FROM p GROUP BY 1), s AS (SELECT hq, store, count(DISTINCT kind) AS kinds FROM p GROUP BY 1, 2)"""
+
+
+def pool_rows(b: Business) -> DataFrame:
+    """A row of a pool sheet for each customer: stores in two spellings, doctors of one name in several headquarters."""
+    k, pick = F.col("c_custkey"), lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words.split()]), (i + 1).cast("int"))
+    rows = b.table("customer").join(b.table("nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")).join(b.table("supplier").select("s_suppkey", "s_name"), k % 10 + 1 == F.col("s_suppkey"))
+    store = F.concat(pick("amber birch cedar dahlia elder", k % 5), F.lit(" medical"), F.when(F.floor(k / 5) % 2 == 0, " store").otherwise(""))
+    values = {
+        "chemist_name": store, "doctor_name": F.concat_ws(" ", pick("Elm Fir Gum Holly Ivy", F.floor(k / 7) % 5), pick("Karr Lowe Moss", k % 3)), "fso_name": F.col("s_name"),
+        "headquarter": F.col("n_name"), "stockist_name": F.concat(F.lit("House of "), "n_name"),
+    }
+    return rows.select(k.cast("int").alias("row_index"), *[values.get(f, F.lit("")).alias(f) for f in HEADERS])
+
+
+@query(
+    "ingest_tallies",
+    POOL_SQL + """
+    SELECT 'stockists' AS kind, count(DISTINCT hq) AS inserted, 0 AS matched_existing, 0 AS merged_duplicates FROM p
+    UNION ALL SELECT 'headquarters', 0, count(DISTINCT hq), 0 FROM p
+    UNION ALL SELECT 'medical_stores', count(*), 0, count(*) FILTER (WHERE kinds > 1) FROM s
+    UNION ALL SELECT 'doctors', count(DISTINCT doctor), count(DISTINCT (doctor, hq)) - count(DISTINCT doctor), 0 FROM p
+    UNION ALL SELECT 'doctor_medical_stores', count(DISTINCT (doctor, hq, store)), 0, 0 FROM p
+    UNION ALL SELECT 'mr_doctor_allocations', count(DISTINCT (rep, doctor)), 0, 0 FROM p
+    UNION ALL SELECT 'mr_headquarter_allocations', count(DISTINCT (rep, doctor_hq)), 0, 0 FROM p JOIN d USING (doctor)
+    UNION ALL SELECT 'rows', count(*), 0, 0 FROM p""",
+)
+def ingest_tallies(b: Business) -> DataFrame:
+    empty = {k: b.spark.createDataFrame([], schema) for k, schema in entity_run.COLUMNS.items()}
+    have = {"headquarters": b.table("nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("state_id"), F.array().cast("array<string>").alias("division_ids"), F.lit(True).alias("is_active"))}
+    have["users"] = b.users.select("id", "full_name", "role", F.lit("").alias("email"), "is_active")
+    done = entity_run.ingest(pool_rows(b), empty | have, f"{Tables(b.spark).root}/ingest", "me")
+    rows = [(k, c.inserted, c.matched_existing, c.merged_duplicates) for k, c in done.counts.items()]
+    return b.spark.createDataFrame([*rows, ("rows", done.processed_rows, 0, 0)], "kind string, inserted long, matched_existing long, merged_duplicates long")
+
+
 # Writes.
 MD = "(SELECT mr_id, doctor_id, is_active, 'old' AS allocated_by FROM v_mr_doctor)"
 NEW = "(SELECT 'MR-' || s_suppkey AS mr_id, (s_suppkey % 50)::VARCHAR AS doctor_id FROM supplier WHERE s_suppkey % 2 = 0)"

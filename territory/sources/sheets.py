@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -14,9 +15,11 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from territory.functions.text import clean_whitespace
 
@@ -58,19 +61,19 @@ def sniffed(content: Column, path: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def zip_format(content: pd.Series) -> pd.Series:
     """What a zip container holds: xlsx, numbers or ods; an unreadable one counts as xlsx."""
+    return content.map(_zip_kind)
 
-    def kind(data: bytes) -> str:
-        try:
-            names = zipfile.ZipFile(io.BytesIO(data)).namelist()
-        except Exception:
-            return "xlsx"
-        if any(n.startswith("xl/") for n in names):
-            return "xlsx"
-        if any(n.endswith(".iwa") for n in names):
-            return "numbers"
-        return "ods" if "content.xml" in names else "xlsx"
 
-    return content.map(kind)
+def _zip_kind(data: bytes) -> str:
+    try:
+        names = zipfile.ZipFile(io.BytesIO(data)).namelist()
+    except zipfile.BadZipFile:
+        return "xlsx"
+    if any(n.startswith("xl/") for n in names):
+        return "xlsx"
+    if any(n.endswith(".iwa") for n in names):
+        return "numbers"
+    return "ods" if "content.xml" in names else "xlsx"
 
 
 def formats(files: DataFrame) -> DataFrame:
@@ -91,22 +94,10 @@ def _decoded(data: bytes, strict: bool) -> str:
         return data.decode("cp1252", "replace")
 
 
-def csv_rows(files: DataFrame, fallback: bool = True) -> DataFrame:
-    """(path, sheet, row_index, cells) of CSV files; bytes that aren't UTF-8 are read as cp1252, or replaced."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, data in zip(frame["path"], frame["content"], strict=True):
-                rows = list(csv.reader(io.StringIO(_decoded(data, fallback))))
-                yield pd.DataFrame({"path": path, "sheet": "", "row_index": range(len(rows)), "cells": rows})
-
-    return files.select("path", "content").mapInPandas(run, SHEETS)
-
-
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINKED = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-#: Built-in number formats of dates, and the day that dates count from.
-DATE_FORMATS, FIRST_DAY = {14, 15, 16, 17, 22}, datetime(1899, 12, 30)
+#: Built-in number formats of dates, and the days that dates count from: by default, and in workbooks that say so.
+DATE_FORMATS, FIRST_DAY, LATER_DAY = {14, 15, 16, 17, 22}, datetime(1899, 12, 30), datetime(1904, 1, 1)
 
 
 def _column(place: str) -> int:
@@ -126,33 +117,50 @@ def _dated(book: zipfile.ZipFile) -> list[bool]:
     return [int(x.get("numFmtId", 0)) in DATE_FORMATS | own for x in cells] if cells is not None else []
 
 
-def workbook(data: bytes) -> list[tuple[str, list[list[str]]]]:
-    """(title, rows of texts) of each sheet of an xlsx file, in the workbook's order; dates as ISO text, empty cells as ""."""
+def _string(item) -> str:
+    """A text and its runs, without how it is read aloud."""
+    return "".join((t.text or "") for x in item for t in ([x] if x.tag == f"{_MAIN}t" else x.findall(f"{_MAIN}t") if x.tag == f"{_MAIN}r" else []))
+
+
+def _number(value: str) -> str:
+    """The shortest text of the same number: a whole one without a point, others as decimals."""
+    return str(float(value)) if set(".eE") & set(value) else str(int(value))
+
+
+def workbook(data: bytes, active_only: bool = False) -> list[tuple[str, int, list[list[str]]]]:
+    """(title, place, rows of texts) of each sheet of an xlsx file, or of the one that it opens with; dates as ISO text, empty cells as ""."""
     book = zipfile.ZipFile(io.BytesIO(data))
     names = book.namelist()
     shared = []
     if "xl/sharedStrings.xml" in names:
-        shared = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+        shared = [_string(item) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
     dated = _dated(book)
     targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    about = ElementTree.fromstring(book.read("xl/workbook.xml"))
+    later, view = about.find(f"{_MAIN}workbookPr"), about.find(f"{_MAIN}bookViews/{_MAIN}workbookView")
+    first_day = LATER_DAY if later is not None and later.get("date1904") in ("1", "true") else FIRST_DAY
+    active = int(view.get("activeTab", 0)) if view is not None else 0
 
     def text(cell) -> str:
         kind, value = cell.get("t", "n"), cell.findtext(f"{_MAIN}v")
         if kind == "inlineStr":
-            return "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+            found = cell.find(f"{_MAIN}is")
+            return _string(found) if found is not None else ""
         if value is None:
             return ""
         if kind == "s":
             return shared[int(value)]
         if kind == "b":
             return str(value == "1")
+        if kind != "n":
+            return value
         style = int(cell.get("s", 0))
-        if kind == "n" and style < len(dated) and dated[style]:
-            return str(FIRST_DAY + timedelta(days=float(value)))
-        return value
+        return str(first_day + timedelta(days=float(value))) if style < len(dated) and dated[style] else _number(value)
 
     out = []
-    for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
+    for place, sheet in enumerate(about.iter(f"{_MAIN}sheet")):
+        if active_only and place != active:
+            continue
         path = targets[sheet.get(_LINKED)].lstrip("/")
         rows: list[list[str]] = []
         for row in ElementTree.fromstring(book.read(path if path.startswith("xl/") else f"xl/{path}")).iter(f"{_MAIN}row"):
@@ -164,27 +172,110 @@ def workbook(data: bytes) -> list[tuple[str, list[list[str]]]]:
                 cells += [""] * (at - len(cells)) + [text(cell)]
             rows.append(cells)
         width = max(map(len, rows), default=0)
-        out.append((sheet.get("name"), [r + [""] * (width - len(r)) for r in rows]))
+        out.append((sheet.get("name"), place, [r + [""] * (width - len(r)) for r in rows]))
     return out
 
 
-def spreadsheet_rows(files: DataFrame, active_only: bool = False) -> DataFrame:
-    """(path, sheet, row_index, cells) of xlsx files, all sheets or the first only; `sheet_index` is a sheet's place in its workbook."""
+def real_format(path: str, data: bytes) -> tuple[str, bool]:
+    """A file's format by its bytes, else by its extension, and whether the extension says another."""
+    name = path.rsplit("/", 1)[-1]
+    suffix = name.rsplit(".", 1)[-1].lower() if "." in name.lstrip(".") else ""
+    by_head = {b"%PDF": "pdf", b"\xd0\xcf\x11\xe0": "xls", b"PK\x03\x04": "zip"}.get(data[:4])
+    if by_head == "xls" and data[:8] != b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
+        by_head = None
+    found = _zip_kind(data) if by_head == "zip" else by_head or suffix or "csv"
+    return found, bool(suffix) and suffix != found
+
+
+def rows_of(path: str, data: bytes, active_only: bool = False) -> Iterator[tuple]:
+    """The rows of one file, as READ has them. A file that can't be read is one row with an error."""
+    kind, mismatch = real_format(path, data)
+    try:
+        if kind in ("csv", "txt"):
+            sheets = [("", 0, list(csv.reader(io.StringIO(_decoded(data, True)))))]
+        elif kind == "xlsx":
+            sheets = workbook(data, active_only)
+        else:
+            raise ValueError(f"{kind} isn't read here")
+    except (ValueError, KeyError, IndexError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError) as failure:
+        yield path, kind, mismatch, None, None, None, None, f"{path.rsplit('/', 1)[-1]}: {failure}"
+        return
+    for title, place, rows in sheets:
+        for i, cells in enumerate(rows):
+            yield path, kind, mismatch, title, place, i, cells, None
+
+
+READ = "path string, format string, mismatch boolean, sheet string, sheet_index int, row_index int, cells array<string>, error string"
+
+
+def sheet_rows(files: DataFrame, active_only: bool = False) -> DataFrame:
+    """Rows of all files (see READ), each by what it really is; a file that can't be read is one row with an error."""
+    names = [c.split()[0] for c in READ.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, data in zip(frame["path"], frame["content"], strict=True):
-                for at, (title, rows) in enumerate(workbook(data)[: 1 if active_only else None]):
-                    yield pd.DataFrame({"path": path, "sheet": title, "row_index": range(len(rows)), "cells": rows, "sheet_index": at})
+                rows = rows_of(path, data, active_only)
+                while part := list(itertools.islice(rows, 10_000)):
+                    found = pd.DataFrame(part, columns=names)
+                    yield found.astype({"sheet_index": "Int32", "row_index": "Int32"})
 
-    return files.select("path", "content").mapInPandas(run, f"{SHEETS}, sheet_index int")
+    return files.select("path", "content").mapInPandas(run, READ)
+
+
+def readable(rows: DataFrame) -> DataFrame:
+    """Rows without those of errors: the first error that is met ends the query."""
+    return rows.withColumn("path", F.when(F.col("error").isNull(), F.col("path")).otherwise(F.raise_error(F.col("error")))).drop("error")
+
+
+def problems(rows: DataFrame) -> DataFrame:
+    """(path, kind, message) of files that can't be read, and warnings of those whose extension is another than their format."""
+    bad = rows.where("error is not null").select("path", F.lit("error").alias("kind"), F.col("error").alias("message"))
+    odd = rows.where("mismatch").select("path", F.lit("mismatch").alias("kind"), F.concat(F.lit("the file is really "), "format").alias("message")).distinct()
+    return bad.unionByName(odd)
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """(path, sheet, row_index, cells, sheet_index) of all files by what they really are: CSV and workbooks; other formats give no rows."""
-    known = files.join(formats(files), "path")
-    plain = csv_rows(known.where("format in ('csv', 'txt')")).withColumn("sheet_index", F.lit(0))
-    return plain.unionByName(spreadsheet_rows(known.where("format = 'xlsx'")))
+    """(path, sheet, row_index, cells, sheet_index) of all files by what they really are: CSV and workbooks; another format is an error."""
+    return readable(sheet_rows(files)).select("path", "sheet", "row_index", "cells", "sheet_index")
+
+
+class SheetSource(DataSource):
+    """spark.read.format("sheets").load(folder or file): READ, a partition for each file. Options: active (only the sheet that a workbook opens with).
+
+    It reads where Python can (local folders and what pyarrow's file systems reach); for other stores load the files with Spark's
+    binaryFile format and use sheet_rows.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "sheets"
+
+    def schema(self) -> str:
+        return READ
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _SheetReader(self.options)
+
+
+class _SheetReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path, self.active_only = options["path"], options.get("active", "false").lower() == "true"
+
+    def _files(self) -> tuple[fs.FileSystem, list[str]]:
+        where = self.path.removeprefix("file:") if self.path.startswith("file:/") and not self.path.startswith("file://") else self.path
+        store, at = fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where)
+        info = store.get_file_info(at)
+        found = [info] if info.is_file else store.get_file_info(fs.FileSelector(at, recursive=True))
+        return store, sorted(x.path for x in found if x.is_file and not x.base_name.startswith("."))
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(path) for path in self._files()[1]]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
+        with store.open_input_stream(partition.value) as file:
+            yield from rows_of(partition.value, file.read(), self.active_only)
 
 
 def _texts(cells: Column) -> Column:
@@ -227,24 +318,28 @@ def header_map(header: list[str]) -> dict[str, int]:
     return found
 
 
-def pool_rows(spark: SparkSession, path: str, header: list[str] | None = None) -> DataFrame:
-    """(row_index, fields...) of a UTF-8 pool sheet in CSV: cleaned cells, rows without doctor and chemist left out.
+def pool_rows(rows: DataFrame, header: list[str] | None = None) -> DataFrame:
+    """(row_index, fields...) of a pool sheet, CSV or workbook, from its rows (READ, of the active sheet): cleaned cells, rows without doctor and chemist left out.
 
-    Only the header comes to the driver. row_index counts from 1 after the header, in the order of the file.
+    Only the header comes to the driver. row_index counts from 1 after the header, in the order of the file. A file that can't be read is an error.
     """
-    lines = spark.read.option("multiLine", True).csv(path, header=False)
+    rows = readable(rows)
     if header is None:
-        header = [c or "" for c in lines.first()]
-        header[0] = header[0].removeprefix("﻿")
+        first = rows.where("row_index = 0").select("cells").first()
+        header = [c or "" for c in first.cells] if first else []
     places = header_map(header)
-    rows = csv_rows(spark.read.format("binaryFile").load(path)).where("row_index > 0")
     cell = lambda f: clean_whitespace(F.get("cells", F.lit(places[f]))) if f in places else F.lit("")
-    return rows.select("row_index", *[cell(f).alias(f) for f in HEADERS]).where("doctor_name <> '' or chemist_name <> ''")
+    return rows.where("row_index > 0").select("row_index", *[cell(f).alias(f) for f in HEADERS]).where("doctor_name <> '' or chemist_name <> ''")
+
+
+def pool_file(spark: SparkSession, path: str) -> DataFrame:
+    """The pool rows of one file, wherever Spark can read it."""
+    return pool_rows(sheet_rows(spark.read.format("binaryFile").load(path), active_only=True))
 
 
 def probe(rows: DataFrame) -> DataFrame:
-    """(path, rows): rows of all sheets of each file."""
-    return rows.groupBy("path").agg(F.count("*").alias("rows"))
+    """(path, sheets, rows): sheets of each file, and rows of all of them."""
+    return rows.groupBy("path").agg(F.count_distinct("sheet").alias("sheets"), F.count("*").alias("rows"))
 
 
 def as_text(rows: DataFrame) -> DataFrame:

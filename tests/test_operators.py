@@ -160,7 +160,7 @@ def test_ingest_twice_adds_nothing(spark):
 
 def test_sheets(spark, tmp_path):
     (tmp_path / "pool.csv").write_text("DR NAME,LOCATION,CHEMIST NAME,LOCATION,FSO NAME\nElm,North,Amber,South,One\n,,,,\nOak,,Birch,,Two\n")
-    rows = sheets.pool_rows(spark, str(tmp_path / "pool.csv")).orderBy("row_index").collect()
+    rows = sheets.pool_file(spark, str(tmp_path / "pool.csv")).orderBy("row_index").collect()
     assert [(r.row_index, r.doctor_name, r.doctor_location, r.chemist_location) for r in rows] == [(1, "Elm", "North", "South"), (3, "Oak", "", "")]
     (tmp_path / "a.xls").write_bytes(b"PK\x03\x04xxxx")
     (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4")
@@ -279,7 +279,7 @@ def test_workbooks_are_read_without_a_library(spark, tmp_path):
         z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="dd-mmm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></styleSheet>')
         z.writestr("xl/worksheets/s1.xml", f'<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>2.5</v></c></row><row r="3"><c r="B3" t="s"><v>1</v></c><c r="C3" s="1"><v>45292</v></c></row></sheetData></worksheet>')
         z.writestr("xl/worksheets/s2.xml", f'<worksheet {main}><sheetData><row><c t="inlineStr"><is><t>x, y</t></is></c><c t="b"><v>1</v></c></row></sheetData></worksheet>')
-    assert sheets.workbook(data.getvalue()) == [("Two", [["x, y", "True"]]), ("One", [["Name", "", "2.5"], ["", "", ""], ["", "AB", "2024-01-01 00:00:00"]])]
+    assert sheets.workbook(data.getvalue()) == [("Two", 0, [["x, y", "True"]]), ("One", 1, [["Name", "", "2.5"], ["", "", ""], ["", "AB", "2024-01-01 00:00:00"]])]
     (tmp_path / "book.csv").write_bytes(data.getvalue())
     (tmp_path / "plain.csv").write_text("a,b\n1,2\n")
     rows = sheets.extracted(sheets.walk(spark, str(tmp_path)))
