@@ -1,14 +1,20 @@
 """Writes as new tables: upserts, insert-or-ignore, soft deletes and replacements by joins.
 
 No table format is assumed. Each function gives the target's new state, to be written to another path and swapped in;
-none changes what it reads.
+none changes what it reads. `rewrite` applies one of them in place to those files of a large table that hold the keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from territory.storage import children, delete, filesystem, read_text, write_text
+
 
 def _one_each(source: DataFrame, keys: list[str]) -> DataFrame:
     """One row of each key: of several the least by its other columns, in their order."""
@@ -79,3 +85,39 @@ def keep_first(df: DataFrame, keys: list[str], *order: Column | str) -> DataFram
 def apply_allocations(target: DataFrame, add: DataFrame, remove: DataFrame, keys: list[str]) -> DataFrame:
     """Allocations after adding (or reactivating) and then removing."""
     return soft_delete(upsert(target, add, keys, ["is_active", "allocated_by"]), remove, keys)
+
+
+def rewrite(spark: SparkSession, path: str, source: DataFrame, keys: list[str], change: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+    """Apply change(rows, source) to a Parquet table in place, by files: only those that hold a key of the source are read and written anew.
+
+    `change` is one of the functions above, which gives the new state of the rows it gets: these have all rows of any of the source's
+    keys. Gives the number of files replaced. The new files are staged, and a plan of what to add and what to remove is written down before
+    anything changes: if the driver dies after that, `finish` ends it, and readers should call it first. The table has no partition folders.
+    """
+    finish(spark, path)
+    target = spark.read.parquet(path)
+    held = target.select(*keys, F.col("_metadata.file_path").alias("__file")).join(source.select(*keys).distinct(), keys, "left_semi")
+    old = sorted(r[0] for r in held.select("__file").distinct().collect())  # names of files
+    rows = spark.read.schema(target.schema).parquet(*old) if old else target.limit(0)
+    id = uuid.uuid4().hex
+    change(rows, source).select(*target.columns).write.parquet(f"{path}/_staged-{id}")
+    new = [x for x in children(spark, f"{path}/_staged-{id}") if x.startswith("part-")]
+    write_text(spark, f"{path}/_plan-{id}.json", json.dumps({"id": id, "add": new, "remove": [x.rsplit("/", 1)[-1] for x in old]}))
+    finish(spark, path)
+    return len(old)
+
+
+def finish(spark: SparkSession, path: str) -> None:
+    """Carry out the plans that a driver left; each step may have been done already. Staged files without a plan are dropped."""
+    names = children(spark, path)
+    for plan in (x for x in names if x.startswith("_plan-")):
+        todo = json.loads(read_text(spark, f"{path}/{plan}"))
+        for name in todo["add"]:
+            fs, staged = filesystem(spark, f"{path}/_staged-{todo['id']}/{name}")
+            if fs.exists(staged):
+                fs.rename(staged, filesystem(spark, f"{path}/{name}")[1])
+        for name in todo["remove"]:
+            delete(spark, f"{path}/{name}")
+        delete(spark, f"{path}/{plan}")
+    for left in (x for x in names if x.startswith("_staged-")):
+        delete(spark, f"{path}/{left}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from datetime import date
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from territory.functions import text as t
 from territory.functions import windows as w
 from territory.operators import dashboard as d
-from territory.operators import diagnostics, entity_ingest, entity_run, matching, merge
+from territory.operators import diagnostics, entity_ingest, entity_run, lookup, matching, merge
 from territory.operators import hierarchy as h
 from territory.operators import predicates as p
 from territory.operators import reports as r
@@ -271,9 +272,24 @@ query(
     lambda b: diagnostics.serving_headquarters(b.products, b.headquarters)
 )
 query("names_for_ids", f"+{ROWS_SQL} SELECT DISTINCT product_id AS id, label AS name FROM rows JOIN ({PRODUCT_SQL}) x ON x.id = product_id")(
-    lambda b: b.products.join(rows_in_scope(b).select(F.col("product_id").alias("id")), "id", "left_semi").select("id", "name")
+    lambda b: lookup.by_keys(b.products, rows_in_scope(b).select("product_id")).select("id", "name")
 )
 
+
+@query(
+    "lookup_by_key",
+    """WITH k AS (SELECT max(o_orderkey) AS last, min(o_custkey) AS customer FROM orders)
+    SELECT 'key' AS asked, o_orderkey, o_custkey FROM orders, k WHERE o_orderkey = last UNION ALL SELECT 'other column', o_orderkey, o_custkey FROM orders, k WHERE o_custkey = customer
+    UNION ALL SELECT 'many keys', o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7)""",
+)
+def lookup_by_key(b: Business) -> DataFrame:
+    """Orders by their key, by customer and by many keys, from a table sorted for it."""
+    orders = lookup.write_sorted(b.table("orders").select("o_orderkey", "o_custkey"), f"{Tables(b.spark).root}/orders", "o_orderkey", ["o_custkey"])
+    last, customer = orders.agg(F.max("o_orderkey"), F.min("o_custkey")).first()
+    found = {"key": lookup.by_key(orders, "o_orderkey", last), "other column": lookup.by_key(orders, "o_custkey", customer), "many keys": lookup.by_keys(orders, b.table("lineitem").where("l_linenumber = 7").select("l_orderkey"), "o_orderkey")}
+    return functools.reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("asked"), "o_orderkey", "o_custkey") for k, df in found.items()])
+
+
 # Allocations and diagnostics.
 VERDICT_SQL = (
     "+ c AS (SELECT s.medical_store_id, count(DISTINCT m.mr_id) AS n, min(m.mr_id) AS m FROM v_store_doctor s LEFT JOIN v_mr_doctor m ON m.doctor_id = s.doctor_id AND m.is_active GROUP BY 1) "
@@ -496,6 +512,18 @@ query(
     "upsert_alloc",
     f" SELECT coalesce(t.mr_id, s.mr_id) AS mr_id, coalesce(t.doctor_id, s.doctor_id) AS doctor_id, CASE WHEN s.mr_id IS NOT NULL THEN true ELSE is_active END AS is_active, CASE WHEN s.mr_id IS NOT NULL THEN 'new' ELSE allocated_by END AS allocated_by FROM {MD} t FULL JOIN {NEW} s ON t.mr_id = s.mr_id AND t.doctor_id = s.doctor_id",
 )(lambda b: merge.upsert(b.mr_doctors.withColumn("allocated_by", F.lit("old")), wanted(b).withColumns({"is_active": F.lit(True), "allocated_by": F.lit("new")}), ["mr_id", "doctor_id"], ["is_active", "allocated_by"]))
+
+
+@query("upsert_files", SQL["upsert_alloc"].removeprefix(SQL_PREFIX))
+def upsert_files(b: Business) -> DataFrame:
+    """The same in place, by files."""
+    path = f"{Tables(b.spark).root}/allocations"
+    b.mr_doctors.withColumn("allocated_by", F.lit("old")).repartitionByRange(8, "mr_id").write.parquet(path)
+    new = wanted(b).withColumns({"is_active": F.lit(True), "allocated_by": F.lit("new")})
+    merge.rewrite(b.spark, path, new, ["mr_id", "doctor_id"], lambda rows, source: merge.upsert(rows, source, ["mr_id", "doctor_id"], ["is_active", "allocated_by"]))
+    return b.spark.read.parquet(path)
+
+
 query("insert_ignore_links", f" SELECT * FROM {NEW} s WHERE NOT EXISTS (SELECT 1 FROM v_mr_doctor t WHERE t.mr_id = s.mr_id AND t.doctor_id = s.doctor_id)")(lambda b: merge.insert_ignore(b.mr_doctors, wanted(b), ["mr_id", "doctor_id"]))
 query("partial_unique_insert", f" SELECT * FROM {NEW} s WHERE NOT EXISTS (SELECT 1 FROM v_mr_doctor t WHERE t.mr_id = s.mr_id AND t.doctor_id = s.doctor_id AND is_active)")(lambda b: merge.insert_ignore(b.mr_doctors, wanted(b), ["mr_id", "doctor_id"], F.col("is_active")))
 query("soft_delete", f" SELECT t.mr_id, t.doctor_id, is_active AND s.mr_id IS NULL AS is_active FROM v_mr_doctor t LEFT JOIN {NEW} s ON t.mr_id = s.mr_id AND t.doctor_id = s.doctor_id")(lambda b: merge.soft_delete(b.mr_doctors, wanted(b), ["mr_id", "doctor_id"]))

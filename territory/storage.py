@@ -46,6 +46,26 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there whole or not at all."""
+    fs, at = filesystem(spark, path)
+    folder, name = path.rsplit("/", 1)
+    draft = filesystem(spark, f"{folder}/.{name}.tmp")[1]
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.rename(draft, at)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = filesystem(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 class Tables:
     """Tables under one folder. They go with drop(), at the end of a tables_scope(), or when the driver ends."""
 
