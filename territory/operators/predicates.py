@@ -34,19 +34,30 @@ def scoped(sales: DataFrame, mrs: DataFrame, predicate: Column) -> DataFrame:
     return sales.where(predicate).join(mrs, "mr_id", "left_semi")
 
 
+#: Where a sale notes the manager of the day of each role.
+MANAGERS = {h.ASM: "asm_id", h.RSM: "rsm_id", h.DEPUTY_RSM: "rsm_id", h.STATE_HEAD: "state_head_id"}
+
+
+def may_see(role: str | None, id: str, below: Column) -> Column:
+    """Whether a user may see a sale: admins any, reps their own, managers those that note them, or of their subtree (`below`) where none is noted."""
+    if role in h.EVERYTHING:
+        return F.lit(True)
+    if role == h.MR:
+        return F.col("mr_id") == id
+    if role not in MANAGERS:
+        return F.lit(False)
+    noted = F.col(MANAGERS[role])
+    return F.coalesce((noted == id) | (noted.isNull() & below), F.lit(False))
+
+
 def snapshot_scope(sales: DataFrame, users: DataFrame, caller: str) -> DataFrame:
     """Sales that a caller may list: by the manager written on the row, and where that is null by today's tree."""
     role = h.role_of(users, caller)
-    if role in h.EVERYTHING:
-        return sales
-    if role == h.MR:
-        return sales.where(F.col("mr_id") == caller)
-    column = {h.ASM: "asm_id", h.RSM: "rsm_id", h.DEPUTY_RSM: "rsm_id", h.STATE_HEAD: "state_head_id"}.get(role)
-    if column is None:
-        return sales.limit(0)
+    if role not in MANAGERS:
+        return sales.where(may_see(role, caller, F.lit(False)))
     below = h.subtree_mrs(users, caller).select(F.col("mr_id").alias("__mr"), F.lit(True).alias("__below"))
     live = sales.join(below, F.col("mr_id") == F.col("__mr"), "left")
-    return live.where((F.col(column) == caller) | (F.col(column).isNull() & F.coalesce("__below", F.lit(False)))).drop("__mr", "__below")
+    return live.where(may_see(role, caller, F.coalesce("__below", F.lit(False)))).drop("__mr", "__below")
 
 
 def search(df: DataFrame, q: str | None, *columns: str) -> DataFrame:
@@ -78,14 +89,10 @@ def sales_list(rows: DataFrame, number: int = 1, per_page: int = 20) -> tuple[Da
     return page(ordered, number, per_page), rows.agg(F.count("*").alias("total"))
 
 
-def may_see(sale: dict, user: dict, subtree: set[str]) -> bool:
-    """Whether a user may see one sale: admins any, reps their own, managers those with their id among the managers of the day, or of their subtree where none was noted."""
-    role, id = user["role"], user["id"]
-    if role in ("SUPER_ADMIN", "SALES_DIRECTOR"):
-        return True
-    if role == "MR":
-        return sale["mr_id"] == id
-    column = {"ASM": "asm_id", "RSM": "rsm_id", "DEPUTY_RSM": "rsm_id", "STATE_HEAD": "state_head_id"}.get(role)
-    if column is None:
-        return False
-    return sale.get(column) == id or sale.get(column) is None and sale["mr_id"] in subtree
+def envelope(listed: DataFrame, total: DataFrame, number: int, per_page: int) -> DataFrame:
+    """(json) of one row: a page of a list, and how many rows and pages there are."""
+    n = total.scalar()
+    pages = F.ceil(n / per_page).cast("long")
+    about = F.struct(F.lit(number).alias("page"), F.lit(per_page).alias("per_page"), n.alias("total"), pages.alias("total_pages"))
+    data = listed.agg(F.collect_list(F.struct(*listed.columns)).alias("data"))  # a page is bounded
+    return data.select(F.to_json(F.struct(F.lit(True).alias("success"), "data", F.lit("Operation successful").alias("message"), about.alias("pagination")), {"ignoreNullFields": "false"}).alias("json"))

@@ -48,8 +48,8 @@ def series(rows: DataFrame, bucket: str, qty_mode: str = "reference") -> DataFra
 def _shares(sums: DataFrame, name: str, qty: Column) -> DataFrame:
     """Shares of all rows; they have a row for each dimension value."""
     sums = sums.select(F.lit(name).alias("dimension"), "id", "label", money(F.col("r")).alias("revenue"), qty.alias("sale_qty"), money(F.col("r")).alias("r"), F.col("q").cast("double").alias("q"))
-    everything = Window.partitionBy()
-    share = lambda c: F.when(F.sum(c).over(everything) > 0, F.round(F.col(c) / F.sum(c).over(everything) * 100, 6)).otherwise(F.lit(0.0))
+    whole = {c: sums.agg(F.sum(c)).scalar() for c in ("r", "q")}  # one row, added up in parts, not a window of all rows
+    share = lambda c: F.when(whole[c] > 0, F.round(F.col(c) / whole[c] * 100, 6)).otherwise(F.lit(0.0))
     return sums.withColumns({"pct_revenue": share("r"), "pct_quantity": share("q")}).drop("r", "q").orderBy(F.desc("revenue"), "label", "id")
 
 

@@ -252,7 +252,7 @@ _SHOWN = {"sale_date": "%Y-%m-%d", "created_at": "%Y-%m-%d %H:%M:%S", "updated_a
 def sales_page(b: Business) -> DataFrame:
     page, total = p.sales_list(b.sales.where("is_active and asm_id = 'AS-3-1'"), 2, 50)
     texts = {c: F.date_format(c, "yyyy-MM-dd" if c == "sale_date" else "yyyy-MM-dd HH:mm:ss") for c in _SHOWN}
-    return page.withColumns({**texts, "total": F.lit(total.first().total)})
+    return page.withColumns({**texts, "total": total.scalar()})
 
 
 query("daily_cap", " SELECT mr_id, strftime(sale_date, '%Y-%m-%d') AS sale_date, count(*) AS n, count(*) >= 100 AS over_cap FROM v_sales WHERE is_active GROUP BY mr_id, sale_date")(lambda b: imp.daily_counts(b.sales))

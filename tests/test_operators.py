@@ -1,6 +1,7 @@
 """Hierarchies, windows, names, imports and ingestion on small invented tables."""
 
 import difflib
+import json
 import random
 import re
 from datetime import date
@@ -253,12 +254,22 @@ def test_quantities_and_blanks(spark):
     assert sorted(r.row_index for r in imp.dedupe(spark.createDataFrame(rows, schema)).collect()) == [0, 2, 3]
 
 
-def test_one_sale_may_be_seen():
-    sale = {"mr_id": "m", "asm_id": "a", "rsm_id": None, "state_head_id": "s"}
-    user = lambda role, id: {"role": role, "id": id}
-    assert predicates.may_see(sale, user("SUPER_ADMIN", "x"), set()) and predicates.may_see(sale, user("MR", "m"), set()) and predicates.may_see(sale, user("ASM", "a"), set())
-    assert predicates.may_see(sale, user("RSM", "r"), {"m"}) and not predicates.may_see(sale, user("RSM", "r"), set())
-    assert not predicates.may_see(sale, user("MR", "n"), {"m"}) and not predicates.may_see(sale, user("ASM", "b"), {"m"}) and not predicates.may_see(sale, user("?", "m"), {"m"})
+def test_one_sale_may_be_seen(spark):
+    sale = spark.createDataFrame([("m", "a", None, "s")], "mr_id string, asm_id string, rsm_id string, state_head_id string")
+    see = lambda role, id, below=False: sale.where(predicates.may_see(role, id, F.lit(below))).count() == 1
+    assert see("SUPER_ADMIN", "x") and see("SALES_DIRECTOR", "x") and see("MR", "m") and see("ASM", "a") and see("STATE_HEAD", "s")
+    assert see("RSM", "r", True) and see("DEPUTY_RSM", "r", True) and not see("RSM", "r")
+    assert not see("MR", "n", True) and not see("ASM", "b", True) and not see("?", "m", True) and not see(None, "m", True)
+
+
+def test_pages_and_their_envelope(spark):
+    rows = spark.range(5).select("id", F.when(F.col("id") > 3, "x").alias("name")).orderBy("id")
+    total = rows.agg(F.count("*").alias("total"))
+    got = json.loads(predicates.envelope(predicates.page(rows, 3, 2), total, 3, 2).first().json)
+    assert got == {"success": True, "data": [{"id": 4, "name": "x"}], "message": "Operation successful", "pagination": {"page": 3, "per_page": 2, "total": 5, "total_pages": 3}}
+    none = rows.limit(0)
+    got = json.loads(predicates.envelope(none, none.agg(F.count("*").alias("total")), 1, 2).first().json)
+    assert got["data"] == [] and got["pagination"]["total_pages"] == 0
 
 
 def test_repeated_keys_of_a_source(spark):
