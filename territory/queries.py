@@ -17,6 +17,7 @@ from territory.operators import hierarchy as h
 from territory.operators import predicates as p
 from territory.operators import reports as r
 from territory.operators import sales_import as imp
+from territory.operators import search as searching
 from territory.plans.fixtures import SQL_PREFIX, Business
 from territory.sources.sheets import HEADERS
 from territory.storage import Tables
@@ -259,6 +260,18 @@ query("daily_cap", " SELECT mr_id, strftime(sale_date, '%Y-%m-%d') AS sale_date,
 query("search_ilike", "WITH x AS (SELECT p_partkey::VARCHAR AS id, p_name AS name FROM part WHERE p_name ILIKE '%1%' OR p_brand ILIKE '%1%') SELECT * FROM x ORDER BY name, id LIMIT 20 OFFSET 20")(
     lambda b: p.page(p.search(b.products, " 1 ", "name", "division_id").orderBy("name", "id"), 2, 20).select("id", "name")
 )
+
+
+@query("search_indexed", "WITH x AS (SELECT p_partkey::VARCHAR AS id, p_name AS name, p_brand FROM part) SELECT 'name' AS asked, id, name FROM x WHERE name ILIKE '%art 1_%' OR p_brand ILIKE '%art 1_%' UNION ALL SELECT 'brand', id, name FROM x WHERE name ILIKE '%AND#1%' OR p_brand ILIKE '%AND#1%'")
+def search_indexed(b: Business) -> DataFrame:
+    """Substring search over runs of three characters."""
+    path = Tables(b.spark).root
+    table = lookup.write_sorted(b.products.select("id", "name", "division_id"), f"{path}/products", "id")
+    postings = searching.write_postings(table, f"{path}/postings", "name", "division_id")
+    found = {"name": "art 1_", "brand": "AND#1"}
+    return functools.reduce(DataFrame.unionByName, [searching.search_indexed(table, postings, q, "name", "division_id").select(F.lit(k).alias("asked"), "id", "name") for k, q in found.items()])
+
+
 query("doctors_for_mr", f" SELECT id, label AS full_name FROM ({DOCTOR_SQL}) WHERE id IN (SELECT doctor_id FROM v_mr_doctor WHERE mr_id = 'MR-10' AND is_active)")(
     lambda b: b.doctors.join(b.mr_doctors.where("is_active and mr_id = 'MR-10'").select(F.col("doctor_id").alias("id")), "id", "left_semi").select("id", "full_name")
 )
@@ -366,6 +379,15 @@ query(
         )
     ).select("l_orderkey", "l_linenumber", "sale_qty", "product_name_raw")
 )
+query(
+    "structured_rows",
+    "WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem) SELECT l_orderkey, l_linenumber, l_quantity AS sale_qty, CASE WHEN l_linenumber % 2 = 0 THEN 'B' || l_orderkey END AS bill_ref, NULL::VARCHAR AS other FROM x",
+)(
+    lambda b: imp.unstructured(
+        imp.structured(b.table("lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("sale_qty"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("B"), F.col("l_orderkey").cast("string"))).alias("bill_ref")), "l_orderkey", "l_linenumber"),
+        "sale_qty double, bill_ref string, other string", "l_orderkey", "l_linenumber",
+    )
+)
 query("report_month_fill", RAW_SQL + ", f AS (SELECT bill_ref, l_linenumber % 3 AS k FROM raw GROUP BY ALL) SELECT bill_ref, k, CASE k WHEN 0 THEN '2026-03' WHEN 1 THEN '2026-01' END AS month FROM f")(
     lambda b: raw_rows(b).select("bill_ref", (F.col("l_linenumber") % 3).alias("k")).distinct().select("bill_ref", "k", t.report_month(F.when(F.col("k") == 0, "2026-3"), F.when(F.col("k") == 1, "sales JAN-26.pdf").otherwise("JAN_26.pdf")).alias("month"))
 )
