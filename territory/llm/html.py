@@ -50,13 +50,20 @@ ASIDE_ROLE = frozenset("navigation banner contentinfo complementary search form
 _WORDS = r"(?:^|[\s_-])(?:{})(?=$|[\s_-])"
 _ASIDE_CLASS = re.compile(
     _WORDS.format(
-        r"ads?|advert\w*|adbox|notices?|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|header|masthead|topbar|toolbar"
-        r"|comments?|commentlist|replies|respond|responses?|disqus|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|recommendations|pagination|pager|skip"
+        r"ads?|advert\w*|adbox|sponsor\w*|promos?|cookies?|gdpr|popup|nav|navs|navbar|navigation|menu\w*|breadcrumbs?|sidebar|footer|header|masthead|topbar|toolbar"
+        r"|comments?|commentlist|disqus|newsletter|subscribe|signup|login|pagination|pager"
     ),
     re.I,
 )
 _HINT_CLASS = re.compile(r"^side$|(?:^|[\s_-])(?:alert|widgets?|reply|discussion|follow|search|tags|meta|byline)$", re.I)
-_COMMENT_CLASS = re.compile(_WORDS.format(r"comments?|commentlist|replies|reply|respond|responses?|disqus"), re.I)
+_COMMENT_CLASS = re.compile(_WORDS.format(r"comments?|commentlist|disqus"), re.I)
+#: Words that mean it alone or beside words for parts of a page, as in share-buttons, but not beside others, as in market-share.
+_DOUBTFUL = frozenset("notice notices banner consent modal overlay share sharing social related recommended recommendations skip promotion promotions".split())
+_DOUBTFUL_COMMENTS = frozenset("replies reply respond response responses".split())
+_PAGE_PARTS = frozenset(
+    "area article articles bar block blocks body bottom box boxes btn btns button buttons card cards col column container content contents count feed form group heading icon icons inner item items left link links list lists main"
+    " media menu message module msg network networks news outer page pages panel post posts product products right row section side site slot stories story strip text title to tool tools top topics unit video videos widget widgets wrap wrapper".split()
+)
 _CONTAINER_CLASS = re.compile(r"(?:with|without|has|no|is|layout)[-_]|.*-(?:with|has|no|free)(?:-|$)", re.I)
 
 _VALUE = r"""(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?+"""
@@ -69,7 +76,13 @@ _MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<
 def _class_says(value: str) -> tuple[bool, bool, bool]:
     """Whether a class or id means, or hints at, what isn't article text, or means comments; "has-sidebar" and the like name a container."""
     words = [w for w in value.split() if not _CONTAINER_CLASS.match(w)]
-    return tuple(any(x.search(w) for w in words) for x in (_ASIDE_CLASS, _HINT_CLASS, _COMMENT_CLASS))
+    means, hints, comments = (any(x.search(w) for w in words) for x in (_ASIDE_CLASS, _HINT_CLASS, _COMMENT_CLASS))
+    for word in words:
+        parts = set(re.split("[_-]+", word.lower())) - {""}
+        if all(p in _DOUBTFUL or p in _DOUBTFUL_COMMENTS or p in _PAGE_PARTS or len(p) <= 2 or p.isdigit() or _ASIDE_CLASS.search(p) for p in parts):
+            comments |= not parts.isdisjoint(_DOUBTFUL_COMMENTS)
+            means |= not parts.isdisjoint(_DOUBTFUL | _DOUBTFUL_COMMENTS)
+    return means, hints, comments
 
 
 class Node:

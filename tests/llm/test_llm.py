@@ -195,6 +195,31 @@ def test_wrapper_needs_no_names(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("name,is_text", [
+    ("related-work", True), ("market-share", True), ("immune-response", True), ("social-policy", True), ("notice-period", True), ("consent_forms-history", True), ("navy-blue", True), ("recommended-dose", True),
+    ("related", False), ("related-posts", False), ("share-buttons", False), ("social_links-2", False), ("c-responses", False), ("cookie-notice", False), ("site-nav", False), ("ad-slot", False), ("main related-box", False), ("share-menu", False),
+])
+def test_doubtful_class_words_count_beside_parts_of_a_page(spark, name, is_text):
+    body = f"<article><h1>T</h1><p>start</p><section class='{name}'><p>inner</p></section></article>"
+    assert html.extract(body) == ("T start inner" if is_text else "T start")
+
+
+def test_articles_of_a_host_with_misleading_classes(spark):
+    """Most of the article lies in sections whose classes sound like something else."""
+    names = ["related-work", "market-share", "immune-response", "social-policy"]
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    rows, want = [], {}
+    for i in range(160):
+        title, first, rest = text(4), text(12), [text(40) for _ in range(3)]
+        links = "".join(f"<li><a href='/{k}'>{text(2)}</a>" for k in range(5))
+        body = f"<nav><ul>{links}</ul></nav><article><h1>{title}</h1><p>{first}</p><section class='{names[i % 4]}'>{''.join(f'<p>{p}</p>' for p in rest)}</section><div class='related-posts'><ul>{links}</ul></div></article>"
+        rows.append((i, f"https://h{i % 4}.example/{i}", f"<html><body>{body}</body></html>"))
+        want[i] = " ".join([title, first, *rest])
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def slow_matching(a, b):
     """Simple tree matching by its recurrence, over runs."""
 
