@@ -241,6 +241,17 @@ query(
 )(
     lambda b: p.snapshot_scope(b.sales.where(p.sales_predicate(START, END)), b.users, "AS-3-1").select(F.date_format("sale_date", "yyyy-MM-dd").alias("sale_date"), "mr_id", "product_id", "medical_store_id", F.col("sale_qty").cast("double").alias("sale_qty"), F.col("total_amount").cast("double").alias("total_amount"))
 )
+#: A caller of each role, and what SQL says of the sales that it may list.
+CALLERS = {"SD": "true", "SH-1": "state_head_id = 'SH-1'", "RS-3": "rsm_id = 'RS-3'", "AS-3-1": "asm_id = 'AS-3-1' OR (asm_id IS NULL AND mr_id IN (SELECT id FROM below WHERE root_id = 'AS-3-1' AND role = 'MR'))", "MR-1": "mr_id = 'MR-1'", "nobody": "false"}
+
+
+@query("sales_scope_roles", " " + " UNION ALL ".join(f"SELECT '{c}' AS caller, count(*) AS n, coalesce(sum(total_amount), 0)::DOUBLE AS total_amount FROM v_sales WHERE {sql}" for c, sql in CALLERS.items()))
+def sales_scope_roles(b: Business) -> DataFrame:
+    """How many sales a caller of each role may list."""
+    seen = [p.snapshot_scope(b.sales, b.users, c).agg(F.lit(c).alias("caller"), F.count("*").alias("n"), F.coalesce(F.sum("total_amount"), F.lit(0)).cast("double").alias("total_amount")) for c in CALLERS]
+    return functools.reduce(DataFrame.unionByName, seen).select("caller", "n", "total_amount")
+
+
 _SHOWN = {"sale_date": "%Y-%m-%d", "created_at": "%Y-%m-%d %H:%M:%S", "updated_at": "%Y-%m-%d %H:%M:%S"}
 
 
@@ -445,6 +456,17 @@ def odd_names(b: Business) -> DataFrame:
     return b.table("customer").select("c_custkey", F.when(k == 0, F.lower("c_name")).when(k == 1, F.replace("c_name", F.lit("#"), F.lit(" - "))).otherwise(F.concat("c_name", F.lit(", CITY"))).alias("raw"))
 
 
+query(
+    "alias_lookup",
+    """WITH x AS (SELECT c_custkey AS k, c_name AS n FROM customer), s AS (SELECT k::VARCHAR AS id, unnest([n, 'Old ' || (k % 100)]) AS n FROM x WHERE k % 2 = 0),
+    q AS (SELECT CASE k % 3 WHEN 0 THEN replace(n, '#', ' -- ') WHEN 1 THEN 'OLD/' || (k % 100) ELSE n END AS raw FROM x), f AS (SELECT raw, trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) AS m FROM q),
+    g AS (SELECT trim(regexp_replace(lower(n), '[^a-z0-9]+', ' ', 'g')) AS m, min(id) AS id FROM s GROUP BY 1) SELECT min(raw) AS input_name, m AS normalized_name, min(id) AS medical_store_id FROM f LEFT JOIN g USING (m) GROUP BY 2""",
+)(
+    lambda b: matching.alias_lookup(
+        b.table("customer").select(F.when(F.col("c_custkey") % 3 == 0, F.replace("c_name", F.lit("#"), F.lit(" -- "))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("OLD/"), (F.col("c_custkey") % 100).cast("string"))).otherwise(F.col("c_name")).alias("raw")),
+        b.stores.where("cast(id as int) % 2 = 0").withColumn("alternate_names", F.array(F.concat(F.lit("Old "), (F.col("id").cast("int") % 100).cast("string")))),
+    )
+)
 query("match_fuzzy")(lambda b: matching.match_names(typos(b).select("raw"), matching.candidates(b.products)))
 
 
