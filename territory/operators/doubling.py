@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from territory.storage import Tables
@@ -34,23 +34,23 @@ def fold(nodes: DataFrame, combine: dict[str, Callable[[Callable[[str], Column],
     Rows where `keep` is false, after a round, are dropped: they must have nothing that others need. Rows
     whose pointers can't end, as they run into a cycle, raise CycleError, or stay as they are with cycles="stop".
     """
-    tables = Tables(nodes.sparkSession)
-    state, seen = tables.observed(nodes, "nodes", n=F.count(F.lit(1)), pointing=F.count("up"))
-    n, pointing = seen["n"], seen["pointing"]
-    columns, reach = [c for c in nodes.columns if c not in ("id", "up")], 1
+    tables, state, n, reach = Tables(nodes.sparkSession), nodes, None, 1
+    columns = [c for c in nodes.columns if c not in ("id", "up")]
     above_columns = [F.col(c).alias(f"__{c}") for c in ["id", "up", *columns]]
     own, above = F.col, lambda c: F.col(f"__{c}")
-    while pointing:
+    while True:
+        met = state.join(state.select(*above_columns), F.col("up") == F.col("__id"), "left")
+        up = combine["up"](own, above) if "up" in combine else above("up")
+        counted = Observation()
+        met = met.select("id", up.alias("up"), *[combine[c](own, above).alias(c) if c in combine else F.col(c) for c in columns]).observe(counted, F.count(F.lit(1)).alias("n"))
+        state, seen = tables.observed(met if keep is None else met.where(keep), "nodes", pointing=F.count("up"))
+        n, reach = counted.get["n"] if n is None else n, reach * 2
+        if not seen["pointing"]:
+            return state
         if reach > n:
             if cycles == "stop":
-                break
+                return state
             raise CycleError([r.up for r in state.where("up is not null").select("up").distinct().orderBy("up").limit(NAMED).collect()])
-        met = state.join(state.select(*above_columns), F.col("up") == F.col("__id"), "left")
-        up = combine["up"](own, above) if "up" in combine else above("up")
-        state = met.select("id", up.alias("up"), *[combine[c](own, above).alias(c) if c in combine else F.col(c) for c in columns])
-        state, seen = tables.observed(state if keep is None else state.where(keep), "nodes", pointing=F.count("up"))
-        pointing, reach = seen["pointing"], reach * 2
-    return state
 
 
 def pairs(nodes: DataFrame) -> DataFrame:
