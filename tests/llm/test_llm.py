@@ -731,4 +731,4 @@ def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
             n = r["score"].split()[1]
             assert r[5:] == tuple(f"{c} {n}" for c in names), name
     kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert {0, 2, 4, 20, 21} <= kept and not kept & {22, 23, 24}
+    assert {0, 2, 4, 20} <= kept and not kept & {21, 22, 23, 24}  # 21 and 24 are near copies
