@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from territory.functions import text as t
 from territory.functions import windows as w
 from territory.operators import dashboard as d
-from territory.operators import diagnostics, entity_ingest, entity_run, lookup, matching, merge
+from territory.operators import diagnostics, entity_ingest, entity_run, import_jobs, lookup, matching, merge
 from territory.operators import hierarchy as h
 from territory.operators import predicates as p
 from territory.operators import reports as r
@@ -439,6 +439,37 @@ query(
 query("error_histogram", ERRORS_SQL + " SELECT field, count(*) AS n FROM e WHERE field IS NOT NULL GROUP BY 1")(lambda b: imp.error_histogram(checked(b)))
 
 
+@query(
+    "import_commit",
+    """WITH p AS (SELECT upper(p_name) AS u, min(p_partkey::VARCHAR) AS id FROM part GROUP BY 1), q AS (SELECT u, p_retailprice::DECIMAL(10,2) AS ptr FROM p JOIN part ON p_partkey::VARCHAR = id),
+    m AS (SELECT s_name AS n, min('MR-' || s_suppkey) AS mr FROM supplier WHERE s_acctbal > 0 GROUP BY 1),
+    x AS (SELECT year(l_shipdate) AS year, month(l_shipdate) AS month, (l_quantity / 4)::DECIMAL(12,2) AS qty, ptr, mr FROM lineitem JOIN part a ON a.p_partkey = l_partkey JOIN q ON u = upper(a.p_name) JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN m ON n = s_name)
+    SELECT year::INTEGER AS year, month::INTEGER AS month, count(*) AS n, count(DISTINCT mr) AS reps, sum(qty)::DOUBLE AS sale_qty, sum((qty * ptr)::DECIMAL(12,2))::DOUBLE AS total_amount FROM x WHERE mr IS NOT NULL GROUP BY 1, 2
+    UNION ALL SELECT NULL, NULL, count(*), 0, NULL, NULL FROM x WHERE mr IS NULL""",
+)
+def import_commit(b: Business) -> DataFrame:
+    """All lines as a file: uploaded, reviewed, committed twice with the rows without a rep skipped; the facts by month, and how many were skipped."""
+    lines = b.table("lineitem").join(b.table("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).join(b.table("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = lines.join(b.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(b.table("customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    values = {
+        "product_name_raw": F.lower("p_name"), "sale_date": F.date_format("l_shipdate", "d/M/yyyy"), "sale_qty": (F.col("l_quantity") / 4).cast("string"), "customer_name_raw": F.col("c_name"), "mr_name_raw": F.col("s_name"),
+        "bill_ref": F.concat_ws("-", "l_orderkey", "l_linenumber"),
+    }
+    parsed = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_index"), *[values.get(f, F.lit(None).cast("string")).alias(f) for f in imp.FIELDS])
+    master = import_jobs.MasterData(
+        b.products.withColumns({"mrp": F.col("ptr"), "pack_size": F.lit("10s")}), b.stores, b.doctors.withColumn("headquarter_id", F.lit(None).cast("string")), b.users, b.headquarters.select("id", "state_id"),
+        b.store_doctors, b.mr_doctors.limit(0), ids_are_uuids=False,
+    )
+    jobs = import_jobs.ImportJobs(b.spark, f"{Tables(b.spark).root}/jobs")
+    job = jobs.create("lines.csv", "none", "me", 1)
+    jobs.process(job, lambda: parsed, master)
+    skipping = jobs.rows(job).withColumn("skip", F.col("mr_id").isNull())
+    for _ in range(2):
+        done = jobs.commit(job, master, skipping)
+    months = jobs.facts().groupBy("year", "month").agg(F.count("*").alias("n"), F.count_distinct("mr_id").alias("reps"), F.sum("sale_qty").cast("double").alias("sale_qty"), F.sum("total_amount").cast("double").alias("total_amount"))
+    return months.unionByName(b.spark.createDataFrame([(None, None, done.skipped_count, 0, None, None)], months.schema))
+
+
 # Names.
 query(
     "match_exact_norm_token",
