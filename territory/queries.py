@@ -445,10 +445,10 @@ query("error_histogram", ERRORS_SQL + " SELECT field, count(*) AS n FROM e WHERE
     m AS (SELECT s_name AS n, min('MR-' || s_suppkey) AS mr FROM supplier WHERE s_acctbal > 0 GROUP BY 1),
     x AS (SELECT year(l_shipdate) AS year, month(l_shipdate) AS month, (l_quantity / 4)::DECIMAL(12,2) AS qty, ptr, mr FROM lineitem JOIN part a ON a.p_partkey = l_partkey JOIN q ON u = upper(a.p_name) JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN m ON n = s_name)
     SELECT year::INTEGER AS year, month::INTEGER AS month, count(*) AS n, count(DISTINCT mr) AS reps, sum(qty)::DOUBLE AS sale_qty, sum((qty * ptr)::DECIMAL(12,2))::DOUBLE AS total_amount FROM x WHERE mr IS NOT NULL GROUP BY 1, 2
-    UNION ALL SELECT NULL, NULL, count(*), 0, NULL, NULL FROM x WHERE mr IS NULL""",
+    UNION ALL SELECT 0, 0, count(*), 0, 0, 0 FROM x WHERE mr IS NULL""",
 )
 def import_commit(b: Business) -> DataFrame:
-    """All lines as a file: uploaded, reviewed, committed twice with the rows without a rep skipped; the facts by month, and how many were skipped."""
+    """All lines as a file: uploaded, reviewed, committed twice with the rows without a rep skipped; the facts by month, and as month 0 how many were skipped."""
     lines = b.table("lineitem").join(b.table("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).join(b.table("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     lines = lines.join(b.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(b.table("customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     values = {
@@ -467,7 +467,7 @@ def import_commit(b: Business) -> DataFrame:
     for _ in range(2):
         done = jobs.commit(job, master, skipping)
     months = jobs.facts().groupBy("year", "month").agg(F.count("*").alias("n"), F.count_distinct("mr_id").alias("reps"), F.sum("sale_qty").cast("double").alias("sale_qty"), F.sum("total_amount").cast("double").alias("total_amount"))
-    return months.unionByName(b.spark.createDataFrame([(None, None, done.skipped_count, 0, None, None)], months.schema))
+    return months.unionByName(b.spark.createDataFrame([(0, 0, done.skipped_count, 0, 0.0, 0.0)], months.schema))
 
 
 # Names.
