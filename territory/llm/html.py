@@ -10,7 +10,9 @@ the like go anyway; class names that only hint at that count where the slot does
 from __future__ import annotations
 
 import functools
+import hashlib
 import html as entities
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -29,6 +31,8 @@ MOST_LINKS, MAIN_SHARE = 0.5, 0.75
 HINTED_SHARE = 0.15
 #: Nested elements beyond this depth become siblings; pairs of runs that an alignment compares before it takes the first that fits.
 DEEPEST, PAIRS = 200, 200_000
+#: Characters of a tag's attributes up to which what they say is remembered.
+LONG_ATTRIBUTES = 256
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -88,18 +92,27 @@ def _class_says(value: str) -> tuple[bool, bool, bool]:
 class Node:
     """An element: its tag, whether it isn't article text or may not be, and its children, of which text is in strings."""
 
-    __slots__ = ("tag", "aside", "hinted", "children", "key")
+    __slots__ = ("tag", "aside", "hinted", "children", "key", "runs")
 
-    def __init__(self, tag: str, aside: bool) -> None:
-        self.tag, self.aside, self.hinted, self.children, self.key = tag, aside, False, [], tag
+    def __init__(self, tag: str, aside: bool, hinted: bool = False, key: str | None = None) -> None:
+        self.tag, self.aside, self.hinted, self.children, self.key = tag, aside, hinted, [], key or tag
+        self.runs: list[tuple[str, list[Node]]] | None = None  #: of a whole tree, once they are asked for
 
 
 def _element(tag: str, attributes: str, stack: list[Node]) -> Node:
+    whole = tag in ("html", "body", "main") or tag == "article" and not any(n.tag == "article" for n in stack)
+    if not attributes:
+        return Node(tag, tag in ASIDE)
+    return Node(tag, *(_attributes_say if len(attributes) <= LONG_ATTRIBUTES else _attributes_say.__wrapped__)(tag, attributes, whole))
+
+
+@functools.lru_cache(4096)
+def _attributes_say(tag: str, attributes: str, whole: bool) -> tuple[bool, bool, str]:
+    """Whether an element isn't article text or may not be, and its key; `whole` elements hold the page's text."""
     node = Node(tag, tag in ASIDE)
     found: dict[str, str] = {}
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         found.setdefault(name.lower(), a or b or c)
-    whole = tag in ("html", "body", "main") or tag == "article" and not any(n.tag == "article" for n in stack)
     for name in ("class", "id"):
         if value := found.get(name):
             means, hints, comments = _class_says(entities.unescape(value))
@@ -108,7 +121,7 @@ def _element(tag: str, attributes: str, stack: list[Node]) -> Node:
     if value := found.get("class"):
         node.key += f".{value}"
     node.aside |= "hidden" in found or found.get("role", "").lower() in ASIDE_ROLE or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    return node
+    return node.aside, node.hinted, node.key
 
 
 def parse(html: str) -> Node:
@@ -165,24 +178,30 @@ def _alike(a: Node, b: Node) -> bool:
     """Whether neighbours are items of one list: the same kind, with mostly the same kinds of blocks inside."""
     if a.key != b.key:
         return False
+    if not a.children or not b.children:
+        return not _blocks(a) and not _blocks(b)
     x, y = ({c.key for c in _blocks(n)} for n in (a, b))
     return x == y or 2 * len(x & y) > len(x | y)
 
 
 def _elements(node: Node) -> list[tuple[str, list[Node]]]:
     """Child elements, neighbours that are alike in one run: a list of many items aligns as one slot."""
-    runs: list[tuple[str, list[Node]]] = []
-    for child in _blocks(node):
-        if runs and _alike(runs[-1][1][-1], child):
-            runs[-1][1].append(child)
-        else:
-            runs.append((child.key, [child]))
-    return runs
+    if node.runs is None:
+        runs: list[tuple[str, list[Node]]] = []
+        for child in _blocks(node):
+            if runs and _alike(runs[-1][1][-1], child):
+                runs[-1][1].append(child)
+            else:
+                runs.append((child.key, [child]))
+        node.runs = runs
+    return node.runs
 
 
-def _aligned(left: list, right: list, left_pairs: list[int]) -> list[tuple[int, int, int]]:
-    """Runs that align in order, with the nodes that each pair aligns: the most nodes, while `left_pairs` of comparisons are left; then the first that fit."""
+def _aligned(left: list, right: list, left_pairs: list[int]) -> list[tuple[int, int, tuple]]:
+    """Runs that align in order, each with the alignment inside: the most nodes, while `left_pairs` of comparisons are left; then the first that fit."""
     m, n = len(left), len(right)
+    if not m or not n:
+        return []
     if m * n > left_pairs[0]:
         places: dict[str, list[int]] = {}
         for j, (key, _) in enumerate(right):
@@ -191,22 +210,25 @@ def _aligned(left: list, right: list, left_pairs: list[int]) -> list[tuple[int,
         for i, (key, nodes) in enumerate(left):
             own = places.get(key, [])
             if (k := bisect_left(own, at)) < len(own):
-                out.append((i, own[k], match(nodes, right[own[k]][1], left_pairs=left_pairs)))
+                out.append((i, own[k], _alignment(nodes, right[own[k]][1], left_pairs)))
                 at = own[k] + 1
         return out
     left_pairs[0] -= m * n
+    keys = [key for key, _ in left]
+    if m == n and len(set(keys)) == m and keys == [key for key, _ in right]:  # each fits its own only, in order
+        return [(i, i, _alignment(left[i][1], right[i][1], left_pairs)) for i in range(m)]
     best = [[0] * (n + 1) for _ in range(m + 1)]
-    size = {}
+    inside = {}
     for i in range(1, m + 1):
         for j in range(1, n + 1):
             best[i][j] = max(best[i - 1][j], best[i][j - 1])
-            if left[i - 1][0] == right[j - 1][0]:
-                size[i, j] = match(left[i - 1][1], right[j - 1][1], left_pairs=left_pairs)
-                best[i][j] = max(best[i][j], best[i - 1][j - 1] + size[i, j])
+            if keys[i - 1] == right[j - 1][0]:
+                inside[i, j] = _alignment(left[i - 1][1], right[j - 1][1], left_pairs)
+                best[i][j] = max(best[i][j], best[i - 1][j - 1] + inside[i, j][0])
     out, i, j = [], m, n
     while i and j:
-        if (i, j) in size and best[i][j] == best[i - 1][j - 1] + size[i, j]:
-            out.append((i - 1, j - 1, size[i, j]))
+        if (i, j) in inside and best[i][j] == best[i - 1][j - 1] + inside[i, j][0]:
+            out.append((i - 1, j - 1, inside[i, j]))
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
@@ -215,23 +237,29 @@ def _aligned(left: list, right: list, left_pairs: list[int]) -> list[tuple[int,
     return out[::-1]
 
 
-def match(a: list[Node], b: list[Node], pairs: list | None = None, path: str = "", left_pairs: list[int] | None = None) -> int:
-    """Simple tree matching of two runs of alike elements: the most nodes that align in order.
-
-    With `pairs`, also the alignment: (path in a, nodes of a, nodes of b).
-    """
-    left_pairs = [PAIRS] if left_pairs is None else left_pairs
+def _alignment(a: list[Node], b: list[Node], left_pairs: list[int]) -> tuple:
+    """Simple tree matching of two runs of alike elements: the most nodes that align in order, and which, (number in a, nodes of a, nodes of b, alignment inside)."""
     left = [r for node in a for r in _elements(node)]
     right = [r for node in b for r in _elements(node)]
     if len(a) > 1 or len(b) > 1:  # items of a run share one shape
         left, right = _merged(left), _merged(right)
-    found = _aligned(left, right, left_pairs)
+    found = [(i, left[i][1], right[j][1], inside) for i, j, inside in _aligned(left, right, left_pairs)]
+    return 1 + sum(inside[0] for *_, inside in found), found
+
+
+def _paths(alignment: tuple, path: str, pairs: list) -> None:
+    for i, one, other, inside in alignment[1]:
+        here = f"{path}/{i}"
+        pairs.append((here, one, other))
+        _paths(inside, here, pairs)
+
+
+def match(a: list[Node], b: list[Node], pairs: list | None = None, path: str = "", left_pairs: list[int] | None = None) -> int:
+    """The most nodes of two runs of alike elements that align in order; with `pairs`, also the alignment: (path in a, nodes of a, nodes of b)."""
+    found = _alignment(a, b, [PAIRS] if left_pairs is None else left_pairs)
     if pairs is not None:
-        for i, j, _ in found:
-            here = f"{path}/{i}"
-            pairs.append((here, left[i][1], right[j][1]))
-            match(left[i][1], right[j][1], pairs, here, left_pairs)
-    return 1 + sum(size for _, _, size in found)
+        _paths(found, path, pairs)
+    return found[0]
 
 
 def _merged(runs: list[tuple[str, list[Node]]]) -> list[tuple[str, list[Node]]]:
@@ -245,6 +273,11 @@ def clean(parts: list[str]) -> str:
     return " ".join(entities.unescape("".join(parts)).split())
 
 
+def digest(text: str) -> str:
+    """What is shuffled and kept of a slot's text: 128 bits, as hexadecimal digits."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def own_text(node: Node) -> str:
     """The text of an element and its inline elements, outside of blocks."""
     parts: list[str] = []
@@ -297,7 +330,7 @@ class Wrapper:
     """What a layout's slots are: template texts, slots that aren't article text, and the element that holds the article."""
 
     def __init__(self, pages: int, rows: list[dict], reference: Node) -> None:
-        """rows: path, text, pages that have it there, its characters and those in links, of each text of a slot."""
+        """rows: path, text's digest, pages that have it there, its characters and those in links, of each text of a slot."""
         need = max(LEAST_PAGES, pages * LEAST_SHARE)
         self.template = {(r["path"], r["text"]) for r in rows if r["pages"] >= need}
         own: dict[str, list[int]] = {}
@@ -354,7 +387,7 @@ class Wrapper:
                     gone.add(id(node))
                 if path in self.keep:
                     node.hinted = False
-                if (path, own_text(node)) in self.template:
+                if (path, digest(own_text(node))) in self.template:
                     texts.add(id(node))
         return texts, gone, main
 
@@ -416,16 +449,16 @@ def _reference(html: str) -> Node:
 
 
 @functools.lru_cache(64)
-def _wrapper(html: str, pages: int, rows: tuple[tuple, ...]) -> Wrapper:
-    return Wrapper(pages, [dict(zip(("path", "text", "pages", "chars", "links"), r, strict=True)) for r in rows], _reference(html))
+def _wrapper(html: str, pages: int, slots: str) -> Wrapper:
+    return Wrapper(pages, [{"text": None} | r for r in json.loads(slots)], _reference(html))
 
 
-def extract(html: str, reference: str | None = None, pages: int = 0, rows: tuple[tuple, ...] = ()) -> str:
-    """Main text of a page; with the layout's reference and what its pages have in their slots, through the wrapper."""
+def extract(html: str, reference: str | None = None, pages: int = 0, slots: str = "[]") -> str:
+    """Main text of a page; with the layout's reference and what its pages have in their slots, as JSON, through the wrapper."""
     root = parse(html)
     if reference is None:
         return article(root)
-    return article(root, *_wrapper(reference, pages, rows).apply(_reference(reference), root))
+    return article(root, *_wrapper(reference, pages, slots).apply(_reference(reference), root))
 
 
 def host(url):
@@ -438,45 +471,53 @@ def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "layout"])
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The host, layout and mark of each page, without the page."""
+    for batch in _layouts(batches):
+        yield batch.select(["host", "layout", "mark"])
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct texts of each page's slots, with their characters and those of them in links."""
+    """A row for each page: the digests of its slots' distinct texts, with their characters and those of them in links."""
+    slot = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("chars", pa.int64()), ("links", pa.int64())]))
     for batch in slices(batches, "html"):
         out = []
-        for *where, reference, html in zip(*(batch.column(c).to_pylist() for c in ("host", "layout", "reference", "html")), strict=True):
+        for reference, html in zip(batch.column("reference").to_pylist(), batch.column("html").to_pylist(), strict=True):
             seen: dict[tuple[str, str], tuple[int, int]] = {}
             for path, node, text in slots(_reference(reference), parse(html)):
-                seen[path, text] = len(text), len(_linked(node))
-            out += [(*where, path, text, *n) for (path, text), n in seen.items()]
-        if out:
-            kinds = (*[pa.string()] * 4, pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["host", "layout", "path", "text", "chars", "links"])
+                seen[path, digest(text)] = len(text), len(_linked(node))
+            out.append([dict(zip(("path", "text", "chars", "links"), (*key, *n), strict=True)) for key, n in seen.items()])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "layout", "mark")), pa.array(out, slot)], names=["host", "layout", "mark", "slots"])
 
 
 def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, layout, reference, pages, slots) of (host, layout, html), from all distinct pages of each layout.
+    """(host, layout, reference, pages, slots) of (host, html), from all distinct pages of each layout.
 
-    A slot's texts that most pages have are told each; those that few have are one row of sums, without a text.
+    A slot's texts that most pages have are told each, by their digests; those that few have are one row of sums, without
+    a text. Pages aren't shuffled: they are told apart by marks, and what is dealt of them are digests.
     """
-    known = pages.where("html is not null and html <> ''").select("host", "layout", "html", F.xxhash64("html").alias("mark"))
+    known = pages.where("html is not null and html <> ''").select("host", "html", F.xxhash64("html").alias("mark"))
     by = ["host", "layout"]
-    counts = known.select(*by, "mark").distinct().groupBy(*by).agg(F.count("*").alias("pages"), F.min("mark").alias("mark")).where(F.col("pages") >= LEAST_PAGES)
+    marks = known.mapInArrow(_marks, "host string, layout string, mark long")
+    counts = marks.distinct().groupBy(*by).agg(F.count("*").alias("pages"), F.min("mark").alias("mark")).where(F.col("pages") >= LEAST_PAGES)
     counts = scratch.write(counts, "counts")
-    reference = scratch.write(known.join(counts, [*by, "mark"]).groupBy(*by).agg(F.min("html").alias("reference"), F.first("pages").alias("pages")), "reference")
-    distinct = known.dropDuplicates([*by, "mark"]).drop("mark")
-    votes = distinct.join(reference, by).select(*by, "reference", "html").mapInArrow(_votes, "host string, layout string, path string, text string, chars long, links long")
-    votes = votes.groupBy(*by, "path", "text").agg(F.count("*").alias("votes"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    votes = scratch.write(votes, "votes").join(reference.select(*by, "pages"), by)
+    reference = scratch.write(known.join(counts, ["host", "mark"]).groupBy(*by).agg(F.min("html").alias("reference"), F.first("pages").alias("pages")), "reference")
+    laid = known.mapInArrow(_layouts, "host string, html string, mark long, layout string")
+    votes = laid.join(reference, by).select(*by, "mark", "reference", "html")
+    votes = votes.mapInArrow(_votes, "host string, layout string, mark long, slots array<struct<path string, text string, chars long, links long>>")
+    votes = votes.dropDuplicates([*by, "mark"]).select(*by, F.inline("slots"))
+    votes = votes.groupBy(*by, "path", "text").agg(F.count("*").alias("votes"), F.sum("chars").alias("chars"), F.sum("links").alias("links")).join(reference.select(*by, "pages"), by)
     often = F.col("votes") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * LEAST_SHARE)
     texts = votes.groupBy(*by, "path", F.when(often, F.col("text")).alias("text")).agg(F.when(F.max(often), F.max("votes")).otherwise(0).alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    found = texts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("path", "text", "pages", "chars", "links"))).alias("slots"))
+    found = texts.groupBy(*by).agg(F.to_json(F.sort_array(F.collect_list(F.struct("path", "text", "pages", "chars", "links")))).alias("slots"))
     return scratch.write(found.join(reference, by), "wrappers")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "html"):
         texts = []
-        for html, reference, pages, rows in zip(*(batch.column(c).to_pylist() for c in ("html", "reference", "pages", "slots")), strict=True):
-            texts.append(extract(html or "", reference, pages or 0, tuple(tuple(r.values()) for r in rows or ())))
+        for html, reference, pages, found in zip(*(batch.column(c).to_pylist() for c in ("html", "reference", "pages", "slots")), strict=True):
+            texts.append(extract(html or "", reference, pages or 0, found or "[]"))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -491,8 +532,7 @@ def main_text(df: DataFrame) -> DataFrame:
     scratch = Scratch(df.sparkSession)
     pages = df.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema)
-    pages = pages.mapInArrow(_layouts, f"{schema}, layout string")
-    found = pages.join(wrappers(pages, scratch), ["host", "layout"], "left")
+    found = pages.mapInArrow(_layouts, f"{schema}, layout string").join(wrappers(pages, scratch), ["host", "layout"], "left")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     return found.select("page_id", "url", "html", "reference", "pages", "slots").mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 

@@ -732,3 +732,18 @@ def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
             assert r[5:] == tuple(f"{c} {n}" for c in names), name
     kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {0, 2, 4, 20} <= kept and not kept & {21, 22, 23, 24}  # 21 and 24 are near copies
+
+
+def test_wrapper_aligns_once_and_deals_no_pages(spark, monkeypatch):
+    calls, aligned = [], html._aligned
+    monkeypatch.setattr(html, "_aligned", lambda *a: calls.append(1) or aligned(*a))
+    deep = html.parse("<div>" * 40 + "<p>t</p>" + "</div>" * 40)
+    pairs: list = []
+    assert html.match([deep], [deep], pairs) == 1 + len(pairs) == 42
+    assert len(calls) == 42  # an element is aligned once, not once more for each above it
+    plans, write = [], html.Scratch.write
+    monkeypatch.setattr(html.Scratch, "write", lambda self, df, *a, **b: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(self, df, *a, **b))
+    rows = [(i, f"https://h.example/{i}", f"<body><div><p>own text {i // 2}</p></div><p>by us</p></body>") for i in range(12)]
+    got = {r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {f"own text {i}" for i in range(6)}  # copies are one page for the wrapper
+    assert plans and not any("first(html" in p for p in plans)  # what tells copies apart are marks
