@@ -5,6 +5,7 @@ distance then falls as the inner product rises, and it is a metric. Vectors are
 the nearest of a bounded number of routing objects, and there into rings by their distance from it. A query first visits
 the ring that is nearest; the others only if they can hold a better result. Within a ring it searches an M-tree best
 first: pages of entries with covering radii and distances to the parent, which rule entries out before their own distance is known.
+All queries of a ring go down its tree together: where the bounds rule little out, what is left are products of matrices.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from territory.llm.base import Scratch, read_table
 #: Entries in a page of a tree, routing objects, vectors in a ring and rings of a routing object, queries that visit a ring at once.
 #: A routing object has at most RINGS rings, which then grow: so what is known of all rings stays below 3 MB.
 PAGE, ROUTES, RING, RINGS, QUERIES = 64, 512, 8192, 256, 2048
+#: Leaves that a query visits before it looks again whether the others can still hold a better result; twice as many each time.
+LEAVES = 2
+#: Bounds of queries and leaves that a task holds at once.
+BOUNDS = 1 << 22
 #: Relative slack of a bound, far above rounding errors: it only costs visits.
 SLACK = 1e-7
 
@@ -82,6 +87,44 @@ class MTree:
                     heapq.heappush(heap, (bound, n, page["down"][i], d))
 
 
+    def leaves(self) -> list[dict]:
+        found, pages = [], [self.root] if self.root else []
+        while pages:
+            page = pages.pop()
+            if page["down"] is None:
+                page["leaf"] = len(found)
+                found.append(page)
+            else:
+                pages += page["down"]
+        return found
+
+    def bounds(self, queries: np.ndarray, reach: np.ndarray, leaves: int) -> np.ndarray:
+        """Of each query and leaf a distance that no entry there is nearer than; infinite for what lies beyond the query's reach."""
+        low = np.full((len(queries), leaves), np.inf)
+        if self.root is None or not len(queries):
+            return low
+        stack = [(self.root, np.arange(len(queries)), distances(queries, self.points[0]), np.zeros(len(queries)))]
+        while stack:
+            page, rows, to_parent, bound = stack.pop()
+            if page["down"] is None:
+                # of a leaf's entries only the distances to the parent are known
+                ring = np.maximum(page["up"].min() - to_parent, to_parent - page["up"].max()) - SLACK * (1 + to_parent)
+                low[rows, page["leaf"]] = np.maximum(bound, ring)
+                continue
+            up, far = to_parent[:, None], reach[rows, None]
+            left = np.abs(up - page["up"]) - page["radii"] <= far + SLACK * (1 + up)  # without a distance computed
+            self.computed += int(left.sum())
+            self.avoided += int(left.size - left.sum())
+            for i in np.flatnonzero(left.any(axis=0)).tolist():
+                near = np.flatnonzero(left[:, i])
+                d = distances(queries[rows[near]], page["at"][i])
+                own = np.maximum(d - page["radii"][i] - SLACK * (1 + d), bound[near])
+                in_reach = own <= far[near, 0] + SLACK * (1 + d)
+                stack.append((page["down"][i], rows[near][in_reach], d[in_reach], own[in_reach]))
+        low[low > reach[:, None]] = np.inf
+        return low
+
+
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.int64).reshape(-1, width) if len(column) else np.zeros((0, width), np.int64)
 
@@ -94,45 +137,67 @@ def _lifted(x: np.ndarray, radius2: float) -> np.ndarray:
 def _searcher(k: int, width: int, radius2: float):
     def run(queries: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         points, ids = _matrix(group["vector"], width), group["id"].to_numpy()
-        tree = MTree(_lifted(points, radius2)) if len(queries) else None
-        pages = [tree.root] if tree else []
-        # products below 2^53 are exact as doubles, and much faster
-        exact = points.astype(np.float64) if len(points) and float(np.abs(points).max()) ** 2 * width < 2**52 else None
-        for page in pages:
-            pages += page["down"] or []
-            if page["down"] is None:
-                page["ids"], page["exact"] = ids[page["rows"]], None if exact is None else exact[page["rows"]]
-        out = []
-        for row in queries.itertuples(index=False):
-            q = np.frombuffer(row.vector, np.int64)
-            real = q.astype(np.float64)
-            square = float((real * real).sum())
-            known = float(row.least) if row.least is not None and row.least == row.least else -np.inf
-            best_scores, best_ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-            def least() -> float:
-                return max(known, float(best_scores[-1]) if len(best_scores) == k else -np.inf)
-
-            def reach() -> float:
-                low = least()
-                return np.inf if low == -np.inf else np.sqrt(max(square + radius2 - 2 * low, 0)) * (1 + SLACK) + SLACK
-
-            small = exact is not None and float(np.abs(real).max(initial=0)) ** 2 * width < 2**52
-
-            def offer(page: dict, near: np.ndarray) -> None:
-                nonlocal best_scores, best_ids
-                own = page["ids"][near]
-                scores = page["exact"][near] @ real if small else points[page["rows"][near]] @ q
-                good = np.flatnonzero((scores >= least()) & (own != row.query_id))
-                scores = scores.astype(np.int64)
-                if len(good):
-                    scores, own = np.concatenate((best_scores, scores[good])), np.concatenate((best_ids, own[good]))
-                    order = np.lexsort((own, -scores))[:k]
-                    best_scores, best_ids = scores[order], own[order]
-
-            tree.search(np.append(real, 0.0), reach, offer)
-            out += [(row.query_id, i, s) for i, s in zip(best_ids.tolist(), best_scores.tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        asked, own_ids = _matrix(queries["vector"], width), queries["query_id"].to_numpy()
+        n = len(asked)
+        result = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
+        if not n or not len(points):
+            return result
+        tree = MTree(_lifted(points, radius2))
+        leaves = tree.leaves()
+        most = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
+        # products below 2^52 are exact as doubles, and much faster
+        if most(points) ** 2 * width < 2**52 and most(points) * most(asked) * width < 2**52:
+            points, ask = points.astype(np.float64), asked.astype(np.float64)
+        else:
+            ask = asked
+        real = asked.astype(np.float64)
+        square = (real * real).sum(axis=1)
+        known = np.array([-np.inf if x is None else float(x) for x in queries["least"]])
+        known[np.isnan(known)] = -np.inf
+        best_scores, best_ids, held = np.zeros((n, k), np.int64), np.zeros((n, k), np.int64), np.zeros(n, np.int64)
+
+        def least(rows: np.ndarray) -> np.ndarray:
+            low = np.maximum(known[rows], np.where(held[rows] == k, best_scores[rows, -1], -np.inf))
+            return low - np.abs(low) * 1e-15  # a large integer may have been rounded up
+
+        def reach(rows: np.ndarray) -> np.ndarray:
+            low = least(rows)
+            return np.where(low == -np.inf, np.inf, np.sqrt(np.maximum(square[rows] + radius2 - 2 * np.maximum(low, -1e300), 0)) * (1 + SLACK) + SLACK)
+
+        def visit(leaf: dict, rows: np.ndarray) -> None:
+            """A leaf's entries against all queries that look into it."""
+            at = ids[leaf["rows"]]
+            scores = ask[rows] @ points[leaf["rows"]].T
+            good = (scores >= least(rows)[:, None]) & (at != own_ids[rows, None])
+            for i in np.flatnonzero(good.any(axis=1)).tolist():
+                row, new = rows[i], good[i]
+                have = held[row]
+                s, v = np.concatenate((best_scores[row, :have], scores[i, new].astype(np.int64))), np.concatenate((best_ids[row, :have], at[new]))
+                order = np.lexsort((v, -s))[:k]
+                held[row] = len(order)
+                best_scores[row, : len(order)], best_ids[row, : len(order)] = s[order], v[order]
+
+        # what is held at once doesn't grow with the ring and its visitors
+        batch = max(1, min(QUERIES, BOUNDS // len(leaves)))
+        for a in range(0, n, batch):
+            rows = np.arange(a, min(n, a + batch))
+            low = tree.bounds(np.column_stack((real[rows], np.zeros(len(rows)))), reach(rows), len(leaves))
+            order = np.argsort(low, axis=1, kind="stable")
+            at, step = 0, LEAVES
+            while at < len(leaves) and len(rows):
+                looks = order[rows - a, at : at + step]
+                open_ = low[(rows - a)[:, None], looks] <= reach(rows)[:, None]
+                open_ &= np.isfinite(low[(rows - a)[:, None], looks])
+                who, which = np.nonzero(open_)
+                chosen = looks[who, which]
+                by = np.argsort(chosen, kind="stable")
+                cuts = np.flatnonzero(np.diff(chosen[by], prepend=-1, append=-1))
+                for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    visit(leaves[chosen[by[x]]], rows[who[by[x:y]]])
+                rows = rows[open_.all(axis=1)]  # bounds ascend: after one that is ruled out all are
+                at, step = at + step, 2 * step
+        has = np.arange(k) < held[:, None]
+        return pd.DataFrame({"query_id": np.repeat(own_ids, held), "vec_id": best_ids[has], "score": best_scores[has]}).astype("int64")
 
     return run
 

@@ -747,3 +747,28 @@ def test_wrapper_aligns_once_and_deals_no_pages(spark, monkeypatch):
     got = {r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {f"own text {i}" for i in range(6)}  # copies are one page for the wrapper
     assert plans and not any("first(html" in p for p in plans)  # what tells copies apart are marks
+
+
+@pytest.mark.parametrize("size", [100, 1 << 29])
+def test_queries_of_a_ring_search_together(monkeypatch, size):
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    points = rng.integers(-size, size, (3000, 6))
+    points[100:400] = points[100]  # equal scores
+    group = pd.DataFrame({"id": np.arange(3000), "vector": [p.tobytes() for p in points]})
+    calls, distances = [], mtree.distances
+    monkeypatch.setattr(mtree, "distances", lambda a, b: calls.append(1) or distances(a, b))
+    seen = {}
+    for n in (30, 300):
+        calls.clear()
+        queries = pd.DataFrame({"query_id": np.arange(n) * 10, "vector": [points[10 * i].tobytes() for i in range(n)], "least": None})
+        got = mtree._searcher(5, 6, float((points.astype(float) ** 2).sum(axis=1).max()) * (1 + 1e-12))(queries, group)
+        seen[n] = len(calls)
+        scores = points[::10][:n] @ points.T
+        for i in range(n):
+            scores[i, 10 * i] = -(1 << 62)
+            want = np.lexsort((np.arange(3000), -scores[i]))[:5]
+            own = got[got["query_id"] == 10 * i]
+            assert own["vec_id"].tolist() == want.tolist() and own["score"].tolist() == scores[i][want].tolist()
+    assert seen[300] < 2 * seen[30]  # steps grow with the tree, not with the queries
