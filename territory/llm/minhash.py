@@ -29,6 +29,8 @@ LEAST_EQUAL = 0.58
 BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
 #: Hubs of a bucket, one after the other, and the share of their comparisons that must be links for another.
 HUBS, LEAST_LINKS = 5, 0.05
+#: Bits of a filter for each row that is wanted, and pieces of 32,768 bits that it has at most.
+FILTER_BITS, FILTER_PIECES = 16, 2048
 
 _rng = np.random.default_rng(75)
 _FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -262,6 +264,20 @@ def _joined(whole: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
     return scratch.write(whole.join(found, "component", "left").select("id", F.coalesce("least", "component").alias("component")), name)
 
 
+def _likely(df: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """Rows whose `by` may be among the wanted: all that are and few others, so that a join that follows doesn't shuffle all texts.
+
+    A hash of the wanted marks bits in pieces of 32,768 each; there are FILTER_PIECES at most, 8 MB of them, which then let more pass.
+    """
+    pieces = max(1, min(FILTER_PIECES, -(-FILTER_BITS * wanted.count() // 32_768)))
+    place = F.pmod(F.xxhash64(*by), F.lit(pieces * 32_768)) + 1
+    marks = wanted.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = df.withColumns({"__piece": F.bitmap_bucket_number(place), "__at": at}).join(F.broadcast(marks), "__piece")
+    return found.where(F.getbit(byte, (F.col("__at") % 8).cast("int")) == 1).select(*df.columns)
+
+
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id (least id reachable over links), kept and text_hash (xxhash64) of each row.
 
@@ -290,7 +306,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     met = scratch.write(shared.groupBy("id").agg(F.sum("members").alias("weight")), "met")
     near = scratch.write(reps.join(met, "id"), "near")
     wanted = scratch.write(first.join(met.select(F.col("id").alias("node")), "node"), "wanted")
-    sets = scratch.write(docs.join(wanted, ["id", "text_hash"]).select(F.col("node").alias("id"), "text").mapInArrow(_shingles, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    sets = scratch.write(_likely(docs, wanted, ["id", "text_hash"]).join(wanted, ["id", "text_hash"]).select(F.col("node").alias("id"), "text").mapInArrow(_shingles, "id long, shingles binary").dropDuplicates(["id"]), "sets")
     placed = scratch.write(shared.select("key", "id").join(near.select("id", "weight", "n"), "id"), "placed")
     scratch.drop("reps", "shared", "met", "wanted")
     whole = _hub_links(placed, near.select("id", F.col("id").alias("component")), near, sets, scratch)

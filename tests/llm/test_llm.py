@@ -772,3 +772,14 @@ def test_queries_of_a_ring_search_together(monkeypatch, size):
             own = got[got["query_id"] == 10 * i]
             assert own["vec_id"].tolist() == want.tolist() and own["score"].tolist() == scores[i][want].tolist()
     assert seen[300] < 2 * seen[30]  # steps grow with the tree, not with the queries
+
+
+def test_texts_that_meet_nothing_are_not_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(20_000).select(F.col("id"), (F.col("id") * 7).alias("text_hash"), F.lit("t").alias("text"))
+    wanted = docs.where("id % 100 = 3").drop("text")
+    likely = minhash._likely(docs, wanted, ["id", "text_hash"])
+    assert likely.columns == docs.columns
+    assert likely.join(wanted, ["id", "text_hash"]).count() == 200 and likely.count() < 2500
+    assert minhash._likely(docs, wanted.limit(0), ["id", "text_hash"]).count() == 0
