@@ -327,14 +327,21 @@ def _ask_words(groups: int, split: int) -> Callable:
     return run
 
 
-def _bucketed(df: DataFrame, by: str, scratch: Scratch) -> DataFrame:
+class _Bucketed:
     """A table of the shared folder whose buckets later cogroups read as they are, without a shuffle."""
-    spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
-    path, buckets = f"{scratch.root}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, by).saveAsTable(name)
-    scratch.paths["blocks"] = path
-    scratch.tables.append(name)
-    return spark.table(name)
+
+    def __init__(self, spark: SparkSession, kind: str, by: str, scratch: Scratch) -> None:
+        self.spark, self.by, self.name, self.buckets = spark, by, f"{kind}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = scratch.paths[kind] = f"{scratch.root}/{self.name}"
+        scratch.tables.append(self.name)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The whole table after some more rows, which are shuffled once, or not if they come by their buckets."""
+        df.write.option("compression", "zstd").option("path", self.path).bucketBy(self.buckets, self.by).mode("append").saveAsTable(self.name)
+        return self.spark.table(self.name)
+
+    def deal(self, df: DataFrame) -> DataFrame:
+        return self.add(df.repartition(self.buckets, self.by))
 
 
 def score(documents: DataFrame, modulus: int = 7, held: int = 2, sizes: Sizes = Sizes()) -> DataFrame:
@@ -348,11 +355,13 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2, sizes: Sizes =
     scratch = Scratch(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("train", crc_remainder(F.col("id"), modulus) != held)
-    blocks = _bucketed(docs.mapInArrow(_cut_blocks(sizes.block_bytes), BLOCKS), "block", scratch)
+    blocks = _Bucketed(documents.sparkSession, "blocks", "block", scratch).add(docs.mapInArrow(_cut_blocks(sizes.block_bytes), BLOCKS))
     words, texts, tokens = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("train_words", "train_texts", "all_tokens"))).first()
     groups = 1 + tokens // sizes.group_tokens
     asks = scratch.write(blocks.mapInArrow(_ask_words(groups, sizes.split), ASKS), "asks")
-    answers = scratch.write(asks.groupBy("group").applyInArrow(_count_words, ANSWERS).withColumn("level", F.lit(0)), "answers0")
+    # answers go to their blocks once, and wait there for the levels after
+    answered = _Bucketed(documents.sparkSession, "answers", "block", scratch)
+    answers = answered.deal(asks.groupBy("group").applyInArrow(_count_words, ANSWERS).withColumn("level", F.lit(0)))
     scratch.drop("asks")
     distinct = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     total = words + texts
@@ -369,7 +378,7 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2, sizes: Sizes =
             shared = shared.groupBy("context").agg(*(F.sum(c).alias(c) for c in ("kinds", "total", "often", "share", "surprise")))
             shared = scratch.write(shared.mapInArrow(_spread(groups, sizes.split), "`group` int, context long, kinds long"), "shared")
             found = found.unionByName(parts.groupBy("group").cogroup(shared.groupBy("group")).applyInArrow(_answer_parts, ANSWERS))
-        answers = answers.unionByName(scratch.write(found.withColumn("level", F.lit(level)), f"answers{level}"))
+        answers = answered.deal(found.withColumn("level", F.lit(level)))
         scratch.drop("asks")
     rows = replayed(None)
     return rows.select(

@@ -774,6 +774,14 @@ def test_queries_of_a_ring_search_together(monkeypatch, size):
     assert seen[300] < 2 * seen[30]  # steps grow with the tree, not with the queries
 
 
+def test_answers_reach_their_blocks_without_another_shuffle(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(60))) for i in range(40)]
+    got = suffixlm.score(frame(spark, rows), sizes=suffixlm.Sizes(block_bytes=600, group_tokens=500))
+    assert got.count() == 40
+    assert "hashpartitioning(block" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_texts_that_meet_nothing_are_not_shuffled(spark):
     from pyspark.sql import functions as F
 
