@@ -17,9 +17,19 @@ def new_id(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.col(p) if isinstance(p, str) else p for p in parts]), 256).substr(1, 32)
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """A sheet's rows with the keys and words of their names, which all phases ask for; rows that have them stay as they are."""
+    if "__doctor_key" in rows.columns:
+        return rows
+    return rows.withColumns({
+        "__stockist_key": t.stockist_key(F.col("stockist_name")), "__stockist": t.stockist_name(F.col("stockist_name")), "__hq_key": t.hq_key(F.col("headquarter")), "__hq": t.clean_whitespace(F.col("headquarter")),
+        "__tokens": t.store_tokens(F.col("chemist_name")), "__doctor_key": t.doctor_key(F.col("doctor_name")), "__rep_key": F.upper(t.clean_whitespace(F.col("fso_name"))),
+    })
+
+
 def resolve_stockists(rows: DataFrame, stockists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key to id, new stockists): active stockists by key, the others made, one for each key with its first name."""
-    asked = rows.select("row_index", t.stockist_key(F.col("stockist_name")).alias("key"), t.stockist_name(F.col("stockist_name")).alias("name")).where("key <> ''")
+    asked = keyed(rows).select("row_index", F.col("__stockist_key").alias("key"), F.col("__stockist").alias("name")).where("key <> ''")
     have = stockists.where("is_active").groupBy(t.stockist_key(F.col("name")).alias("key")).agg(F.min("id").alias("id"))
     asked = asked.groupBy("key").agg(F.min_by("name", "row_index").alias("name"))
     new = asked.join(have, "key", "left_anti").select("key", new_id(F.lit("stockist"), "key").alias("id"), "name", F.lit(True).alias("is_active"))
@@ -28,7 +38,7 @@ def resolve_stockists(rows: DataFrame, stockists: DataFrame) -> tuple[DataFrame,
 
 def resolve_headquarters(rows: DataFrame, headquarters: DataFrame, state_id: str | None, division_ids: list[str] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(key to id, new headquarters, warnings): made only if a default state and divisions are given."""
-    asked = rows.select("row_index", t.hq_key(F.col("headquarter")).alias("key"), t.clean_whitespace(F.col("headquarter")).alias("name")).where("key <> ''")
+    asked = keyed(rows).select("row_index", F.col("__hq_key").alias("key"), F.col("__hq").alias("name")).where("key <> ''")
     asked = asked.groupBy("key").agg(F.min_by("name", "row_index").alias("name"), F.min("row_index").alias("row_index"))
     have = headquarters.groupBy(t.hq_key(F.col("name")).alias("key")).agg(F.min("id").alias("id"))
     lacking = asked.join(have, "key", "left_anti")
@@ -72,7 +82,7 @@ def cluster_stores(named: DataFrame) -> DataFrame:
 
 def group_stores(rows: DataFrame, stockist_ids: DataFrame, hq_ids: DataFrame) -> DataFrame:
     """Store groups of a sheet: scope, cluster, canonical name, all names, first address and the rows."""
-    named = rows.where("chemist_name <> ''").withColumns({"sk": t.stockist_key(F.col("stockist_name")), "hk": t.hq_key(F.col("headquarter")), "tokens": t.store_tokens(F.col("chemist_name"))}).where("size(tokens) > 0")
+    named = keyed(rows).where("chemist_name <> ''").withColumns({"sk": F.col("__stockist_key"), "hk": F.col("__hq_key"), "tokens": F.col("__tokens")}).where("size(tokens) > 0")
     named = named.join(stockist_ids.select(F.col("key").alias("sk"), F.col("id").alias("stockist_id")), "sk").join(hq_ids.select(F.col("key").alias("hk"), F.col("id").alias("headquarter_id")), "hk")
     scope = ["stockist_id", "headquarter_id"]
     placed = named.join(cluster_stores(named.select(*scope, "tokens", "row_index")), [*scope, "tokens"])
@@ -104,7 +114,7 @@ def match_stores(groups: DataFrame, stores: DataFrame) -> tuple[DataFrame, DataF
 
 def group_doctors(rows: DataFrame, hq_ids: DataFrame) -> DataFrame:
     """Doctors of a sheet by name and headquarter, with the first phone, specialty, degree and address that are given."""
-    named = rows.withColumns({"key": t.doctor_key(F.col("doctor_name")), "hk": t.hq_key(F.col("headquarter"))}).where("key <> ''")
+    named = keyed(rows).withColumns({"key": F.col("__doctor_key"), "hk": F.col("__hq_key")}).where("key <> ''")
     named = named.join(hq_ids.select(F.col("key").alias("hk"), F.col("id").alias("headquarter_id")), "hk", "left")
     first = lambda c: F.min_by(c, F.when(F.col(c) != "", F.col("row_index"))).alias(c)
     return named.groupBy("key", "headquarter_id").agg(F.min_by("doctor_name", "row_index").alias("full_name"), first("contact"), first("specialty"), first("degree"), first("doctor_address"), F.array_sort(F.collect_set("row_index")).alias("rows"))
@@ -145,8 +155,7 @@ def allocate(rows: DataFrame, doctor_groups: DataFrame, users: DataFrame, caller
 
     An unknown name makes a placeholder rep; a name that several reps have is skipped with a warning.
     """
-    name = F.upper(t.clean_whitespace(F.col("fso_name")))
-    asked = rows.select("row_index", name.alias("key"), "fso_name").where("key <> ''")
+    asked = keyed(rows).select("row_index", F.col("__rep_key").alias("key"), "fso_name").where("key <> ''")
     reps = users.where("role = 'MR'").groupBy(F.upper(t.clean_whitespace(F.col("full_name"))).alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("mr_id"))
     placed = asked.join(reps, "key", "left")
     made = new_id(F.lit("mr"), "key")
