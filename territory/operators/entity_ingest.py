@@ -147,7 +147,7 @@ def link(doctor_groups: DataFrame, store_groups: DataFrame, links: DataFrame) ->
     """New pairs (doctor_id, medical_store_id) of rows that name both."""
     d = doctor_groups.select("doctor_id", F.explode("rows").alias("row_index"))
     s = store_groups.select(F.col("store_id").alias("medical_store_id"), F.explode("rows").alias("row_index"))
-    return insert_ignore(links, d.join(s, "row_index").select("doctor_id", "medical_store_id"), ["doctor_id", "medical_store_id"])
+    return insert_ignore(links, d.join(s.hint("merge"), "row_index").select("doctor_id", "medical_store_id"), ["doctor_id", "medical_store_id"])
 
 
 def allocate(rows: DataFrame, doctor_groups: DataFrame, users: DataFrame, caller: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -164,7 +164,7 @@ def allocate(rows: DataFrame, doctor_groups: DataFrame, users: DataFrame, caller
     warnings = placed.where("n > 1").select("row_index", F.lit("several reps have this name").alias("kind"), F.col("fso_name").alias("name"))
     one = placed.where("n is null or n = 1").select("row_index", F.coalesce("mr_id", made).alias("mr_id"))
     d = doctor_groups.select("doctor_id", "headquarter_id", F.explode("rows").alias("row_index"))
-    pairs = one.join(d, "row_index").select("mr_id", "doctor_id", F.lit(caller).alias("allocated_by"), F.lit(True).alias("is_active")).distinct()
+    pairs = one.join(d.hint("merge"), "row_index").select("mr_id", "doctor_id", F.lit(caller).alias("allocated_by"), F.lit(True).alias("is_active")).distinct()
     return pairs, new, warnings
 
 
